@@ -1,0 +1,209 @@
+"""Deeply nested records shredded into level columns, and flat tables put together again from the levels.
+
+Each record is parsed, brought to one layout (a lone object counts as element 0 of its list, JSON text in a string
+as what it spells) and shredded as columnar formats do: every leaf path of a schema gives a column of (repetition
+level, definition level, value). The flat table of a repeated object is rebuilt from the level sequence of its
+presence leaf alone: repetition levels restart the ordinals of its ancestors, the definition level tells a null
+element, an empty list and a missing ancestor from an object that is there.
+
+A record is one row, so both halves run in one Arrow-batched pass over the scan without any shuffle; skew between
+kinds or keys doesn't matter. Payloads that are null or cut off yield nothing; null elements yield no row but keep
+their position; extra columns of the input are left out.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+LIST, MAP, ONE, STRUCT = "list", "map", "one", "struct"
+
+
+@dataclass(frozen=True)
+class Group:
+    """A nested object of a schema. kind: list (repeated), map (repeated, keyed), one (single, has rows),
+    struct (single, without rows of its own). A map whose items are lists holds a list group named ''."""
+
+    name: str
+    kind: str
+    children: tuple[Group, ...] = field(default=())
+
+
+#: Layouts of the nested records, by kind.
+SCHEMAS = {
+    "ferry": (Group("ferryData", MAP, (Group("connections", LIST, (Group("intermediatePoints", LIST),)),)),),
+    "lanes": (Group("lanes", MAP, (Group("", LIST, (Group("branches", LIST, (Group("semaphoresEncountered", LIST), Group("trafficRulesEncountered", LIST))),)),)),),
+    "route": (Group("segments", LIST, (Group("steps", LIST, (Group("maneuver", ONE, (Group("laneHint", STRUCT, (Group("lanes", LIST),)),)), Group("trafficIcons", LIST))),)),),
+}
+
+
+def decoded(v):
+    """JSON text in a string counts as what it spells; other strings stay."""
+    while isinstance(v, str):
+        if v.lstrip()[:1] not in ("{", "[", '"') and v.strip() != "null":
+            return v
+        try:
+            v = json.loads(v)
+        except ValueError:
+            return v
+    return v
+
+
+def _leaves(obj: dict, children: tuple[Group, ...]) -> str:
+    nested = {c.name for c in children}
+    return json.dumps({k: v for k, v in obj.items() if k not in nested}, separators=(",", ":"), ensure_ascii=False)
+
+
+def shred(payload: dict, schema: tuple[Group, ...]) -> dict[str, list[tuple[int, int, str | None, str | None]]]:
+    """Presence columns by group path: (repetition level, definition level, map key, the object's leaves).
+
+    A list or map adds two definition levels, one for an element being there and one for its being an object;
+    single groups add one.
+    """
+    out: dict[str, list] = {}
+
+    def absent(g: Group, path: str, r: int, d: int) -> None:
+        path = f"{path}.{g.name}"
+        out.setdefault(path, []).append((r, d, None, None))
+        for c in g.children:
+            absent(c, path, r, d)
+
+    def put(g: Group, path: str, v, r: int, d: int, depth: int, keyed=None) -> None:
+        v, path = decoded(v), f"{path}.{g.name}"
+        if g.kind in (ONE, STRUCT):
+            if isinstance(v, list) and len(v) == 1:
+                v = decoded(v[0])
+            there = isinstance(v, dict)
+            out.setdefault(path, []).append((r, d + there, None, _leaves(v, g.children) if there else None))
+            for c in g.children:
+                put(c, path, v.get(c.name), r, d + 1, depth) if there else absent(c, path, r, d)
+            return
+        if g.kind == MAP:
+            if isinstance(v, list):
+                v = {str(x.get("token", i)) if isinstance(x, dict) else str(i): x for i, x in enumerate(v)}
+            items = list(v.items()) if isinstance(v, dict) else []
+        else:
+            items = [(None, x) for x in (v if isinstance(v, list) else [v] if isinstance(v, dict) else [])]
+        own = out.setdefault(path, [])
+        if not items:
+            own.append((r, d, None, None))
+            for c in g.children:
+                absent(c, path, r, d)
+        lists = bool(g.children) and g.children[0].name == ""
+        for i, (key, x) in enumerate(items):
+            x, at = decoded(x), depth + 1 if i else r
+            there = isinstance(x, dict) or lists and isinstance(x, list)
+            own.append((at, d + 1 + there, key, _leaves(x, g.children) if there and not lists else None))
+            for c in g.children:
+                if there:
+                    put(c, path, x if lists else x.get(c.name), at, d + 2, depth + 1)
+                else:
+                    absent(c, path, at, d + 1)
+
+    for g in schema:
+        put(g, "$", payload.get(g.name), 0, 0, 0)
+    return out
+
+
+def assemble(columns: dict[str, list], schema: tuple[Group, ...]) -> Iterator[tuple[str, str, str, str]]:
+    """Rows (table, parent path, path, leaves) of every group that has rows, from the level sequences."""
+
+    def walk(g: Group, table: str, reps: int, level: int, keys: list[dict], labels: list[tuple[str, bool]], owner: int, owners):
+        # labels: by repeated ancestor (text before the ordinal, whether keyed); owner: how many labels the parent row has.
+        table = f"{table}.{g.name}"
+        repeated = g.kind in (LIST, MAP)
+        depth = reps + repeated
+        full = level + (2 if repeated else 1)
+        lists = g.kind == MAP and bool(g.children) and g.children[0].name == ""
+        mine = {}
+        if repeated:
+            labels = [*labels, (f"{'.' if g.name else ''}{g.name}", g.kind == MAP)]
+        else:
+            labels = [*labels[:-1], (labels[-1][0], labels[-1][1], *labels[-1][2:], f".{g.name}")] if labels else [(f".{g.name}", None)]
+        at = [0] * depth
+        first = True
+        for r, d, key, leaves in columns[table]:
+            if first or r == 0:
+                at, first = [0] * depth, False
+            else:
+                at[r - 1] += 1
+                at[r:] = [0] * (depth - r)
+            if repeated and g.kind == MAP:
+                mine[tuple(at)] = key
+            if d == full and g.kind != STRUCT and not lists:
+                path = text(labels, at, [*keys, mine] if repeated else keys)
+                parent = text(owners, at, keys) if owner else "$"
+                yield table, parent, path, leaves
+        if repeated:
+            keys = [*keys, mine]
+        rows = g.kind != STRUCT and not lists
+        for c in g.children:
+            yield from walk(c, table, depth, full, keys, labels, 1 if rows else owner, labels if rows else owners)
+
+    def text(labels, at, keys) -> str:
+        out = "$"
+        for i, label in enumerate(labels):
+            ordinal = f"[{keys[i][tuple(at[: i + 1])] if label[1] else at[i]}]" if label[1] is not None else ""
+            out += label[0] + ordinal + "".join(label[2:])
+        return out
+
+    for g in schema:
+        yield from walk(g, "$", 0, 0, [], [], 0, [])
+
+
+LEVELS = "record_id bigint, leaf string, seq int, rep int, def int, map_key string, value string"
+TABLES = "record_id bigint, table_name string, parent_path string, child_path string, leaves string"
+
+
+def _records(batches, schemas) -> Iterator[tuple[list, list]]:
+    for pdf in batches:
+        for record, kind, payload in zip(pdf["record_id"], pdf["record_kind"], pdf["payload"], strict=True):
+            schema = schemas.get(kind)
+            if schema is None or payload is None or pd.isna(record):
+                continue
+            try:
+                v = json.loads(payload)
+            except (ValueError, RecursionError):
+                continue
+            v = decoded(v)
+            if isinstance(v, dict):
+                yield int(record), schema, shred(v, schema)
+
+
+def _batched(rows, names, size=20_000):
+    hold = []
+    for row in rows:
+        hold.append(row)
+        if len(hold) >= size:
+            yield pd.DataFrame(hold, columns=names)
+            hold = []
+    if hold:
+        yield pd.DataFrame(hold, columns=names)
+
+
+def _input(df: DataFrame) -> DataFrame:
+    return df.select("record_id", "record_kind", "payload")
+
+
+def level_columns(df: DataFrame, schemas=SCHEMAS) -> DataFrame:
+    """The shredded form of every record, one row a level entry."""
+
+    def run(batches):
+        rows = ((rec, path, i, *entry) for rec, _, cols in _records(batches, schemas) for path, col in cols.items() for i, entry in enumerate(col))
+        return _batched(rows, ["record_id", "leaf", "seq", "rep", "def", "map_key", "value"])
+
+    return _input(df).mapInPandas(run, LEVELS)
+
+
+def flat_tables(df: DataFrame, schemas=SCHEMAS) -> DataFrame:
+    """All flat tables in one: table_name tells them apart, (record_id, parent_path) links to the parent's child_path."""
+
+    def run(batches):
+        rows = ((rec, *row) for rec, schema, cols in _records(batches, schemas) for row in assemble(cols, schema))
+        return _batched(rows, ["record_id", "table_name", "parent_path", "child_path", "leaves"])
+
+    return _input(df).mapInPandas(run, TABLES)
