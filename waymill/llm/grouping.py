@@ -25,7 +25,7 @@ from waymill.functions.keys import uid, uid_of_rank, uid_rank, world
 from waymill.session import Scratch
 
 #: The search ends when a frontier holds fewer than 1 in THIN of the vertices reached.
-THIN = 64
+THIN = 8
 
 
 def _both_ways(e: DataFrame) -> DataFrame:
