@@ -22,19 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymill.functions.keys import uid, uid_of_rank, uid_rank, world
+from waymill.operators.graph import both_ways, least_labels
 from waymill.session import Scratch
 
 #: The search ends when a frontier holds fewer than 1 in THIN of the vertices reached.
 THIN = 8
 
 
-def _both_ways(e: DataFrame) -> DataFrame:
-    return e.select("w", "a", "b").unionByName(e.select("w", F.col("b").alias("a"), F.col("a").alias("b")))
-
-
 def _peel(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, DataFrame]:
     """(vertices of the giant component with their least vertex as root, the edges that are left)."""
-    sym = _both_ways(edges)
+    sym = both_ways(edges)
     degree = sym.groupBy("w", "a").agg(F.count(F.lit(1)).alias("n"))
     top = degree.agg(F.max(F.struct("n", "w", "a")).alias("t")).select("t.w", "t.a").filter("a IS NOT NULL")
     frontier = scratch.write(top, "frontier-0")
@@ -67,30 +64,6 @@ def _peel(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, DataFra
     return giant, rest.select("w", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _least_labels(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(w, a, root) of every vertex of the edges that isn't the least of its component."""
-    state, k = None, 0
-    e = scratch.write(edges.select("w", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges-0")
-    while True:
-        # large star: larger neighbours of a vertex move to the least vertex it sees
-        least = scratch.write(_both_ways(e).groupBy("w", "a").agg(F.min("b").alias("m")), f"least-{k}")
-        moved = e.join(least.select("w", F.col("a").alias("b"), "m"), ["w", "b"]).select("w", "a", F.least("b", "m").alias("b"))
-        moved = scratch.write(moved.distinct(), f"moved-{k}")
-        # small star: a vertex and its smaller neighbours move to the least of them
-        least2 = scratch.write(moved.groupBy("w", "a").agg(F.min("b").alias("m")), f"least2-{k}")
-        both = moved.join(least2, ["w", "a"])
-        pairs = F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        new = both.select("w", F.explode(pairs).alias("p")).select("w", "p.a", "p.b").filter("a <> b").distinct()
-        new = scratch.write(new, f"edges-{k + 1}")
-        now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("w", "a", "b").cast("decimal(38,0)"))).first()
-        for t in (f"edges-{k}", f"least-{k}", f"moved-{k}", f"least2-{k}"):
-            scratch.drop(t)
-        e, k = new, k + 1
-        if now == state:
-            return e.select("w", "a", F.col("b").alias("root"))
-        state = now
-
-
 def connected_groups(pairs: DataFrame) -> DataFrame:
     """(w, a, root) for every vertex of pairs (w, a, b): root is the least vertex of its group.
 
@@ -100,8 +73,8 @@ def connected_groups(pairs: DataFrame) -> DataFrame:
     pairs = pairs.filter("a IS NOT NULL AND b IS NOT NULL").select("w", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = scratch.write(pairs.distinct(), "pairs")
     giant, rest = _peel(pairs.filter("a <> b"), scratch)
-    small = _least_labels(rest, scratch)
-    every = _both_ways(pairs).select("w", "a").distinct()
+    small = least_labels(rest, scratch)
+    every = both_ways(pairs).select("w", "a").distinct()
     if giant is None:
         return every.join(small, ["w", "a"], "left").select("w", "a", F.coalesce("root", "a").alias("root"))
     # the giant's root may have been labelled with a tail
