@@ -146,7 +146,11 @@ def first_containing(c: Column, rules: list[tuple[tuple[str, ...], str]], defaul
 
 def any_lane(lanes: Column, rules: list[tuple[tuple[str, ...], str]], default: str) -> Column:
     """Class of the first rule of which any lane holds any part."""
+
+    def holds(parts: tuple[str, ...]) -> Column:
+        return F.exists(lanes, lambda v: sum((v.contains(p).cast("int") for p in parts), F.lit(0)) > 0)
+
     out = F.lit(default)
     for parts, name in reversed(rules):
-        out = F.when(F.exists(lanes, lambda v, parts=parts: sum((v.contains(p).cast("int") for p in parts), F.lit(0)) > 0), name).otherwise(out)
+        out = F.when(holds(parts), name).otherwise(out)
     return out
