@@ -38,5 +38,6 @@ def difference(df, con: duckdb.DuckDBPyConnection, sql: str) -> str:
     theirs = sorted((tuple(_plain(r[names.index(c)]) for c in order) for r in want_rows), key=repr)
     if mine == theirs:
         return ""
-    only, other = [r for r in mine if r not in set(theirs)], [r for r in theirs if r not in set(mine)]
+    a, b = set(mine), set(theirs)
+    only, other = sorted(a - b, key=repr), sorted(b - a, key=repr)
     return f"{len(mine)} rows and {len(theirs)}; only here {only[:3]}; only in SQL {other[:3]}"
