@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from waymill.functions.keys import token, uid, uid_of_rank, uid_rank
+from waymill.functions.texts import is_route_key
 from waymill.operators import graph, roadgraph
 from waymill.plans.geometry_queries import _u
 from waymill.plans.registry import Registry, Tables
@@ -111,11 +112,11 @@ _relaxed("smallRoads", "CASE WHEN one_lane THEN distance ELSE distance * 10 END"
 
 @R.query()
 def path_routes(t: Tables) -> DataFrame:
-    """The shortest route, whatever the direction of lanes, from each waypoint's node to that of the next stop."""
-    w = W.partitionBy("map_name", "route_key").orderBy("stop_index", "waypoint_id")
-    stops = t("waypoints").select("map_name", "route_key", "stop_index", "waypoint_id", uid("node_uid").alias("a")).distinct().withColumn("b", F.lead("a").over(w))
+    """The shortest route, whatever the direction of lanes, between the two nodes of each waypoint's route key."""
+    parts = F.split("route_key", "-")
+    keys = t("waypoints").filter(is_route_key(c("route_key"))).select("map_name", uid(parts[0]).alias("a"), uid(parts[1]).alias("b")).distinct()
     state = lambda k: F.xxhash64("map_name", k)
-    requests = stops.filter("a IS NOT NULL AND b IS NOT NULL").select(state("a").alias("src"), state("b").alias("dst"))
+    requests = keys.select(state("a").alias("src"), state("b").alias("dst"))
     own = edges(t).select("map_name", "node", "to", "distance").unionByName(roadgraph.prefab_edges(t("prefabs"), t("prefab_descriptions"), t("nodes")).select("map_name", "node", "to", "distance"))
     both = own.unionByName(own.select("map_name", c("to").alias("node"), c("node").alias("to"), "distance"))
     e = both.select(state("node").alias("src"), state("to").alias("dst"), c("distance").alias("cost"))
