@@ -59,13 +59,14 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int = 1, radius: float |
 
     if radius is not None:
         return _nearest(look(q, max(radius, 1e-9), radius), k, ["q_id"]).select("q_id", "p_id", "d", "rank")
-    lim = p.agg(F.min("px"), F.min("py"), F.max("px"), F.max("py"), F.count(F.lit(1))).first()
+    worlds = F.approx_count_distinct(F.struct(*by)) if by else F.lit(1).cast("bigint")
+    lim = p.agg(F.min("px"), F.min("py"), F.max("px"), F.max("py"), F.count(F.lit(1)), worlds if by else F.max(worlds)).first()
     if not lim[4]:
         return q.select("q_id", F.lit(None).cast(p.schema["p_id"].dataType).alias("p_id"), F.lit(0.0).alias("d"), F.lit(0).alias("rank")).limit(0)
     ql = q.agg(F.min("qx"), F.min("qy"), F.max("qx"), F.max("qy")).first()
     wide = [max(lim[i + 2], ql[i + 2] or lim[i + 2]) - min(lim[i], ql[i] if ql[i] is not None else lim[i]) for i in (0, 1)]
     extent = max(*wide, 1e-9)
-    size = max(math.sqrt(extent * extent * max(k, 1) * 2 / lim[4]), extent / 2**30)
+    size = max(math.sqrt(extent * extent * max(k, 1) * 2 * max(lim[5], 1) / lim[4]), extent / 2**30)
     left, done, n = scratch.write(q, "left-0"), None, 0
     while True:
         found = _nearest(look(left, size, math.inf), k, [*by, "q_id", "qx", "qy"])
