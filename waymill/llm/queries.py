@@ -50,7 +50,7 @@ def p7_similar(spark: SparkSession, d: str) -> DataFrame:
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages more than half of whose words stand in spam."""
     pages = spam.spam_pages(table(spark, d, "documents"))
-    return pages.filter(F.col("spam_words") * 2 > F.col("words")).select("doc_id")
+    return pages.filter(F.col("spam_words") * 2 > F.col("words")).select("doc_id").distinct()
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -134,25 +134,26 @@ def stretches(text: str, lang: str | None) -> list[tuple]:
     return out
 
 
-_SCHEMA = "doc_id bigint, lang string, n int, n_link int, " + ", ".join(f"{m} float" for m in MEASURES) + ", facts float"
+_SCHEMA = "doc_id bigint, key bigint, part int, lang string, n int, n_link int, " + ", ".join(f"{m} float" for m in MEASURES) + ", facts float"
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """One row for each stretch of each page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "lang", "n", "n_link", *MEASURES, "facts"]
+        names = ["doc_id", "key", "part", "lang", "n", "n_link", *MEASURES, "facts"]
         rows = []
         for pdf in batches:
-            for doc, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"], strict=True):
-                rows += [(doc, *x) for x in stretches(text, lang)]
+            for doc, key, text, lang in zip(pdf["doc_id"], pdf["key"], pdf["text"], pdf["lang"], strict=True):
+                rows += [(doc, key, i, *x) for i, x in enumerate(stretches(text, lang))]
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.select("doc_id", "text", "lang").filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").mapInPandas(run, _SCHEMA)
+    own = docs.select("doc_id", F.xxhash64("text", "lang").alias("key"), "text", "lang")
+    return own.filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").mapInPandas(run, _SCHEMA)
 
 
 def robust_frames(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -202,7 +203,7 @@ def scored(rows: DataFrame, frames: dict[str, tuple[np.ndarray, np.ndarray]]) ->
 
 
 def spam_pages(docs: DataFrame) -> DataFrame:
-    """(doc_id, words, spam_words) of every page with at least MIN_WORDS words."""
+    """(doc_id, words, spam_words) of every page with at least MIN_WORDS words, one row for each text of a doc_id."""
     scratch = Scratch(docs.sparkSession, "spam")
     rows = scratch.write(measured(docs), "stretches")
     frames = robust_frames(rows)
@@ -211,5 +212,7 @@ def spam_pages(docs: DataFrame) -> DataFrame:
     s = scored(rows, frames)
     words = F.col("n") + F.col("n_link")
     bad = F.when(F.col("spam"), words).when(F.col("n_link") > F.col("n"), F.col("n_link")).otherwise(0)  # a link may head a sentence
-    pages = s.groupBy("doc_id").agg(F.sum(words).alias("words"), F.sum(bad).alias("spam_words"))
+    copies = F.count_if(F.col("part") == 0)  # a row that stands there twice doubles its sums
+    pages = s.groupBy("doc_id", "key").agg(F.sum(words).alias("w"), F.sum(bad).alias("b"), copies.alias("c"))
+    pages = pages.select("doc_id", (F.col("w") / F.col("c")).cast("bigint").alias("words"), (F.col("b") / F.col("c")).cast("bigint").alias("spam_words"))
     return pages.filter(F.col("words") >= MIN_WORDS)
