@@ -2,11 +2,11 @@
 
 A page is cut into stretches (sentences, or lines where there are none), and each stretch is measured: share of
 function words, length, repetition of its words within the page, entropy of the page's content words around it, density
-of links, tags and product codes, and, apart, density of facts (clock times, field syntax). For each language, centre and
+of links, tags and product codes, and, apart, density of facts (clock times, field syntax) and sentence form. For each language, centre and
 scatter of the measures are robust ones over all stretches of the corpus: medians, median absolute deviations, and a
 covariance from the deviations of sums and differences of pairs, made positive definite. Sentences are the mass
 everywhere, so a stretch far away isn't a sentence; it counts as spam only if it lies away in a spam-directed
-direction: fewer function words, more repetition, less entropy, more links, tags or codes, and not towards facts.
+direction: fewer function words, more repetition, less entropy, more links, tags or codes, and not towards facts and sentences.
 A page is spam when more than half of its words stand in such stretches.
 
 The language of a stretch is the one whose function words it holds most of, else that of the page, else the column
@@ -35,10 +35,10 @@ from waymill.session import Scratch
 FUNCTION_WORDS = {
     "en": """a about after all although an and any are as at be because been before behind between but by can could did do
         does down during each every for from had has have he her here him his how i if in into is it its just keep last left
-        local many may more most my near need needs new no nobody not now of off often on once one only or our out over past
+        local many may more most my near need needs no nobody not now of off often on once one only or our out over past
         please she should so some still than that the their them then there these they this those through to too two under
         until up us usually was we were what when where which while who whose why will with without would yet you your""",
-    "de": """aber alle als am an auch auf aus bei bis da das dass dein dem den der des die dies diese dieser doch dort durch ein
+    "de": """ab aber alle als am an auch auf aus bei bis da das dass dein dem den der des die dies diese dieser doch dort durch ein
         eine einem einen einer er es fehlt für gegen gibt haben hat hier hinter ich im in ins ist ja jede jeder kann kein keine
         man mit morgens muss nach nachts nicht noch nur ob oder oft ohne sein sich sie sind so über um und uns unter vom von vor
         war warum was weg wenn wer werden wie will wir wird wo wurde zu zum zur zwischen""",
@@ -70,6 +70,7 @@ _HASH = re.compile(r"(?<!\S)#\w+")
 _LABEL = re.compile(r"^\W*(?:tags?|keywords?|labels?|schlagworte|schlagwörter|mots[- ]clés|etiquetas|tagi)\s*:", re.I)
 _CODE = re.compile(r"\b[A-Z]{2,}-?\d{2,}\b|\b\d+[.,]\d\d\s?(?:EUR|USD|GBP|PLN|zł|€|\$|£)|[€$£]\s?\d")
 _CLOCK = re.compile(r"\b\d?\d:\d\d\b")
+_END = re.compile(r"[.!?…][\"'»”)\]*_]*\s*$")
 _FIELD = re.compile(r"[\w.]+\s*[:=]\s*(?:[\"\d{\[]|\w+\.\w+)|[{}]")
 
 
@@ -130,6 +131,8 @@ def stretches(text: str, lang: str | None) -> list[tuple]:
         tags = len(_HASH.findall(p))
         dens = min(1.0, tags / n + 0.5 * bool(_LABEL.search(p)) + len(_CODE.findall(p)) / n * 2 + (marks / (n / 3 + marks) if marks else 0))
         facts = min(1.0, (2 * len(_CLOCK.findall(p)) + 2 * len(_FIELD.findall(p))) / n)
+        if share >= 0.12 and 5 <= n <= 80 and _END.search(p):  # has the form of a sentence
+            facts = min(1.0, facts + 0.1)
         out.append((code or page, n, n_link, share, abs(math.log(n / 10)), max(rep, again), thin, dens, facts))
     return out
 
