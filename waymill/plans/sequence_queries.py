@@ -154,7 +154,7 @@ def regressing_times(t: Tables) -> DataFrame:
 
 
 @R.query(
-    "SELECT user_id, max(open) AS most FROM (SELECT user_id, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS open FROM events) GROUP BY 1"
+    "SELECT user_id, CAST(max(open) AS BIGINT) AS most FROM (SELECT user_id, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS open FROM events) GROUP BY 1"
 )
 def concurrent_open(t: Tables) -> DataFrame:
     """Most subscriptions open at once, counted up by one kind of event and down by another."""
