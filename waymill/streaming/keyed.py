@@ -9,13 +9,18 @@ of its batch twin in operators.sequence.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# processors also go to a Python process of the driver that gets no files sent, so they carry their code with them
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENTS = "key bigint, seq bigint, ts timestamp, value string, number double"
