@@ -52,6 +52,14 @@ def test_hierarchy_of_many_levels(spark, monkeypatch):
     assert {(r.world, r.id, r.region) for r in got} == want
 
 
+def test_more_worlds_than_roots(spark, monkeypatch):
+    monkeypatch.setattr(proximity, "ROOTS", 1)
+    ring = [{"x": float(x), "y": float(y)} for x, y in ((0, 0), (4, 0), (4, 4), (0, 4))]
+    regions = spark.createDataFrame([(w, i, ring) for i, w in enumerate("abc")], "world string, region bigint, ring array<struct<x double, y double>>")
+    points = spark.createDataFrame([("a", 1, 1.0, 1.0), ("c", 2, 2.0, 2.0), ("d", 3, 1.0, 1.0), ("b", 4, 5.0, 1.0)], "world string, id bigint, x double, y double")
+    assert {(r.id, r.region) for r in proximity.regions_of(points, regions).collect()} == {(1, 0), (2, 2)}
+
+
 def test_knn_without_and_with_radius(spark):
     p, q = sample(5, 200), sample(6, 60)
     near = lambda w, x, y, k, most: sorted((((x - a) ** 2 + (y - b) ** 2) ** 0.5, j) for v, j, a, b in p if v == w and ((x - a) ** 2 + (y - b) ** 2) ** 0.5 <= most)[:k]

@@ -146,10 +146,13 @@ class BoxHierarchy:
             if n <= max(ROOTS, node.select("world").distinct().count()):
                 break
             below = node.drop("node").withColumnRenamed("up", "node")
-        self.roots = node.select("world", "node", "x0", "y0", "x1", "y1").toPandas()
+        # as many roots as worlds may be left; only a bounded number is handed to the tasks
+        self.roots = node.select("world", "node", "x0", "y0", "x1", "y1").toPandas() if n <= ROOTS else None
 
     def descend(self, points: DataFrame) -> DataFrame:
         """points (world, id, x, y) with the leaf `node` of every item whose leaf box holds them."""
+        if self.roots is None:
+            return self._down(points, self.levels)
         boxes = {w: (g["node"].to_numpy(), g[["x0", "y0", "x1", "y1"]].to_numpy()) for w, g in self.roots.groupby("world")}
 
         @F.pandas_udf("array<bigint>")
@@ -165,12 +168,17 @@ class BoxHierarchy:
                         out[rows[r]] = node[hit[r]].tolist()
             return pd.Series(out)
 
-        at = points.withColumn("up", F.explode(roots_of("world", "x", "y")))
-        for level in reversed(self.levels[:-1]):
+        return self._down(points.withColumn("up", F.explode(roots_of("world", "x", "y"))), self.levels[:-1])
+
+    def _down(self, at: DataFrame, levels: list[DataFrame]) -> DataFrame:
+        """Rows from their node `up` (from the roots of their world, where they have none) to the leaves."""
+        for level in reversed(levels):
             b = level.withColumnsRenamed({"world": "b_world", "up": "b_up"})
             inside = (b["x0"] <= at["x"]) & (at["x"] <= b["x1"]) & (b["y0"] <= at["y"]) & (at["y"] <= b["y1"])
-            at = at.join(b, (at["world"] == b["b_world"]) & (at["up"] == b["b_up"]) & inside)
-            at = at.select("world", "id", "x", "y", F.col("node").alias("up"))
+            same = at["world"] == b["b_world"]
+            if "up" in at.columns:
+                same = same & (at["up"] == b["b_up"])
+            at = at.join(b, same & inside).select("world", "id", "x", "y", F.col("node").alias("up"))
         return at.withColumnRenamed("up", "node")
 
 
