@@ -67,8 +67,10 @@ class OrphanTracker:
         self.spark, self.bounds, self.step = spark, list(bounds), 0
         self.scratch = Scratch(spark, "orphans")
         batch = lambda t: sum((F.when(t >= ntz(b), 1).otherwise(0) for b in self.bounds), F.lit(0))
-        self.refs = self.scratch.write(refs.withColumn("batch", batch(F.col("arrived_at"))), "refs", ("batch",))
-        self.parents = self.scratch.write(parents.withColumn("batch", batch(F.col("arrived_at"))), "parents", ("batch",))
+        # rebalanced by batch, a batch is a few files of good size however many tasks read the input
+        by_batch = lambda df: df.withColumn("batch", batch(F.col("arrived_at"))).hint("rebalance", "batch")
+        self.refs = self.scratch.write(by_batch(refs), "refs", ("batch",))
+        self.parents = self.scratch.write(by_batch(parents), "parents", ("batch",))
         self.pending: DataFrame | None = None
         self.found: list[DataFrame] = []
         self.snapshots: list[DataFrame] = []
