@@ -51,17 +51,25 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
         return _mixed(out)
 
 
-def fingerprints(h: np.ndarray, window: int) -> np.ndarray:
-    """SimHash of every window of so many words, over its shingles."""
-    size = min(SHINGLE, window)
+def shingle_bits(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes and their bits."""
     s = shingles(h, size)
+    return s, np.unpackbits(s.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8)
+
+
+def fingerprints(h: np.ndarray, window: int, known: dict | None = None) -> np.ndarray:
+    """SimHash of every window of so many words, over its shingles; known keeps the bits for further lengths."""
+    size = min(SHINGLE, window)
+    known = {} if known is None else known
+    if size not in known:
+        known[size] = shingle_bits(h, size)
+    s, bits = known[size]
     each = window - size + 1
     n = len(s) - each + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     if each == 1:
         return s
-    bits = np.unpackbits(s.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8)
     total = np.zeros((n, 64), np.int8)
     for i in range(each):
         total += bits[i : n + i]
@@ -134,31 +142,47 @@ def weighted_similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
     return float(np.minimum(x, y).sum() / top) if top else 0.0
 
 
-def hits(tokens: list[str], index: ItemIndex, hashes: WordHashes, exact: bool) -> dict[int, float]:
-    """Best similarity by item of one text; exact keeps only windows whose words are the item's."""
-    out: dict[int, float] = {}
-    overlap = max(index.by_length, default=1) - 1
-    for at in range(0, max(len(tokens) - overlap, 1), CHUNK):
-        piece = tokens[at : at + CHUNK + overlap]
-        h = hashes.of(piece)
-        for n, (near, items, words_of, weights) in index.by_length.items():
-            prints = fingerprints(h, n)
-            if not len(prints):
-                continue
-            probe, item = near.within(prints)
-            if not len(probe):
-                continue
-            pairs = np.unique(np.stack([probe, item], 1), axis=0)
-            same = (h[pairs[:, 0, None] + np.arange(n)] == words_of[pairs[:, 1]]).all(axis=1)
-            for (p, i), equal in zip(pairs.tolist(), same.tolist(), strict=True):
-                key = int(items[i])
-                if equal:
-                    out[key] = 1.0
-                elif not exact and out.get(key, 0.0) < 1.0:
-                    size = min(SHINGLE, n)
-                    s = weighted_similarity(shingles(h[p : p + n], size), len_weights(piece[p : p + n]), shingles(words_of[i], size), weights[i])
-                    if s >= SIMILAR:
-                        out[key] = max(out.get(key, 0.0), s)
+def pieces(texts: Iterator[tuple[int, list[str]]], overlap: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """Documents' words in lots of about CHUNK words; a longer document is cut, its pieces overlapping."""
+    lot, size = [], 0
+    for doc, tokens in texts:
+        for at in range(0, max(len(tokens) - overlap, 1), CHUNK):
+            piece = tokens[at : at + CHUNK + overlap]
+            lot.append((doc, piece))
+            size += len(piece)
+            if size >= CHUNK:
+                yield lot
+                lot, size = [], 0
+    if lot:
+        yield lot
+
+
+def hits(lot: list[tuple[int, list[str]]], index: ItemIndex, hashes: WordHashes, exact: bool) -> dict[tuple[int, int], float]:
+    """Best similarity by (item, document) of a lot of documents, whose words are looked at in one array; exact keeps
+    only windows whose words are the item's."""
+    out: dict[tuple[int, int], float] = {}
+    tokens = [w for _, t in lot for w in t]
+    h = hashes.of(tokens)
+    known: dict = {}
+    owner = np.repeat(np.arange(len(lot)), [len(t) for _, t in lot])
+    for n, (near, items, words_of, weights) in index.by_length.items():
+        if len(h) < n:
+            continue
+        whole = np.flatnonzero(owner[: len(h) - n + 1] == owner[n - 1 :])  # windows within one document
+        probe, item = near.within(fingerprints(h, n, known)[whole])
+        if not len(probe):
+            continue
+        pairs = np.unique(np.stack([whole[probe], item], 1), axis=0)
+        same = (h[pairs[:, 0, None] + np.arange(n)] == words_of[pairs[:, 1]]).all(axis=1)
+        for (p, i), equal in zip(pairs.tolist(), same.tolist(), strict=True):
+            key = int(items[i]), lot[owner[p]][0]
+            if equal:
+                out[key] = 1.0
+            elif not exact and out.get(key, 0.0) < 1.0:
+                size = min(SHINGLE, n)
+                s = weighted_similarity(shingles(h[p : p + n], size), len_weights(tokens[p : p + n]), shingles(words_of[i], size), weights[i])
+                if s >= SIMILAR:
+                    out[key] = max(out.get(key, 0.0), s)
     return out
 
 
@@ -191,11 +215,10 @@ def leaks(docs: DataFrame, items: DataFrame, exact: bool = True) -> DataFrame:
         index = spark.sparkContext.broadcast(ItemIndex([(r[0], list(r[1])) for r in own.toLocalIterator()]))
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            hashes = WordHashes()
-            for pdf in batches:
-                rows = []
-                for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                    rows += [(item, doc, s) for item, s in hits(words(text), index.value, hashes, exact).items()]
+            hashes, overlap = WordHashes(), max(index.value.by_length, default=1) - 1
+            texts = ((doc, words(text)) for pdf in batches for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True))
+            for lot in pieces(texts, overlap):
+                rows = [(*key, s) for key, s in hits(lot, index.value, hashes, exact).items()]
                 yield pd.DataFrame(rows, columns=["item_id", "doc_id", "similarity"])
 
         part = texts.mapInPandas(run, "item_id bigint, doc_id bigint, similarity double")

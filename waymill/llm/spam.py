@@ -74,14 +74,27 @@ _END = re.compile(r"[.!?…][\"'»”)\]*_]*\s*$")
 _FIELD = re.compile(r"[\w.]+\s*[:=]\s*(?:[\"\d{\[]|\w+\.\w+)|[{}]")
 
 
-def language(words: list[str]) -> tuple[str | None, int]:
-    """The language whose function words are most, and how many they are."""
+class _Counts(dict):
+    """Packed counts by word: one lane of 24 bits for each language that has it as a function word."""
+
+    def __missing__(self, word: str) -> int:
+        return 0
+
+
+_PACKED = _Counts()
+for _i, _lang in enumerate(LANGS):
+    for _w in _WORDS[_lang]:
+        _PACKED[_w] = _PACKED[_w] | 1 << 24 * _i
+
+
+def language(packed: int) -> tuple[str | None, int]:
+    """The language whose function words are most, and how many they are, of summed packed counts."""
     best, most = None, 0
-    for code in LANGS:
-        known = _WORDS[code]
-        n = sum(w in known for w in words)
-        if n > most:
-            best, most = code, n
+    if packed:
+        for i, code in enumerate(LANGS):
+            n = packed >> 24 * i & 0xFFFFFF
+            if n > most:
+                best, most = code, n
     return best, most
 
 
@@ -105,21 +118,22 @@ def stretches(text: str, lang: str | None) -> list[tuple]:
     pieces = [p for p in _SPLIT.split(text) if p and p.strip()]
     tokens = [[w.lower() for w in _WORD.findall(p)] for p in pieces]
     flat = [w for t in tokens for w in t]
-    page = language(flat)[0] or (lang or "").strip().lower()[:2]
+    packed = [sum(map(_PACKED.__getitem__, t)) for t in tokens]
+    page = language(sum(packed))[0] or (lang or "").strip().lower()[:2]
     page = page if page in _WORDS else LANGS[0]
     fw = _WORDS[page]
     content = Counter(w for w in flat if w not in fw and not w.isdigit())
     pairs = Counter((a, b) for t in tokens for a, b in zip(t, t[1:], strict=False) if a not in fw and b not in fw and not a.isdigit() and not b.isdigit())
     out, link = [], 0
     total = sum(content.values())
-    for p, t in zip(pieces, tokens, strict=True):
+    for p, t, hits in zip(pieces, tokens, packed, strict=True):
         marks = p.count("\u0001")
         n_link, link = sum(links[link : link + marks]), link + marks
         n = len(t)
         if n == 0:
             out.append((page, 0, n_link, 0.0, 0.0, 0.0, 0.0, float(n_link > 0), 0.0))
             continue
-        code, hits = language(t)
+        code, hits = language(hits)
         own = [w for w in t if w not in fw and not w.isdigit()]
         share = hits / n
         # repetition: content words that the page holds again and again beyond what its length explains
@@ -128,9 +142,11 @@ def stretches(text: str, lang: str | None) -> list[tuple]:
         again = sum(pairs[x] > 1 for x in zip(t, t[1:], strict=False)) / max(n - 1, 1)
         kinds = len(set(own))
         thin = 1 - kinds / len(own) if len(own) > 3 else 0.0
-        tags = len(_HASH.findall(p))
-        dens = min(1.0, tags / n + 0.5 * bool(_LABEL.search(p)) + len(_CODE.findall(p)) / n * 2 + (marks / (n / 3 + marks) if marks else 0))
-        facts = min(1.0, (2 * len(_CLOCK.findall(p)) + 2 * len(_FIELD.findall(p))) / n)
+        tags = len(_HASH.findall(p)) if "#" in p else 0
+        dens = min(1.0, tags / n + 0.5 * (":" in p and bool(_LABEL.search(p))) + len(_CODE.findall(p)) / n * 2 + (marks / (n / 3 + marks) if marks else 0))
+        facts = 0.0
+        if ":" in p or "=" in p or "{" in p or "}" in p:
+            facts = min(1.0, (2 * len(_CLOCK.findall(p)) + 2 * len(_FIELD.findall(p))) / n)
         if share >= 0.12 and 5 <= n <= 80 and _END.search(p):  # has the form of a sentence
             facts = min(1.0, facts + 0.1)
         out.append((code or page, n, n_link, share, abs(math.log(n / 10)), max(rep, again), thin, dens, facts))
