@@ -31,11 +31,11 @@ def route_steps(t: Tables) -> DataFrame:
     return s.select("route", c("step").cast("bigint").alias("step"), "turn", F.round("distance", 3).alias("distance"), "first", "last")
 
 
-@R.query()
+@R.query(f"SELECT route, step, turn, CASE WHEN distance <= 3000 THEN lead(turn) OVER (PARTITION BY route ORDER BY step) END AS then FROM ({ORACLES['route_steps']})")
 def then_hints(t: Tables) -> DataFrame:
     """Steps with the turn that follows within 3,000 units."""
     s = routing.steps(suppliers(t).select(c("nation").alias("route"), c("id").alias("ord"), "x", "y"))
-    return routing.with_next(s, 3000.0).select("route", "step", "turn", "then")
+    return routing.with_next(s, 3000.0).select("route", c("step").cast("bigint").alias("step"), "turn", "then")
 
 
 @R.query(

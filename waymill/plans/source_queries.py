@@ -69,7 +69,7 @@ def locale_zip(t: Tables) -> DataFrame:
     return readers.locale_entries(df).select("key", "val")
 
 
-@R.query()
+@R.query("SELECT n AS name, v AS content FROM (VALUES ('x.json', '[2]'), ('y.json', '[3]')) t(n, v)")
 def zip_source(t: Tables) -> DataFrame:
     """Files of a zip archive by base name, the later of two with the same name."""
     s = Scratch(t.spark, "zip")

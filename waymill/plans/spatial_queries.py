@@ -217,7 +217,11 @@ def location_enrich(t: Tables) -> DataFrame:
     return out.select("id", "nation", F.coalesce("inside", "near").alias("city"), F.when(c("inside").isNotNull(), 0.0).otherwise(F.round("d", 4)).alias("d"))
 
 
-@R.query()
+@R.query(
+    f"""WITH RECURSIVE p AS {_POINTS}, n AS (SELECT a.map_name, a.id, b.id AS other FROM p a JOIN p b ON a.map_name = b.map_name AND abs(a.x-b.x) <= 6 AND {_DIST} <= 6), k AS (SELECT map_name, id FROM n GROUP BY ALL HAVING count(*) >= 4),
+    e AS (SELECT n.map_name, n.id, n.other FROM n JOIN k ON k.id = n.id JOIN k k2 ON k2.id = n.other), r AS (SELECT id AS s, id AS t FROM k UNION SELECT r.s, e.other FROM r JOIN e ON e.id = r.t), l AS (SELECT s AS id, min(t) AS cluster FROM r GROUP BY 1)
+    SELECT p.map_name, p.id, coalesce(l.cluster, (SELECT min(l2.cluster) FROM n JOIN l l2 ON l2.id = n.other WHERE n.id = p.id)) AS cluster, l.id IS NOT NULL AS core FROM p LEFT JOIN l ON l.id = p.id"""
+)
 def dbscan_clusters(t: Tables) -> DataFrame:
     """Density clusters of guard points (radius 6, four points)."""
     return spatial.dbscan(points(t).select("map_name", "id", "x", "y"), 6.0, 4, ("map_name",))
