@@ -70,10 +70,13 @@ def _uid(c: str) -> str:
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_group_sizes, p6_containers, p6_fill, p7_found, p7_similar, p8_found, p8_shares)}
 
-ORACLES = {
-    "p4_found": f"""
+_GROUPS = f"""
 WITH RECURSIVE m AS (SELECT DISTINCT map_name, {_uid("feature_a")} AS a, {_uid("feature_b")} AS b FROM road_matches WHERE {_uid("feature_a")} IS NOT NULL AND {_uid("feature_b")} IS NOT NULL),
 e AS (SELECT map_name, a, b FROM m UNION SELECT map_name, b, a FROM m),
-r AS (SELECT map_name, a AS s, a AS t FROM e UNION SELECT r.map_name, r.s, e.b FROM r JOIN e ON e.map_name = r.map_name AND e.a = r.t)
-SELECT DISTINCT s AS road_feature, ltrim(min(lpad(t, 16, '0')), '0') AS group_feature FROM r GROUP BY map_name, s""",
+r AS (SELECT map_name, a AS s, a AS t FROM e UNION SELECT r.map_name, r.s, e.b FROM r JOIN e ON e.map_name = r.map_name AND e.a = r.t),
+g AS (SELECT map_name, s AS road_feature, ltrim(min(lpad(t, 16, '0')), '0') AS group_feature FROM r GROUP BY map_name, s)"""
+
+ORACLES = {
+    "p4_found": f"{_GROUPS} SELECT DISTINCT road_feature, group_feature FROM g",
+    "p4_group_sizes": f"{_GROUPS} SELECT roads, count(*) AS n_groups FROM (SELECT map_name, group_feature, count(*) AS roads FROM g GROUP BY ALL) GROUP BY 1",
 }
