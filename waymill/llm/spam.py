@@ -11,8 +11,8 @@ A page is spam when more than half of its words stand in such stretches.
 
 The language of a stretch is the one whose function words it holds most of, else that of the page, else the column
 `lang`. Pages with null, empty or tiny text (below MIN_WORDS words) are no cases; very long texts are read whole, and
-a page's cost is linear in its length. Only sketches of quantiles per language are aggregated over the corpus, and
-five languages are told apart by construction, so what the driver receives is a few hundred numbers whatever the size.
+a page's cost is linear in its length. Only histograms per language are aggregated over the corpus, and five
+languages are told apart by construction, so what the driver receives is bounded by the number of bins, whatever the size.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ MIN_WORDS, FAR, LEAN = 12, 2.3, 4.0
 #: Least scale of each measure: below it a deviation says nothing.
 FLOOR = {"fw": 0.08, "shape": 0.35, "rep": 0.15, "flat": 0.08, "dens": 0.10}
 
-_INVISIBLE = dict.fromkeys([*range(0x200B, 0x200E), 0x2060, 0xFEFF, 0xAD])
+_INVISIBLE = re.compile("[\u200b-\u200d\u2060\ufeff\u00ad]")
 _LINK = re.compile(r"<a\s[^>]*>(.*?)</a>|!?\[([^\]\n]*)\]\((?:https?://|www\.)[^)\s]*\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/\S+", re.I | re.S)
 _TAG = re.compile(r"<[^<>]*>")
 _BREAK = re.compile(r"<(?:br|/?p|/?li|/?div|/?h\d|/?tr|/?ul|/?ol)\b[^<>]*>", re.I)
@@ -102,11 +102,13 @@ def stretches(text: str, lang: str | None) -> list[tuple]:
     """(language, words, link words, *measures, facts) of a page's stretches."""
     text = html.unescape(text) if "&" in text else text
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(_INVISIBLE))
+        text = _INVISIBLE.sub("", text)
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
     text = _BREAK.sub("\n", text) if "<" in text else text
     parts, at = [], 0  # links become a mark and keep their number of words
     links: list[int] = []
-    for m in _LINK.finditer(text):
+    for m in _LINK.finditer(text) if "/" in text or "www." in text.lower() else ():
         inner = m.group(1) or m.group(2) or ""
         parts += [text[at : m.start()], " \u0001 "]
         links.append(len(_WORD.findall(_TAG.sub(" ", m.group(0)))) or 1)
@@ -116,17 +118,24 @@ def stretches(text: str, lang: str | None) -> list[tuple]:
     text = "".join(parts)
     text = _TAG.sub(" ", text) if "<" in text else text
     pieces = [p for p in _SPLIT.split(text) if p and p.strip()]
-    tokens = [[w.lower() for w in _WORD.findall(p)] for p in pieces]
-    flat = [w for t in tokens for w in t]
+    tokens = [_WORD.findall(p.lower()) if p.isascii() else [w.lower() for w in _WORD.findall(p)] for p in pieces]
     packed = [sum(map(_PACKED.__getitem__, t)) for t in tokens]
     page = language(sum(packed))[0] or (lang or "").strip().lower()[:2]
     page = page if page in _WORDS else LANGS[0]
     fw = _WORDS[page]
-    content = Counter(w for w in flat if w not in fw and not w.isdigit())
-    pairs = Counter((a, b) for t in tokens for a, b in zip(t, t[1:], strict=False) if a not in fw and b not in fw and not a.isdigit() and not b.isdigit())
+    known = {w for w in set().union(*tokens) if w not in fw and not w.isdigit()}  # content words
+    owns = [[w for w in t if w in known] for t in tokens]
+    beside = [[x for x in zip(t, t[1:], strict=False) if x[0] in known and x[1] in known] for t in tokens]
+    content, pairs = Counter(), Counter()
+    for own, two in zip(owns, beside, strict=True):
+        content.update(own)
+        pairs.update(two)
+    # repetition: content words that the page holds again and again beyond what its length explains, and repeated pairs
+    often = max(2.0, 0.012 * content.total())
+    frequent = {w for w, k in content.items() if k > often}
+    repeated = {x for x, k in pairs.items() if k > 1}
     out, link = [], 0
-    total = sum(content.values())
-    for p, t, hits in zip(pieces, tokens, packed, strict=True):
+    for p, t, hits, own, two in zip(pieces, tokens, packed, owns, beside, strict=True):
         marks = p.count("\u0001")
         n_link, link = sum(links[link : link + marks]), link + marks
         n = len(t)
@@ -134,14 +143,10 @@ def stretches(text: str, lang: str | None) -> list[tuple]:
             out.append((page, 0, n_link, 0.0, 0.0, 0.0, 0.0, float(n_link > 0), 0.0))
             continue
         code, hits = language(hits)
-        own = [w for w in t if w not in fw and not w.isdigit()]
         share = hits / n
-        # repetition: content words that the page holds again and again beyond what its length explains
-        often = max(2.0, 0.012 * total)
-        rep = sum(content[w] > often for w in own) / n if own else 0.0
-        again = sum(pairs[x] > 1 for x in zip(t, t[1:], strict=False)) / max(n - 1, 1)
-        kinds = len(set(own))
-        thin = 1 - kinds / len(own) if len(own) > 3 else 0.0
+        rep = len([w for w in own if w in frequent]) / n
+        again = len([x for x in two if x in repeated]) / max(n - 1, 1)
+        thin = 1 - len(set(own)) / len(own) if len(own) > 3 else 0.0
         tags = len(_HASH.findall(p)) if "#" in p else 0
         dens = min(1.0, tags / n + 0.5 * (":" in p and bool(_LABEL.search(p))) + len(_CODE.findall(p)) / n * 2 + (marks / (n / 3 + marks) if marks else 0))
         facts = 0.0
@@ -175,31 +180,67 @@ def measured(docs: DataFrame) -> DataFrame:
     return own.filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").mapInPandas(run, _SCHEMA)
 
 
+#: Bins of the histograms from which quantiles are read: so many to a unit, values above the last one fall in it.
+BINS, TOP = 1000, 12
+
+
+def _histograms(rows: DataFrame, values) -> dict[tuple[str, str], np.ndarray]:
+    """Histograms by (language, name) of what values(language, measures) gives for a batch: name -> array.
+
+    Every task sums its own rows and hands over one histogram a language and name; all of them are added up.
+    """
+    schema = "lang string, name string, bin int, n bigint"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[tuple[str, str], np.ndarray] = {}
+        for pdf in batches:
+            for lang, g in pdf.groupby("lang"):
+                for name, v in values(lang, g[list(MEASURES)].to_numpy(float)).items():
+                    bins = np.minimum(v * BINS, BINS * TOP - 1).astype(np.int64)
+                    own[lang, name] = own.get((lang, name), 0) + np.bincount(bins, minlength=BINS * TOP)
+        for (lang, name), h in own.items():
+            at = np.flatnonzero(h)
+            yield pd.DataFrame({"lang": lang, "name": name, "bin": at, "n": h[at]})
+
+    parts = rows.filter("n > 0").select("lang", *MEASURES).mapInPandas(run, schema)
+    out: dict[tuple[str, str], np.ndarray] = {}
+    for r in parts.groupBy("lang", "name", "bin").agg(F.sum("n").alias("n")).collect():
+        out.setdefault((r["lang"], r["name"]), np.zeros(BINS * TOP, np.int64))[r["bin"]] = r["n"]
+    return out
+
+
+def _median(h: np.ndarray) -> float:
+    """The lower median, to a bin's width."""
+    return int(np.searchsorted(np.cumsum(h), (h.sum() + 1) // 2)) / BINS
+
+
 def robust_frames(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """(centre, inverse scatter) of the measures by language, from quantile sketches over all stretches."""
-    words = rows.filter("n > 0")
-    med = lambda c: F.percentile_approx(c, 0.5, 2000)
-    centre = {r["lang"]: np.array([r[m] for m in MEASURES]) for r in words.groupBy("lang").agg(*[med(m).alias(m) for m in MEASURES]).collect()}
-    if not centre:
-        return {}
-    mid = F.create_map(*[x for lang, c in centre.items() for x in (F.lit(lang), F.array(*[F.lit(float(v)) for v in c]))])[F.col("lang")]
-    z = [F.col(m) - mid[i] for i, m in enumerate(MEASURES)]
-    k = len(MEASURES)
-    aggs = [med(F.abs(v)).alias(f"d{i}") for i, v in enumerate(z)]
-    unit = [v / FLOOR[m] for v, m in zip(z, MEASURES, strict=True)]
-    aggs += [med(F.abs(unit[i] + s * unit[j])).alias(f"{'p' if s > 0 else 'm'}{i}{j}") for i in range(k) for j in range(i) for s in (1, -1)]
+    """(centre, inverse scatter) of the measures by language, from histograms over all stretches."""
+    plain = _histograms(rows, lambda lang, x: {m: x[:, i] for i, m in enumerate(MEASURES)})
+    langs = sorted({lang for lang, _ in plain})
+    centre = {g: np.array([_median(plain[g, m]) for m in MEASURES]) for g in langs}
+    k, floor = len(MEASURES), np.array([FLOOR[m] for m in MEASURES])
+
+    def spread(lang: str, x: np.ndarray) -> dict[str, np.ndarray]:
+        u = (x - centre[lang]) / floor
+        one = {f"d{i}": np.abs(u[:, i]) for i in range(k)}
+        return one | {f"{c}{i}{j}": np.abs(u[:, i] + s * u[:, j]) for i in range(k) for j in range(i) for c, s in (("p", 1), ("m", -1))}
+
+    wide = _histograms(rows, spread)
     out = {}
-    for r in words.groupBy("lang").agg(*aggs).collect():
-        scale = np.array([max(1.4826 * r[f"d{i}"] / FLOOR[m], 1.0) for i, m in enumerate(MEASURES)])
+    for g in langs:
+        d = {name: _median(h) for (lang, name), h in wide.items() if lang == g}
+        scale = np.maximum(1.4826 * np.array([d[f"d{i}"] for i in range(k)]), 1.0)
         cov = np.diag(scale**2)
         for i in range(k):
             for j in range(i):
-                c = 1.4826**2 * (r[f"p{i}{j}"] ** 2 - r[f"m{i}{j}"] ** 2) / 4
-                cov[i, j] = cov[j, i] = np.clip(c, -0.5, 0.5) * min(scale[i], scale[j]) if abs(c) < 1 else np.sign(c) * 0.5 * scale[i] * scale[j]
+                c = 1.4826**2 * (d[f"p{i}{j}"] ** 2 - d[f"m{i}{j}"] ** 2) / 4
+                most = 0.5 * scale[i] * scale[j]
+                cov[i, j] = cov[j, i] = np.clip(c, -most, most)
         val, vec = np.linalg.eigh(cov)
         cov = vec @ np.diag(np.maximum(val, 0.25)) @ vec.T
-        unit_of = np.diag([1 / FLOOR[m] for m in MEASURES])
-        out[r["lang"]] = (centre[r["lang"]], unit_of @ np.linalg.inv(cov) @ unit_of)
+        unit = np.diag(1 / floor)
+        out[g] = (centre[g], unit @ np.linalg.inv(cov) @ unit)
     return out
 
 

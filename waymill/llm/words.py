@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 _TAG = re.compile(r"<[^<>]*>")
-_DROPPED = dict.fromkeys([*range(0x200B, 0x200E), 0x2060, 0xFEFF, 0xAD])
+_DROPPED = re.compile("[\u200b-\u200d\u2060\ufeff\u00ad]")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -21,7 +21,9 @@ def words(text: str) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(_DROPPED))
+        text = _DROPPED.sub("", text)
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
     return _WORD.findall(text.lower())
 
 
