@@ -37,3 +37,15 @@ def test_period_ends(spark):
     df = spark.createDataFrame([(D(2, 3),), (D(7, 1),)], "arrived_at timestamp_ntz")
     assert period_ends(spark, df, 3) == [D(4), D(7), D(10)]
     assert len(period_ends(spark, df.limit(0), 3)) == 1
+
+
+def test_stray_times_dont_make_many_batches(spark, data, monkeypatch):
+    from waymill.operators import orphans
+    from waymill.plans.problems import _map_tables
+
+    tables = _map_tables(spark, data)
+    want = sorted(map(tuple, orphans.track(spark, tables).all_found().collect()))
+    monkeypatch.setattr(orphans, "MOST_BATCHES", 2)
+    few = orphans.track(spark, tables)
+    assert few.step <= 2
+    assert sorted(map(tuple, few.all_found().collect())) == want

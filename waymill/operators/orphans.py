@@ -28,6 +28,8 @@ from waymill.session import Scratch
 
 REF = ["src_table", "src_key", "ref_field", "ref_table", "map_name", "ref_key", "arrived_at"]
 KEY = ["ref_table", "map_name", "ref_key"]
+#: Batches of one run at most.
+MOST_BATCHES = 24
 
 
 def ntz(t: datetime) -> Column:
@@ -155,6 +157,13 @@ def map_references(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
 
 
 def track(spark: SparkSession, tables: dict[str, DataFrame], months: int = 3) -> OrphanTracker:
-    """Run the tracker over all map tables in batches of so many months."""
+    """Run the tracker over all map tables in batches of so many months.
+
+    Where a few stray times stretch the span, the periods are doubled until there are at most MOST_BATCHES; what is
+    found doesn't depend on them.
+    """
     times = _union([tables[t].select("arrived_at") for t in ("roads", "prefabs", "waypoints")])
-    return OrphanTracker(spark, *map_references(tables), period_ends(spark, times, months)).run()
+    ends = period_ends(spark, times, months)
+    while len(ends) > MOST_BATCHES:
+        ends = [*ends[1::2], *ends[-1:]] if len(ends) % 2 else ends[1::2]
+    return OrphanTracker(spark, *map_references(tables), ends).run()
