@@ -23,28 +23,38 @@ def both_ways(e: DataFrame) -> DataFrame:
     return e.select("w", "a", "b").unionByName(e.select("w", F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def least_labels(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def rewired(edges: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """Edges (w, a, b) with a > b after round k of minimum propagation over rewired neighbourhoods.
+
+    The larger neighbours of a vertex, then a vertex and its smaller ones, are linked to the least vertex seen, so the
+    components stay and distances within them shrink. Minima are aggregated before the shuffle, and both sides of the
+    joins are written tables, so AQE splits what a hot vertex receives.
+    """
+    least = scratch.write(both_ways(edges).groupBy("w", "a").agg(F.min("b").alias("m")), f"least-{k}")
+    moved = edges.join(least.select("w", F.col("a").alias("b"), "m"), ["w", "b"]).select("w", "a", F.least("b", "m").alias("b"))
+    moved = scratch.write(moved.distinct(), f"moved-{k}")
+    least2 = scratch.write(moved.groupBy("w", "a").agg(F.min("b").alias("m")), f"least2-{k}")
+    both = moved.join(least2, ["w", "a"])
+    pairs = F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+    new = both.select("w", F.explode(pairs).alias("p")).select("w", "p.a", "p.b").filter("a <> b").distinct()
+    new = scratch.write(new, f"rewired-{k}")
+    for t in (f"least-{k}", f"moved-{k}", f"least2-{k}"):
+        scratch.drop(t)
+    return new
+
+
+def least_labels(edges: DataFrame, scratch: Scratch, k: int = 0) -> DataFrame:
     """(w, a, root) of every vertex of the edges (w, a, b) that isn't the least of its component.
 
-    Minimum propagation over rewired neighbourhoods: larger neighbours of a vertex, then a vertex and its smaller ones,
-    are linked to the least vertex seen; rounds grow with the logarithm of the longest chain. Minima are aggregated
-    before the shuffle, and both sides of the joins are written tables, so AQE splits what a hot vertex receives.
+    Rounds of rewired() until nothing changes; their number grows with the logarithm of the longest chain. k is the
+    number of the first round.
     """
-    state, k = None, 0
-    e = scratch.write(edges.select("w", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b"), "edges-0")
+    state, e = None, scratch.write(edges.select("w", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b"), f"rewired-{k}")
     while True:
-        least = scratch.write(both_ways(e).groupBy("w", "a").agg(F.min("b").alias("m")), f"least-{k}")
-        moved = e.join(least.select("w", F.col("a").alias("b"), "m"), ["w", "b"]).select("w", "a", F.least("b", "m").alias("b"))
-        moved = scratch.write(moved.distinct(), f"moved-{k}")
-        least2 = scratch.write(moved.groupBy("w", "a").agg(F.min("b").alias("m")), f"least2-{k}")
-        both = moved.join(least2, ["w", "a"])
-        pairs = F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        new = both.select("w", F.explode(pairs).alias("p")).select("w", "p.a", "p.b").filter("a <> b").distinct()
-        new = scratch.write(new, f"edges-{k + 1}")
-        now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("w", "a", "b").cast("decimal(38,0)"))).first()
-        for t in (f"edges-{k}", f"least-{k}", f"moved-{k}", f"least2-{k}"):
-            scratch.drop(t)
-        e, k = new, k + 1
+        k += 1
+        e = rewired(e, scratch, k)
+        scratch.drop(f"rewired-{k - 1}")
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("w", "a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return e.select("w", "a", F.col("b").alias("root"))
         state = now
