@@ -1,14 +1,14 @@
 """Pairwise matches consolidated into groups: giant component peeled first, the rest by minimum propagation.
 
-The vertex of the highest degree starts a breadth-first search whose frontiers are joined with the edges. What it
-reaches is one group; it is anti-joined away, and the hottest keys with it. The search goes on while its frontiers
-stay wide (a giant component has a small diameter); should it run into a long thin tail, the part reached so far is
-contracted into one vertex and its tail is labelled with the rest, so chains of any length stay cheap.
+The vertex of the highest degree starts a breadth-first search whose frontiers are joined with the edges. A frontier is
+anti-joined away from the edges as soon as it has been expanded, and the edges that are left are rewired by one round of
+minimum propagation before the next frontier: their components stay, but distances within them shrink, so the search
+exhausts its component in a number of rounds logarithmic in the longest chain, whatever its shape.
 
-The rest is labelled by minimum propagation over neighbourhoods that are rewired as they go (every vertex links its
-larger neighbours, then its smaller ones, to the least vertex it sees), which takes a number of rounds logarithmic in
-the longest chain. Every round aggregates a minimum per vertex before the shuffle; no neighbourhood is ever collected.
-Round tables go to the shared folder, so that a lost executor costs no more than a stage, and old ones are deleted.
+What is left then holds no vertex of the giant component and is labelled by further rounds of minimum propagation
+(every vertex links its larger neighbours, then its smaller ones, to the least vertex it sees). Every round aggregates a
+minimum per vertex before the shuffle; no neighbourhood is ever collected. Round tables go to the shared folder, so that
+a lost executor costs no more than a stage, and old ones are deleted.
 
 Joins of a round read both sides from written tables, so AQE splits what a hot vertex receives.
 
@@ -22,46 +22,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymill.functions.keys import uid, uid_of_rank, uid_rank, world
-from waymill.operators.graph import both_ways, least_labels
+from waymill.operators.graph import both_ways, least_labels, rewired
 from waymill.session import Scratch
 
-#: The search ends when a frontier holds fewer than 1 in THIN of the vertices reached.
-THIN = 8
 
-
-def _peel(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, DataFrame]:
-    """(vertices of the giant component with their least vertex as root, the edges that are left)."""
-    sym = both_ways(edges)
-    degree = sym.groupBy("w", "a").agg(F.count(F.lit(1)).alias("n"))
+def _peel(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, DataFrame, int]:
+    """(vertices of the component of the vertex of the highest degree with their least one as root, the edges that are
+    left, rounds made). edges: (w, a, b), a > b, each once."""
+    degree = both_ways(edges).groupBy("w", "a").agg(F.count(F.lit(1)).alias("n"))
     top = degree.agg(F.max(F.struct("n", "w", "a")).alias("t")).select("t.w", "t.a").filter("a IS NOT NULL")
     frontier = scratch.write(top, "frontier-0")
     if frontier.isEmpty():
-        return None, edges
-    seen, reached, k = [frontier], 1, 0
+        return None, edges, 0
+    giant, k = frontier, 0
     while True:
         k += 1
-        new = sym.join(frontier, ["w", "a"]).select("w", F.col("b").alias("a")).distinct()
-        for s in seen[-2:]:  # a neighbour of a frontier lies in the frontier before, in it, or is new
-            new = new.join(s, ["w", "a"], "left_anti")
-        frontier = scratch.write(new, f"frontier-{k}")
-        n = frontier.count()
-        if n == 0:
-            break
-        seen.append(frontier)
-        reached += n
-        if n * THIN < reached:
+        new = both_ways(edges).join(frontier, ["w", "a"]).select("w", F.col("b").alias("a")).distinct()
+        new = scratch.write(new.join(frontier, ["w", "a"], "left_anti"), f"frontier-{k}")
+        left = edges
+        for side in "ab":
+            gone = frontier.select("w", F.col("a").alias(side))
+            left = left.join(gone, ["w", side], "left_anti")
+        left = scratch.write(left.select("w", "a", "b"), f"left-{k}")
+        if new.isEmpty():
             break
-    giant = seen[0]
-    for s in seen[1:]:
-        giant = giant.unionByName(s)
+        giant, frontier = giant.unionByName(new), new
+        edges = rewired(left, scratch, k)
+        scratch.drop(f"left-{k}")
+        if k > 1:
+            scratch.drop(f"rewired-{k - 1}")
     root = giant.agg(F.min("a")).first()[0]
-    giant = scratch.write(giant.withColumn("root", F.lit(root).cast("bigint")), "giant")
-    if n == 0:
-        return giant, edges.join(giant, ["w", "a"], "left_anti")
-    g = [giant.select("w", F.col("a").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
-    rest = edges.join(g[0], ["w", "a"], "left").join(g[1], ["w", "b"], "left")
-    rest = rest.select("w", F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b")
-    return giant, rest.select("w", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return scratch.write(giant.withColumn("root", F.lit(root).cast("bigint")), "giant"), left, k
 
 
 def connected_groups(pairs: DataFrame) -> DataFrame:
@@ -70,19 +61,14 @@ def connected_groups(pairs: DataFrame) -> DataFrame:
     w is a text, a and b are BIGINTs whose order is the order of the result.
     """
     scratch = Scratch(pairs.sparkSession, "groups")
-    pairs = pairs.filter("a IS NOT NULL AND b IS NOT NULL").select("w", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.filter("a IS NOT NULL AND b IS NOT NULL").select("w", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = scratch.write(pairs.distinct(), "pairs")
-    giant, rest = _peel(pairs.filter("a <> b"), scratch)
-    small = least_labels(rest, scratch)
+    giant, left, k = _peel(pairs.filter("a <> b"), scratch)
+    labels = least_labels(left, scratch, k + 1)
+    if giant is not None:
+        labels = labels.unionByName(giant.select("w", "a", "root"))
     every = both_ways(pairs).select("w", "a").distinct()
-    if giant is None:
-        return every.join(small, ["w", "a"], "left").select("w", "a", F.coalesce("root", "a").alias("root"))
-    # the giant's root may have been labelled with a tail
-    g = giant.select("w", "a", F.col("root").alias("g"))
-    s = small.select("w", F.col("a").alias("s_a"), "root")
-    out = every.join(g, ["w", "a"], "left").withColumn("x", F.coalesce("g", "a")).drop("g")
-    out = out.join(s.withColumnRenamed("w", "s_w"), (F.col("w") == F.col("s_w")) & (F.col("x") == F.col("s_a")), "left")
-    return out.select("w", "a", F.coalesce("root", "x").alias("root"))
+    return every.join(labels, ["w", "a"], "left").select("w", "a", F.coalesce("root", "a").alias("root"))
 
 
 def group_matches(matches: DataFrame) -> DataFrame:
