@@ -1,40 +1,55 @@
-"""References to records that do not exist: pending-orphan state kept batch by batch.
+"""References to records that do not exist: keyed pending-orphan state kept period by period.
 
 A reference is an orphan at time t when no row of the table it names, in the same world, has its key, arrived at
-or before t and is not removed at t. OrphanTracker advances over batches of arrivals:
+or before t and is not removed at t. OrphanTracker takes in one calendar period of arrivals after the other:
 
 * new references probe the parent index as of their own arrival; those that miss are recorded as found;
-* at the end of a batch, parents that arrived resolve waiting orphans, and removals reopen the references that
-  had been resolved; what is open is the pending state, counted per table and field as a snapshot.
-
-The index, the references and the pending orphans are tables in the shared folder, so a step reads only its own
-batch, the index and the (small) pending state. Joins are equi-joins on (table, world, key) with the time as a
-further condition; anti and semi joins keep only one row a reference, and AQE splits a hot key of the probing side.
-
-Rows whose reference is null, blank or `0` take no part. References without arrival time take no part; parents
-without arrival time never arrived. Malformed uids equal only themselves. Repeated rows count once.
+* at the end of a period, parents that arrived resolve what waited for their key, and removals reopen the references
+  of a key that had been resolved; what is open is counted by table and field as a snapshot.
+
+All references of a key are open or closed together, so the state is one row for each (key, source table, field): how
+many references there are and whether the key is missing. The parent index holds only intervals that aren't over. A
+step reads its own period's arrivals, the index and the state, never the history: their size follows the number of
+keys, not that of references or periods. The state is a folder; a tracker opened on a named one goes on after the last
+period taken in and leaves out rows of periods that it has seen. Periods without an arrival or removal need no step:
+their snapshot is the one before. So a stray time costs one step, and the periods are always those asked for.
+
+Joins are equi-joins on (table, world, key) with the time as a further condition. Tables of few rows (counted, at most
+BROADCAST_ROWS) are probed by a broadcast before anything is shuffled, so a hot key of theirs never meets in one task;
+anti joins with large tables keep only one row a reference, and AQE splits a hot key of the probing side. References
+are counted by key before they are shuffled.
+
+Rows whose reference is null, blank or `0`, or that have no key of their own, take no part. References without arrival
+time take no part; parents without arrival time never arrived. Malformed uids equal only themselves. Repeated rows
+count once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymill.functions.keys import token, uid, world
-from waymill.session import Scratch
+from waymill.session import BROADCAST_ROWS, Scratch
 
 REF = ["src_table", "src_key", "ref_field", "ref_table", "map_name", "ref_key", "arrived_at"]
 KEY = ["ref_table", "map_name", "ref_key"]
-#: Batches of one run at most.
-MOST_BATCHES = 24
+OWNER = [*KEY, "src_table", "ref_field"]
+_REFS = "src_table string, src_key string, ref_field string, ref_table string, map_name string, ref_key string, arrived_at timestamp_ntz"
+_INDEX = "ref_table string, map_name string, ref_key string, p_from timestamp_ntz, p_to timestamp_ntz"
+_STATE = "ref_table string, map_name string, ref_key string, src_table string, ref_field string, n_before bigint, n_new bigint, n_found bigint, was_open boolean, open boolean"
+_SNAPSHOT = "period bigint, src_table string, ref_field string, new_orphans bigint, reopened bigint, open_orphans bigint"
+
 
+def period_of(t: Column, months: int) -> Column:
+    """Number of the period of so many calendar months that holds a time."""
+    return F.floor((F.year(t) * 12 + F.month(t) - 1) / months)
 
-def ntz(t: datetime) -> Column:
-    """A literal of a timestamp without zone, whatever the session's zone is."""
-    return F.expr(f"TIMESTAMP_NTZ '{t:%Y-%m-%d %H:%M:%S.%f}'")
+
+def period_start(n: Column, months: int) -> Column:
+    """First moment of a period."""
+    m = n * months
+    return F.make_timestamp_ntz(F.floor(m / 12).cast("int"), (m % 12 + 1).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
 
 
 def reference(df: DataFrame, src_table: str, src_key, ref_field: str, ref_table: str, ref_key) -> DataFrame:
@@ -47,7 +62,7 @@ def reference(df: DataFrame, src_table: str, src_key, ref_field: str, ref_table:
         world(df["map_name"]).alias("map_name"),
         ref_key.alias("ref_key"),
         df["arrived_at"].alias("arrived_at"),
-    ).filter("ref_key IS NOT NULL AND ref_key <> '0' AND arrived_at IS NOT NULL")
+    ).filter("ref_key IS NOT NULL AND ref_key <> '0' AND arrived_at IS NOT NULL AND src_key IS NOT NULL")
 
 
 def parent(df: DataFrame, name: str, key) -> DataFrame:
@@ -62,58 +77,98 @@ def parent(df: DataFrame, name: str, key) -> DataFrame:
 
 
 class OrphanTracker:
-    """Keyed pending-orphan state over batches; see the module's text."""
-
-    def __init__(self, spark: SparkSession, refs: DataFrame, parents: DataFrame, bounds: Sequence[datetime]):
-        """bounds: ascending ends of the batches; a row belongs to the first batch whose end lies after it."""
-        self.spark, self.bounds, self.step = spark, list(bounds), 0
-        self.scratch = Scratch(spark, "orphans")
-        batch = lambda t: sum((F.when(t >= ntz(b), 1).otherwise(0) for b in self.bounds), F.lit(0))
-        # rebalanced by batch, a batch is a few files of good size however many tasks read the input
-        by_batch = lambda df: df.withColumn("batch", batch(F.col("arrived_at"))).hint("rebalance", "batch")
-        self.refs = self.scratch.write(by_batch(refs), "refs", ("batch",))
-        self.parents = self.scratch.write(by_batch(parents), "parents", ("batch",))
-        self.pending: DataFrame | None = None
-        self.found: list[DataFrame] = []
-        self.snapshots: list[DataFrame] = []
-
-    def advance(self) -> None:
-        """Take in the next batch."""
-        k, end = self.step, ntz(self.bounds[self.step])
-        index = self.parents.filter(F.col("batch") <= k)
-        new = self.refs.filter(F.col("batch") == k).select(*REF)
-        p = index.select(*[F.col(c).alias(f"p_{c}") for c in KEY], F.col("arrived_at").alias("p_from"), F.col("removed_at").alias("p_to"))
+    """Keyed pending-orphan state over periods of so many months; see the module's text.
+
+    state names a folder in the shared folder that outlives the tracker; without one the state goes with the run.
+    """
+
+    def __init__(self, spark: SparkSession, months: int = 3, state: str | None = None):
+        self.spark, self.months = spark, months
+        self.scratch = Scratch(spark, "orphans", state)
+        done = self.scratch.read("steps", "period bigint").collect() if self.scratch.has("steps") else []
+        self.periods = sorted(r[0] for r in done)  # periods taken in, one row each
+
+    def _kept(self, name: str, schema: str) -> DataFrame:
+        return self.scratch.read(f"{name}-{self.periods[-1]}", schema) if self.periods else self.spark.createDataFrame([], schema)
+
+    def take(self, refs: DataFrame, parents: DataFrame) -> OrphanTracker:
+        """Take in every period of the references after the last one seen."""
+        last = self.periods[-1] if self.periods else None
+        p = parents.select(*KEY, F.col("arrived_at").alias("p_from"), F.col("removed_at").alias("p_to")).filter("p_to IS NULL OR p_to > p_from")
+        refs = refs.select(*REF).withColumn("period", period_of(F.col("arrived_at"), self.months))
+        p = p.withColumn("period", period_of(F.col("p_from"), self.months))
+        if last is not None:
+            refs, p = refs.filter(F.col("period") > last), p.filter(F.col("period") > last)
+        # rebalanced by period, a period is a few files of good size however many tasks read the input
+        refs = self.scratch.write(refs.hint("rebalance", "period"), "refs", ("period",))
+        lo, hi = refs.agg(F.min("period"), F.max("period")).first()
+        if lo is None:
+            return self
+        lo = lo if last is None else last + 1
+        p = p.filter(F.col("period") <= hi).withColumn("period", F.greatest(F.col("period"), F.lit(lo)))
+        p = self.scratch.write(p.hint("rebalance", "period"), "parents", ("period",))
+        ends = p.select("p_to").unionByName(self._kept("index", _INDEX).select("p_to")).select(period_of(F.col("p_to"), self.months).alias("period"))
+        events = refs.select("period").unionByName(p.select("period")).unionByName(ends).filter(F.col("period").between(lo, hi))
+        size = p.groupBy("ref_table").agg(F.count(F.lit(1)).alias("n")).unionByName(self._kept("index", _INDEX).groupBy("ref_table").agg(F.count(F.lit(1)).alias("n")))
+        tiny = [r[0] for r in size.groupBy("ref_table").agg(F.sum("n").alias("n")).filter(F.col("n") <= BROADCAST_ROWS).collect()]
+        for period in sorted(r[0] for r in events.distinct().collect()):
+            self._step(period, refs.filter(F.col("period") == period).select(*REF), p.filter(F.col("period") == period), tiny)
+        self.scratch.drop("refs")
+        self.scratch.drop("parents")
+        return self
+
+    def _step(self, period: int, new: DataFrame, arrived: DataFrame, tiny: list[str]) -> None:
+        scratch, end = self.scratch, period_start(F.lit(period + 1), self.months)
+        index = self._kept("index", _INDEX).unionByName(arrived.select(*KEY, "p_from", "p_to"))
+        state = self._kept("state", _STATE).select(*OWNER, (F.col("n_before") + F.col("n_new")).alias("n_before"), F.col("open").alias("was_open"))
+        is_tiny = F.col("ref_table").isin(tiny) if tiny else F.lit(False)
+        few, many = index.filter(is_tiny), index.filter(~is_tiny)
+        renamed = {c: f"p_{c}" for c in KEY}
         same = [F.col(c) == F.col(f"p_{c}") for c in KEY]
         at_arrival = (F.col("p_from") <= F.col("arrived_at")) & (F.col("p_to").isNull() | (F.col("p_to") > F.col("arrived_at")))
-        found = self.scratch.write(new.join(p, [*same, at_arrival], "left_anti").distinct(), f"found-{k}")
-        live = p.filter(F.col("p_to").isNull() | (F.col("p_to") > end))
-        gone = p.filter((F.col("p_to") <= end) & ((F.col("p_to") > ntz(self.bounds[k - 1])) if k else F.lit(True)))
-        gone = self.scratch.write(gone.select(*[F.col(f"p_{c}").alias(c) for c in KEY]).distinct().join(live, same, "left_anti"), f"gone-{k}")
-        waiting = found if self.pending is None else found.unionByName(self.pending)
-        reopened = self.refs.filter(F.col("batch") <= k).select(*REF).join(gone, KEY, "left_semi")
-        candidates = waiting.withColumn("was", F.lit(1)).unionByName(reopened.withColumn("was", F.lit(0)))
-        candidates = candidates.groupBy(*REF).agg(F.max("was").alias("was"))
-        still = self.scratch.write(candidates.join(live, same, "left_anti"), f"pending-{k}")
-        new_n = found.groupBy("src_table", "ref_field").agg(F.count(F.lit(1)).alias("new_orphans"))
-        n = still.groupBy("src_table", "ref_field").agg(F.count(F.lit(1)).alias("open_orphans"), F.sum(1 - F.col("was")).alias("reopened"))
-        self.snapshots.append(n.join(new_n, ["src_table", "ref_field"], "full").select(
-            ntz(self.bounds[k]).alias("period_end"), "src_table", "ref_field",
-            *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("new_orphans", "reopened", "open_orphans")],
-        ))
-        self.pending = still.select(*REF)
-        self.found.append(found)
-        self.step += 1
-
-    def run(self) -> OrphanTracker:
-        while self.step < len(self.bounds):
-            self.advance()
-        return self
+        found = new.join(F.broadcast(few.withColumnsRenamed(renamed)), [*same, at_arrival], "left_anti")
+        found = found.join(many.withColumnsRenamed(renamed), [*same, at_arrival], "left_anti").distinct()
+        found = scratch.write(found, f"found/period={period}")
+        zero, no = F.lit(0).cast("bigint"), F.lit(False)
+        counts = [
+            state.select(*OWNER, "n_before", zero.alias("n_new"), zero.alias("n_found"), "was_open"),
+            new.distinct().groupBy(*OWNER).agg(F.count(F.lit(1)).alias("n_new")).select(*OWNER, zero.alias("n_before"), "n_new", zero.alias("n_found"), no.alias("was_open")),
+            found.groupBy(*OWNER).agg(F.count(F.lit(1)).alias("n_found")).select(*OWNER, zero.alias("n_before"), zero.alias("n_new"), "n_found", no.alias("was_open")),
+        ]
+        merged = _union(counts).groupBy(*OWNER).agg(*[F.sum(c).alias(c) for c in ("n_before", "n_new", "n_found")], F.bool_or("was_open").alias("was_open"))
+        lives = lambda df: df.filter((F.col("p_from") < end) & (F.col("p_to").isNull() | (F.col("p_to") > end))).select(*KEY).distinct()
+        merged = merged.join(F.broadcast(lives(few).withColumn("live_a", F.lit(True))), KEY, "left").join(lives(many).withColumn("live_b", F.lit(True)), KEY, "left")
+        merged = merged.withColumn("open", F.col("live_a").isNull() & F.col("live_b").isNull())
+        merged = scratch.write(merged.select(*OWNER, "n_before", "n_new", "n_found", "was_open", "open"), f"state-{period}")
+        back = F.when(~F.col("was_open"), F.col("n_before")).otherwise(0) + F.col("n_new") - F.col("n_found")
+        opened = lambda c: F.sum(F.when(F.col("open"), c).otherwise(0))
+        shot = merged.groupBy("src_table", "ref_field").agg(F.sum("n_found").alias("new_orphans"), opened(back).alias("reopened"), opened(F.col("n_before") + F.col("n_new")).alias("open_orphans"))
+        scratch.write(shot.select(F.lit(period).cast("bigint").alias("period"), "*"), f"snapshots/at={period}")
+        scratch.write(index.filter(F.col("p_to").isNull() | (F.col("p_to") > end)), f"index-{period}")
+        scratch.append(self.spark.range(1).select(F.lit(period).cast("bigint").alias("period")), "steps")
+        if self.periods:
+            scratch.drop(f"state-{self.periods[-1]}")
+            scratch.drop(f"index-{self.periods[-1]}")
+        self.periods.append(period)
 
     def all_found(self) -> DataFrame:
-        return _union(self.found)
+        """Every reference that named no record when it arrived."""
+        if not self.periods:
+            return self.spark.createDataFrame([], _REFS)
+        return self.scratch.read([f"found/period={p}" for p in self.periods], _REFS)
 
     def all_snapshots(self) -> DataFrame:
-        return _union(self.snapshots)
+        """(period_end, src_table, ref_field, new_orphans, reopened, open_orphans) of every period from the first one of
+        the references to their last, where any of the counts isn't 0."""
+        if not self.periods:
+            shots = self.spark.createDataFrame([], _SNAPSHOT).withColumn("upto", F.lit(0))
+        else:
+            span = self.spark.createDataFrame(list(zip(self.periods, [*self.periods[1:], self.periods[-1] + 1], strict=True)), "period bigint, upto bigint")
+            shots = self.scratch.read([f"snapshots/at={p}" for p in self.periods], _SNAPSHOT).join(F.broadcast(span), "period")
+        every = shots.withColumn("at", F.explode(F.sequence(F.col("period"), F.col("upto") - 1)))
+        own = lambda c: F.when(F.col("at") == F.col("period"), F.col(c)).otherwise(0).cast("bigint").alias(c)
+        out = every.select(period_start(F.col("at") + 1, self.months).alias("period_end"), "src_table", "ref_field", own("new_orphans"), own("reopened"), "open_orphans")
+        return out.filter("new_orphans > 0 OR open_orphans > 0")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -123,19 +178,6 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def period_ends(spark: SparkSession, times: DataFrame, months: int) -> list[datetime]:
-    """Ends of the periods of so many calendar months that cover a column `arrived_at`; at least one."""
-    lo, hi = times.agg(F.min("arrived_at"), F.max("arrived_at")).first()
-    if lo is None:
-        return [datetime(1970, 1, 1)]
-    ends, y, m = [], lo.year, (lo.month - 1) // months * months
-    while not ends or ends[-1] <= hi:
-        m += months
-        y, m = y + m // 12, m % 12
-        ends.append(datetime(y, m + 1, 1))
-    return ends
-
-
 def map_references(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """References and parents of the map tables."""
     roads, prefabs, waypoints = tables["roads"], tables["prefabs"], tables["waypoints"]
@@ -156,14 +198,6 @@ def map_references(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return _union(refs), _union(parents)
 
 
-def track(spark: SparkSession, tables: dict[str, DataFrame], months: int = 3) -> OrphanTracker:
-    """Run the tracker over all map tables in batches of so many months.
-
-    Where a few stray times stretch the span, the periods are doubled until there are at most MOST_BATCHES; what is
-    found doesn't depend on them.
-    """
-    times = _union([tables[t].select("arrived_at") for t in ("roads", "prefabs", "waypoints")])
-    ends = period_ends(spark, times, months)
-    while len(ends) > MOST_BATCHES:
-        ends = [*ends[1::2], *ends[-1:]] if len(ends) % 2 else ends[1::2]
-    return OrphanTracker(spark, *map_references(tables), ends).run()
+def track(spark: SparkSession, tables: dict[str, DataFrame], months: int = 3, state: str | None = None) -> OrphanTracker:
+    """Run the tracker over all map tables in periods of so many months, or go on with a named state."""
+    return OrphanTracker(spark, months, state).take(*map_references(tables))

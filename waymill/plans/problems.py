@@ -44,7 +44,7 @@ def _map_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Every reference that named no record when it arrived."""
     found = orphans.track(spark, _map_tables(spark, d)).all_found()
-    return found.select("src_table", "src_key", "ref_field", "ref_key", F.date_format("arrived_at", "yyyy-MM").alias("arrival_ym")).filter("src_key IS NOT NULL").distinct()
+    return found.select("src_table", "src_key", "ref_field", "ref_key", F.date_format("arrived_at", "yyyy-MM").alias("arrival_ym")).distinct()
 
 
 def p2_snapshots(spark: SparkSession, d: str) -> DataFrame:
@@ -138,20 +138,20 @@ p AS (SELECT 'nodes' AS t, map_name AS m, {_sql_uid("uid")} AS k, arrived_at AS
       UNION ALL SELECT 'road_looks', map_name, {_sql_token("token")}, arrived_at, removed_at FROM road_looks
       UNION ALL SELECT 'prefab_descriptions', map_name, {_sql_token("token")}, arrived_at, removed_at FROM prefab_descriptions)
 SELECT DISTINCT src_table, src_key, ref_field, ref_key, strftime(arrived_at, '%Y-%m') AS arrival_ym FROM r
-WHERE ref_key IS NOT NULL AND ref_key <> '0' AND arrived_at IS NOT NULL AND NOT EXISTS (
+WHERE src_key IS NOT NULL AND ref_key IS NOT NULL AND ref_key <> '0' AND arrived_at IS NOT NULL AND NOT EXISTS (
   SELECT 1 FROM p WHERE p.t = r.ref_table AND p.m = r.map_name AND p.k = r.ref_key AND p.a <= r.arrived_at AND (p.z IS NULL OR p.z > r.arrived_at))""",
     "p2_snapshots": f"""
-WITH r AS (SELECT DISTINCT * FROM ({_sql_refs()}) WHERE ref_key IS NOT NULL AND ref_key <> '0' AND arrived_at IS NOT NULL),
+WITH r AS (SELECT DISTINCT * FROM ({_sql_refs()}) WHERE ref_key IS NOT NULL AND ref_key <> '0' AND arrived_at IS NOT NULL AND src_key IS NOT NULL),
 p AS (SELECT 'nodes' AS t, map_name AS m, {_sql_uid("uid")} AS k, arrived_at AS a, removed_at AS z FROM nodes
       UNION ALL SELECT 'road_looks', map_name, {_sql_token("token")}, arrived_at, removed_at FROM road_looks
       UNION ALL SELECT 'prefab_descriptions', map_name, {_sql_token("token")}, arrived_at, removed_at FROM prefab_descriptions),
-lim AS (SELECT date_trunc('quarter', min(arrived_at))::TIMESTAMP AS lo, max(arrived_at) AS hi FROM (SELECT arrived_at FROM roads UNION ALL SELECT arrived_at FROM prefabs UNION ALL SELECT arrived_at FROM waypoints)),
+lim AS (SELECT date_trunc('quarter', min(arrived_at))::TIMESTAMP AS lo, max(arrived_at) AS hi FROM r),
 q AS (SELECT lo + to_months(CAST(3 * i AS INTEGER)) AS b, lo + to_months(CAST(3 * i + 3 AS INTEGER)) AS e FROM (SELECT lo, unnest(range(0, date_diff('quarter', lo, hi) + 1)) AS i FROM lim)),
 f AS (SELECT q.e, r.* FROM r JOIN q ON r.arrived_at >= q.b AND r.arrived_at < q.e WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.t = r.ref_table AND p.m = r.map_name AND p.k = r.ref_key AND p.a <= r.arrived_at AND (p.z IS NULL OR p.z > r.arrived_at))),
 o AS (SELECT q.b, q.e, r.* FROM q JOIN r ON r.arrived_at < q.e WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.t = r.ref_table AND p.m = r.map_name AND p.k = r.ref_key AND p.a < q.e AND (p.z IS NULL OR p.z > q.e))),
 w AS (SELECT o.e, o.src_table, o.ref_field, prev.src_key IS NULL AND f.src_key IS NULL AS again FROM o
-  LEFT JOIN o prev ON prev.e = o.b AND prev.src_table = o.src_table AND prev.src_key = o.src_key AND prev.ref_field = o.ref_field AND prev.map_name = o.map_name AND prev.ref_key = o.ref_key AND prev.arrived_at = o.arrived_at
-  LEFT JOIN f ON f.e = o.e AND f.src_table = o.src_table AND f.src_key = o.src_key AND f.ref_field = o.ref_field AND f.map_name = o.map_name AND f.ref_key = o.ref_key AND f.arrived_at = o.arrived_at),
+  LEFT JOIN o prev ON prev.e = o.b AND prev.src_table = o.src_table AND prev.src_key = o.src_key AND prev.ref_field = o.ref_field AND prev.map_name IS NOT DISTINCT FROM o.map_name AND prev.ref_key = o.ref_key AND prev.arrived_at = o.arrived_at
+  LEFT JOIN f ON f.e = o.e AND f.src_table = o.src_table AND f.src_key = o.src_key AND f.ref_field = o.ref_field AND f.map_name IS NOT DISTINCT FROM o.map_name AND f.ref_key = o.ref_key AND f.arrived_at = o.arrived_at),
 a AS (SELECT e, src_table, ref_field, count(*) AS n FROM f GROUP BY ALL), b AS (SELECT e, src_table, ref_field, count(*) AS n, count(*) FILTER (again) AS again FROM w GROUP BY ALL)
 SELECT coalesce(a.e, b.e) AS period_end, coalesce(a.src_table, b.src_table) AS src_table, coalesce(a.ref_field, b.ref_field) AS ref_field, coalesce(a.n, 0) AS new_orphans, coalesce(b.again, 0) AS reopened, coalesce(b.n, 0) AS open_orphans
 FROM a FULL JOIN b ON a.e = b.e AND a.src_table = b.src_table AND a.ref_field = b.ref_field""",

@@ -71,12 +71,14 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Named tables of one run in the shared folder; they outlive lost executors and go with the application."""
+    """Named tables of one run in the shared folder; they outlive lost executors and go with the application, unless
+    they are kept under a name of the caller's."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, keep: str | None = None):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self._end)
+        self.root = f"{shared_dir(spark)}/{name}-{keep or uuid.uuid4().hex[:12]}"
+        if keep is None:
+            atexit.register(self._end)
 
     def _end(self) -> None:
         try:
@@ -93,11 +95,20 @@ class Scratch:
         writer.parquet(path)
         return self.read(name, df.schema)
 
-    def read(self, name: str, schema=None) -> DataFrame:
+    def append(self, df: DataFrame, name: str) -> None:
+        df.write.mode("append").parquet(f"{self.root}/{name}")
+
+    def read(self, name: str | list[str], schema=None) -> DataFrame:
+        """One table, or several of one schema."""
         reader = self.spark.read
         if schema is not None:
             reader = reader.schema(schema)
-        return reader.parquet(f"{self.root}/{name}")
+        return reader.parquet(*[f"{self.root}/{n}" for n in ([name] if isinstance(name, str) else name)])
+
+    def has(self, name: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
     def drop(self, name: str) -> None:
         delete(self.spark, f"{self.root}/{name}")
