@@ -1,28 +1,38 @@
 """Keyword-stuffed and link-list pages by robust Mahalanobis distance.
 
+A first pass over all texts learns the function words of every language named in `lang`: words that stand in lower case
+between two other words of a sentence, in at least FW_SHARE of the language's documents, and there rather than at its
+ends. A language with fewer than LANG_DOCS documents has no words of its own.
+
 A page is cut into stretches (sentences, or lines where there are none), and each stretch is measured: share of
-function words, length, repetition of its words within the page, entropy of the page's content words around it, density
-of links, tags and product codes, and, apart, density of facts (clock times, field syntax) and sentence form. For each language, centre and
-scatter of the measures are robust ones over all stretches of the corpus: medians, median absolute deviations, and a
-covariance from the deviations of sums and differences of pairs, made positive definite. Sentences are the mass
-everywhere, so a stretch far away isn't a sentence; it counts as spam only if it lies away in a spam-directed
-direction: fewer function words, more repetition, less entropy, more links, tags or codes, and not towards facts and sentences.
-A page is spam when more than half of its words stand in such stretches.
-
-The language of a stretch is the one whose function words it holds most of, else that of the page, else the column
-`lang`. Pages with null, empty or tiny text (below MIN_WORDS words) are no cases; very long texts are read whole, and
-a page's cost is linear in its length. Only histograms per language are aggregated over the corpus, and five
-languages are told apart by construction, so what the driver receives is bounded by the number of bins, whatever the size.
+function words, length, repetition of its words within the page, unevenness (how few different content words it
+holds), density of links, tags, product codes and list marks, and, apart, density of facts (clock times, field syntax)
+and sentence form. For each language, centre and scatter of the measures are robust ones over all stretches of the
+corpus: medians, median absolute deviations, and a covariance from the deviations of sums and differences of pairs,
+made positive definite. Sentences are the mass everywhere, so a stretch far away isn't a sentence; it counts as spam
+only if it lies away in a spam-directed direction: fewer function words, more repetition, less entropy, more links,
+tags or codes, and not towards facts and sentences. A page is spam when more than half of its words stand in such
+stretches.
+
+A stretch belongs to the language whose function words make up at least KNOWN of its words. One that belongs to none
+but has the form of a sentence is measured against the scatter of all stretches without the axis of function words
+(class OTHER), so a page isn't spam for being in a language that the corpus hardly holds. One without that form is
+measured as its page's language asks, or against the scatter of all stretches (class ANY) if the page has none.
+
+Pages with null, empty or tiny text (below MIN_WORDS words) are no cases; very long texts are read whole, and a page's
+cost is linear in its length. Words are numbered and measured in arrays, many pages at a time. Over the corpus only
+counts by (language, word) and histograms by language are aggregated; the driver receives the function words, at most
+FW_MOST a language, and histograms of a fixed number of bins. Names of languages are two or three letters.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,152 +41,262 @@ from pyspark.sql import functions as F
 
 from waymill.session import Scratch
 
-#: Frequent function words by language.
-FUNCTION_WORDS = {
-    "en": """a about after all although an and any are as at be because been before behind between but by can could did do
-        does down during each every for from had has have he her here him his how i if in into is it its just keep last left
-        local many may more most my near need needs no nobody not now of off often on once one only or our out over past
-        please she should so some still than that the their them then there these they this those through to too two under
-        until up us usually was we were what when where which while who whose why will with without would yet you your""",
-    "de": """ab aber alle als am an auch auf aus bei bis da das dass dein dem den der des die dies diese dieser doch dort durch ein
-        eine einem einen einer er es fehlt für gegen gibt haben hat hier hinter ich im in ins ist ja jede jeder kann kein keine
-        man mit morgens muss nach nachts nicht noch nur ob oder oft ohne sein sich sie sind so über um und uns unter vom von vor
-        war warum was weg wenn wer werden wie will wir wird wo wurde zu zum zur zwischen""",
-    "fr": """a à après au aux avant avec avons bien ce ces cet cette chez comme contre dans de depuis derrière des devant deux
-        donc du elle elles en entre est et été être fait ici il ils je jusqu la le les leur lieu mais mène même ne nous on ou
-        où par pas passe plus pour pourquoi près quand que qui sa sans se ses si son sont sous sur t très tout tous un une vers
-        vous y""",
-    "es": """a al alrededor antes aquí así bajo cerca como con contra cuando de del desde después detrás donde dos durante el ella
-        en entre era es esta está este fue ha han hasta hay la las le lleva lo los más me mi muy no nos o para pasan pero por
-        porque qué que quedan se según ser si sin sobre su sus también tarda todo tras un una uno unos va y ya yo""",
-    "pl": """a aby albo ale bez był była było być co czy dla dlaczego do gdy gdzie go i ich ile im ja jak jako jednak jej jest już
-        każdy kiedy koło która które który ku lub ma ich między mnie może my na nad nam nas nie o obok od on ona one oraz
-        pada po pod przebudowała przed przez przy są się sobie tak tam te tego ten to tu tylko w we wokół z za zaś ze że""",
-}
-LANGS = tuple(FUNCTION_WORDS)
-_WORDS = {lang: frozenset(text.split()) for lang, text in FUNCTION_WORDS.items()}
 MEASURES = ("fw", "shape", "rep", "flat", "dens")
 MIN_WORDS, FAR, LEAN = 12, 2.3, 4.0
 #: Least scale of each measure: below it a deviation says nothing.
 FLOOR = {"fw": 0.08, "shape": 0.35, "rep": 0.15, "flat": 0.08, "dens": 0.10}
+#: Function words: least share of a language's documents, least share of those in which it stands inside a sentence,
+#: most of them a language, and documents a language needs.
+FW_SHARE, FW_INSIDE, FW_MOST, LANG_DOCS = 0.25, 0.5, 300, 30
+#: Share of function words from which a stretch is known to be in a language, and from which one without the form of a
+#: sentence or a whole page is; names of the classes of stretches in no language.
+KNOWN, HINTED, OTHER, ANY = 0.25, 0.15, "", "*"
+#: Words of the texts looked at in one lot of arrays.
+LOT = 300_000
 
 _INVISIBLE = re.compile("[\u200b-\u200d\u2060\ufeff\u00ad]")
 _LINK = re.compile(r"<a\s[^>]*>(.*?)</a>|!?\[([^\]\n]*)\]\((?:https?://|www\.)[^)\s]*\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/\S+", re.I | re.S)
 _TAG = re.compile(r"<[^<>]*>")
 _BREAK = re.compile(r"<(?:br|/?p|/?li|/?div|/?h\d|/?tr|/?ul|/?ol)\b[^<>]*>", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)?")
-_SPLIT = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|[\r\n]+")
+_INNER = re.compile(r"(?<=[^\W_] )[^\W\d_]+(?:['’][^\W\d_]+)?(?= [^\W_])")
+_SPLIT = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|(?<=[。！？])|[\r\n]+")
 _HASH = re.compile(r"(?<!\S)#\w+")
-_LABEL = re.compile(r"^\W*(?:tags?|keywords?|labels?|schlagworte|schlagwörter|mots[- ]clés|etiquetas|tagi)\s*:", re.I)
-_CODE = re.compile(r"\b[A-Z]{2,}-?\d{2,}\b|\b\d+[.,]\d\d\s?(?:EUR|USD|GBP|PLN|zł|€|\$|£)|[€$£]\s?\d")
+_CODE = re.compile(r"\b[A-Z]{2,}-?\d{2,}\b|\b\d+[.,]\d\d\s?(?:[A-Z]{3}\b|[^\W\d_]{0,2}[€$£¥])|[€$£¥]\s?\d")
+_MARKS = re.compile(r"[^\w\s]*[/|~;•·*>,=]+(?=[\s\w]|$)")
 _CLOCK = re.compile(r"\b\d?\d:\d\d\b")
-_END = re.compile(r"[.!?…][\"'»”)\]*_]*\s*$")
+_END = re.compile(r"[.!?…。！？][\"'»”)\]*_]*\s*$")
 _FIELD = re.compile(r"[\w.]+\s*[:=]\s*(?:[\"\d{\[]|\w+\.\w+)|[{}]")
 
 
-class _Counts(dict):
-    """Packed counts by word: one lane of 24 bits for each language that has it as a function word."""
-
-    def __missing__(self, word: str) -> int:
-        return 0
-
-
-_PACKED = _Counts()
-for _i, _lang in enumerate(LANGS):
-    for _w in _WORDS[_lang]:
-        _PACKED[_w] = _PACKED[_w] | 1 << 24 * _i
-
-
-def language(packed: int) -> tuple[str | None, int]:
-    """The language whose function words are most, and how many they are, of summed packed counts."""
-    best, most = None, 0
-    if packed:
-        for i, code in enumerate(LANGS):
-            n = packed >> 24 * i & 0xFFFFFF
-            if n > most:
-                best, most = code, n
-    return best, most
-
-
-def stretches(text: str, lang: str | None) -> list[tuple]:
-    """(language, words, link words, *measures, facts) of a page's stretches."""
+def plain(text: str) -> tuple[list[str], list[int]]:
+    """(stretches with links as marks, words of each link in order) of a text."""
     text = html.unescape(text) if "&" in text else text
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
         if not unicodedata.is_normalized("NFKC", text):
             text = unicodedata.normalize("NFKC", text)
     text = _BREAK.sub("\n", text) if "<" in text else text
-    parts, at = [], 0  # links become a mark and keep their number of words
     links: list[int] = []
-    for m in _LINK.finditer(text) if "/" in text or "www." in text.lower() else ():
-        inner = m.group(1) or m.group(2) or ""
-        parts += [text[at : m.start()], " \u0001 "]
-        links.append(len(_WORD.findall(_TAG.sub(" ", m.group(0)))) or 1)
-        parts.append(f"\u0002{_TAG.sub(' ', inner)}\u0003" if inner else "")
-        at = m.end()
-    parts.append(text[at:])
-    text = "".join(parts)
+    if "/" in text or "www." in text.lower():
+        parts, at = [], 0  # links become a mark and keep their number of words
+        for m in _LINK.finditer(text):
+            inner = m.group(1) or m.group(2) or ""
+            parts += [text[at : m.start()], " \u0001 "]
+            links.append(len(_WORD.findall(_TAG.sub(" ", m.group(0)))) or 1)
+            parts.append(f"\u0002{_TAG.sub(' ', inner)}\u0003" if inner else "")
+            at = m.end()
+        parts.append(text[at:])
+        text = "".join(parts)
     text = _TAG.sub(" ", text) if "<" in text else text
-    pieces = [p for p in _SPLIT.split(text) if p and p.strip()]
-    tokens = [_WORD.findall(p.lower()) if p.isascii() else [w.lower() for w in _WORD.findall(p)] for p in pieces]
-    packed = [sum(map(_PACKED.__getitem__, t)) for t in tokens]
-    page = language(sum(packed))[0] or (lang or "").strip().lower()[:2]
-    page = page if page in _WORDS else LANGS[0]
-    fw = _WORDS[page]
-    known = {w for w in set().union(*tokens) if w not in fw and not w.isdigit()}  # content words
-    owns = [[w for w in t if w in known] for t in tokens]
-    beside = [[x for x in zip(t, t[1:], strict=False) if x[0] in known and x[1] in known] for t in tokens]
-    content, pairs = Counter(), Counter()
-    for own, two in zip(owns, beside, strict=True):
-        content.update(own)
-        pairs.update(two)
+    return [p for p in _SPLIT.split(text) if p and p.strip()], links
+
+
+def words_of(piece: str) -> list[str]:
+    return _WORD.findall(piece.lower()) if piece.isascii() else [w.lower() for w in _WORD.findall(piece)]
+
+
+def named(lang) -> str:
+    """The language a value of `lang` names: its first letters, '' for none."""
+    code = re.match(r"[a-z]{2,3}(?![a-z])", lang.strip().lower()) if isinstance(lang, str) else None
+    return "" if code is None or code[0] in ("und", "unk") else code[0]
+
+
+def function_words(docs: DataFrame) -> dict[str, frozenset[str]]:
+    """Function words of every language, learned over all documents (text, lang)."""
+    schema = "lang string, word string, inside bigint, n bigint"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inside: dict[str, Counter] = {}
+        every: dict[str, Counter] = {}
+
+        def out() -> pd.DataFrame:
+            rows = [(lang, w, inside.get(lang, {}).get(w, 0), n) for lang, own in every.items() for w, n in own.items()]
+            return pd.DataFrame(rows, columns=["lang", "word", "inside", "n"])
+
+        for pdf in batches:
+            for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
+                if not (code := named(lang)):
+                    continue
+                own, some = set(), set()
+                for p in _SPLIT.split(text):
+                    if _END.search(p):
+                        own.update(_WORD.findall(p.lower()))
+                        some.update(w for w in _INNER.findall(p) if w.islower())
+                if own:
+                    every.setdefault(code, Counter()).update(own)
+                    every[code][""] += 1  # counts documents
+                    inside.setdefault(code, Counter()).update(some)
+            if sum(map(len, every.values())) > 300_000:
+                yield out()
+                inside, every = {}, {}
+        yield out()
+
+    parts = docs.select("text", "lang").filter("text IS NOT NULL AND text <> '' AND lang IS NOT NULL").mapInPandas(run, schema)
+    counts = parts.groupBy("lang", "word").agg(F.sum("inside").alias("inside"), F.sum("n").alias("n"))
+    # a word in FW_SHARE of the documents is in a language's documents LANG_DOCS * FW_SHARE times at least
+    counts = counts.filter((F.col("n") >= LANG_DOCS * FW_SHARE) & ((F.col("word") == "") | (F.col("inside") >= FW_INSIDE * F.col("n"))))
+    size = counts.filter((F.col("word") == "") & (F.col("n") >= LANG_DOCS)).select("lang", F.col("n").alias("docs"))
+    own = counts.filter("word <> ''").join(F.broadcast(size), "lang").filter(F.col("inside") >= FW_SHARE * F.col("docs"))
+    found: dict[str, list] = {}
+    for r in own.select("lang", "word", "inside").collect():
+        found.setdefault(r["lang"], []).append((-r["inside"], r["word"]))
+    return {lang: frozenset(w for _, w in sorted(ws)[:FW_MOST]) for lang, ws in sorted(found.items())}
+
+
+class Vocabulary:
+    """Numbers of words, with the languages whose function words they are."""
+
+    def __init__(self, known: dict[str, frozenset[str]], limit: int = 1_000_000):
+        self.langs, self.limit = list(known), limit
+        self.of_word: dict[str, list[int]] = {}
+        for i, lang in enumerate(self.langs):
+            for w in known[lang]:
+                self.of_word.setdefault(w, []).append(i)
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.small, self.marks = [], []  # by number: short word or number; languages
+        self.add(self.of_word)
+
+    def add(self, new) -> None:
+        for w in new:
+            self.ids[w] = len(self.ids)
+            self.small.append((len(w) <= 2) + 2 * w.isdigit())
+            self.marks.append(self.of_word.get(w, ()))
+
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        if len(self.ids) > self.limit:
+            self.clear()
+        self.add(set(tokens).difference(self.ids))
+        return np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """(small, a row of flags for every language) by number; function words come first."""
+        flags = np.zeros((len(self.langs) + 1, len(self.ids)), bool)
+        for k in range(len(self.of_word)):
+            for i in self.marks[k]:
+                flags[i, k] = True
+        small = np.array(self.small, np.int8)
+        flags[-1] = small & 1  # in an unknown language short words count as function words
+        return small, flags
+
+
+def _counts(at: np.ndarray, size: int, weights=None) -> np.ndarray:
+    return np.bincount(at, weights, size)
+
+
+def _times(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each key stands there, and whether it is the first of its kind."""
+    _, first, inverse, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    once = np.zeros(len(keys), bool)
+    once[first] = True
+    return n[inverse], once
+
+
+def measured_lot(pages: list[tuple[list[str], list[int]]], vocabulary: Vocabulary) -> pd.DataFrame:
+    """One row (page, part, lang, n, n_link, *measures, facts) for each stretch of pages given as plain() gives them."""
+    pieces = [p for own, _ in pages for p in own]
+    total, n_pages, n_langs = len(pieces), len(pages), len(vocabulary.langs)
+    page = np.repeat(np.arange(n_pages), [len(own) for own, _ in pages])
+    tokens = [words_of(p) for p in pieces]
+    n = np.fromiter(map(len, tokens), np.int64, total)
+    ids = vocabulary.numbers(list(chain.from_iterable(tokens)))
+    small, flags = vocabulary.arrays()
+    at = np.repeat(np.arange(total), n)  # stretch of each word
+    some = np.maximum(n, 1)
+    form = np.fromiter((5 <= k <= 80 and _END.search(p) is not None for k, p in zip(n.tolist(), pieces, strict=True)), bool, total)
+    # language of each stretch, else of its page
+    lang, share, of_page, most = np.full(total, -1), np.zeros(total), np.full(n_pages, -1), np.zeros(n_pages)
+    words = np.maximum(_counts(page, n_pages, n), 1)
+    shares = np.zeros((n_langs + 1, total))
+    for i in range(n_langs):
+        hits = _counts(at, total, flags[i][ids])
+        shares[i] = hits / some
+        own = (shares[i] >= np.where(form, KNOWN, HINTED)) & (hits >= 2) & (shares[i] > share)
+        lang[own], share[own] = i, shares[i][own]
+        whole = _counts(page, n_pages, hits) / words
+        holds = (_counts(page, n_pages, own) > 0) & (whole >= HINTED) & (whole > most)
+        of_page[holds], most[holds] = i, whole[holds]
+    lang = np.where((lang < 0) & ~form, of_page[page], lang)
+    share = shares[lang, np.arange(total)]
+    lang = np.where(lang >= 0, lang, np.where(form, n_langs, n_langs + 1))
+    # content words: neither numbers nor function words of the page's language
+    page_at = page[at]
+    content = ~flags[of_page[page_at], ids] & (small[ids] < 2)
+    c_at, c_id, c_page = at[content], ids[content], page_at[content]
+    width = len(small)
+    times, _ = _times(c_page * width + c_id)
     # repetition: content words that the page holds again and again beyond what its length explains, and repeated pairs
-    often = max(2.0, 0.012 * content.total())
-    frequent = {w for w, k in content.items() if k > often}
-    repeated = {x for x, k in pairs.items() if k > 1}
-    out, link = [], 0
-    for p, t, hits, own, two in zip(pieces, tokens, packed, owns, beside, strict=True):
-        marks = p.count("\u0001")
-        n_link, link = sum(links[link : link + marks]), link + marks
-        n = len(t)
-        if n == 0:
-            out.append((page, 0, n_link, 0.0, 0.0, 0.0, 0.0, float(n_link > 0), 0.0))
-            continue
-        code, hits = language(hits)
-        share = hits / n
-        rep = len([w for w in own if w in frequent]) / n
-        again = len([x for x in two if x in repeated]) / max(n - 1, 1)
-        thin = 1 - len(set(own)) / len(own) if len(own) > 3 else 0.0
-        tags = len(_HASH.findall(p)) if "#" in p else 0
-        dens = min(1.0, tags / n + 0.5 * (":" in p and bool(_LABEL.search(p))) + len(_CODE.findall(p)) / n * 2 + (marks / (n / 3 + marks) if marks else 0))
-        facts = 0.0
-        if ":" in p or "=" in p or "{" in p or "}" in p:
-            facts = min(1.0, (2 * len(_CLOCK.findall(p)) + 2 * len(_FIELD.findall(p))) / n)
-        if share >= 0.12 and 5 <= n <= 80 and _END.search(p):  # has the form of a sentence
-            facts = min(1.0, facts + 0.1)
-        out.append((code or page, n, n_link, share, abs(math.log(n / 10)), max(rep, again), thin, dens, facts))
-    return out
+    often = np.maximum(2.0, 0.012 * _counts(c_page, n_pages))
+    rep = _counts(c_at, total, times > often[c_page]) / some
+    where = np.flatnonzero(content[:-1] & content[1:] & (at[:-1] == at[1:])) if len(at) else np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        pair = (ids[where] * np.int64(1_000_003) + ids[where + 1]) * np.int64(2_654_435_761) + page_at[where] * np.int64(40_503_000_017)
+    twice, _ = _times(pair)
+    again = _counts(at[where], total, twice > 1) / np.maximum(n - 1, 1)
+    _, once = _times(c_at * width + c_id)
+    n_content, different = _counts(c_at, total), _counts(c_at, total, once)
+    flat = np.where(n_content > 3, 1 - different / np.maximum(n_content, 1), 0.0)
+    # what needs the text itself
+    n_link, dens, facts = np.zeros(total, np.int64), np.zeros(total), np.zeros(total)
+    i = 0
+    for own, links in pages:
+        used = 0
+        for p in own:
+            size = some[i]
+            d = 0.0
+            if links and (marks := p.count("\u0001")):
+                n_link[i] = sum(links[used : used + marks])
+                used += marks
+                d += marks / (n[i] / 3 + marks)
+            if "#" in p:
+                d += len(_HASH.findall(p)) / size
+            if not p.isalpha():
+                d += max(0.0, len(_MARKS.findall(p)) / size - 0.15) + 2 * len(_CODE.findall(p)) / size
+            dens[i] = min(1.0, d)
+            if ":" in p or "=" in p or "{" in p or "}" in p:
+                facts[i] = min(1.0, (2 * len(_CLOCK.findall(p)) + 2 * len(_FIELD.findall(p))) / size)
+            if form[i]:
+                facts[i] = min(1.0, facts[i] + 0.1)
+            i += 1
+    # a stretch of links alone is as long as its links
+    shape = np.abs(np.log(np.maximum(np.where(n > 0, n, n_link), 1) / 10))
+    names = np.array([*vocabulary.langs, OTHER, ANY], object)
+    part = np.arange(total) - np.repeat(np.cumsum([len(own) for own, _ in pages]) - [len(own) for own, _ in pages], [len(own) for own, _ in pages]) if total else np.zeros(0, np.int64)
+    return pd.DataFrame({"page": page, "part": part, "lang": names[lang], "n": n, "n_link": n_link, "fw": share, "shape": shape, "rep": np.maximum(rep, again), "flat": flat, "dens": dens, "facts": facts})
 
 
 _SCHEMA = "doc_id bigint, key bigint, part int, lang string, n int, n_link int, " + ", ".join(f"{m} float" for m in MEASURES) + ", facts float"
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, known: dict[str, frozenset[str]]) -> DataFrame:
     """One row for each stretch of each page."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "key", "part", "lang", "n", "n_link", *MEASURES, "facts"]
-        rows = []
+        vocabulary = Vocabulary(sent.value)
+        docs, keys, lot, size = [], [], [], 0
+
+        def out() -> pd.DataFrame:
+            rows = measured_lot(lot, vocabulary)
+            rows["doc_id"], rows["key"] = np.array(docs, np.int64)[rows["page"]], np.array(keys, np.int64)[rows["page"]]
+            return rows.drop(columns="page")[[f.split()[0] for f in _SCHEMA.split(", ")]]
+
         for pdf in batches:
-            for doc, key, text, lang in zip(pdf["doc_id"], pdf["key"], pdf["text"], pdf["lang"], strict=True):
-                rows += [(doc, key, i, *x) for i, x in enumerate(stretches(text, lang))]
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
-
-    own = docs.select("doc_id", F.xxhash64("text", "lang").alias("key"), "text", "lang")
+            for doc, key, text in zip(pdf["doc_id"], pdf["key"], pdf["text"], strict=True):
+                docs.append(doc)
+                keys.append(key)
+                lot.append(plain(text))
+                size += len(text) // 6
+                if size > LOT:
+                    yield out()
+                    docs, keys, lot, size = [], [], [], 0
+        if lot:
+            yield out()
+
+    own = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     return own.filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").mapInPandas(run, _SCHEMA)
 
 
@@ -185,7 +305,8 @@ BINS, TOP = 1000, 12
 
 
 def _histograms(rows: DataFrame, values) -> dict[tuple[str, str], np.ndarray]:
-    """Histograms by (language, name) of what values(language, measures) gives for a batch: name -> array.
+    """Histograms by (language, name) of what values(language, measures) gives for a batch: name -> array; the class
+    ANY holds those of all rows.
 
     Every task sums its own rows and hands over one histogram a language and name; all of them are added up.
     """
@@ -194,7 +315,8 @@ def _histograms(rows: DataFrame, values) -> dict[tuple[str, str], np.ndarray]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: dict[tuple[str, str], np.ndarray] = {}
         for pdf in batches:
-            for lang, g in pdf.groupby("lang"):
+            groups = [(lang, g) for lang, g in pdf.groupby("lang") if lang not in (OTHER, ANY)]
+            for lang, g in [*groups, (ANY, pdf)]:
                 for name, v in values(lang, g[list(MEASURES)].to_numpy(float)).items():
                     bins = np.minimum(v * BINS, BINS * TOP - 1).astype(np.int64)
                     own[lang, name] = own.get((lang, name), 0) + np.bincount(bins, minlength=BINS * TOP)
@@ -202,7 +324,7 @@ def _histograms(rows: DataFrame, values) -> dict[tuple[str, str], np.ndarray]:
             at = np.flatnonzero(h)
             yield pd.DataFrame({"lang": lang, "name": name, "bin": at, "n": h[at]})
 
-    parts = rows.filter("n > 0").select("lang", *MEASURES).mapInPandas(run, schema)
+    parts = rows.select("lang", *MEASURES).mapInPandas(run, schema)
     out: dict[tuple[str, str], np.ndarray] = {}
     for r in parts.groupBy("lang", "name", "bin").agg(F.sum("n").alias("n")).collect():
         out.setdefault((r["lang"], r["name"]), np.zeros(BINS * TOP, np.int64))[r["bin"]] = r["n"]
@@ -216,9 +338,9 @@ def _median(h: np.ndarray) -> float:
 
 def robust_frames(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """(centre, inverse scatter) of the measures by language, from histograms over all stretches."""
-    plain = _histograms(rows, lambda lang, x: {m: x[:, i] for i, m in enumerate(MEASURES)})
-    langs = sorted({lang for lang, _ in plain})
-    centre = {g: np.array([_median(plain[g, m]) for m in MEASURES]) for g in langs}
+    plain_ = _histograms(rows, lambda lang, x: {m: x[:, i] for i, m in enumerate(MEASURES)})
+    langs = sorted({lang for lang, _ in plain_})
+    centre = {g: np.array([_median(plain_[g, m]) for m in MEASURES]) for g in langs}
     k, floor = len(MEASURES), np.array([FLOOR[m] for m in MEASURES])
 
     def spread(lang: str, x: np.ndarray) -> dict[str, np.ndarray]:
@@ -241,6 +363,11 @@ def robust_frames(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         cov = vec @ np.diag(np.maximum(val, 0.25)) @ vec.T
         unit = np.diag(1 / floor)
         out[g] = (centre[g], unit @ np.linalg.inv(cov) @ unit)
+        if g == ANY:  # without the axis of function words
+            axes = [i for i, m in enumerate(MEASURES) if m != "fw"]
+            inverse = np.zeros((k, k))
+            inverse[np.ix_(axes, axes)] = np.linalg.inv(cov[np.ix_(axes, axes)])
+            out[OTHER] = (centre[g], unit @ inverse @ unit)
     return out
 
 
@@ -257,22 +384,26 @@ def scored(rows: DataFrame, frames: dict[str, tuple[np.ndarray, np.ndarray]]) ->
     k = len(MEASURES)
     z = [F.col(m) - mid[i] for i, m in enumerate(MEASURES)]
     d2 = sum((inv[i * k + j] * z[i] * z[j] for i in range(k) for j in range(k)), F.lit(0.0))
-    lean = sum((F.lit(DIRECTION[m] / FLOOR[m]) * z[i] for i, m in enumerate(MEASURES)), F.lit(0.0)) - FACTS * F.col("facts")
+    way = lambda m: F.when(F.col("lang") == OTHER, 0.0).otherwise(DIRECTION[m]) if m == "fw" else F.lit(DIRECTION[m])
+    lean = sum((way(m) / FLOOR[m] * z[i] for i, m in enumerate(MEASURES)), F.lit(0.0)) - FACTS * F.col("facts")
     out = rows.withColumn("distance", F.sqrt(F.greatest(F.lit(0.0), d2))).withColumn("lean", lean)
-    return out.withColumn("spam", (F.col("n") > 0) & (F.col("distance") > FAR) & (F.col("lean") > LEAN))
+    return out.withColumn("spam", (F.col("distance") > FAR) & (F.col("lean") > LEAN))
 
 
 def spam_pages(docs: DataFrame) -> DataFrame:
-    """(doc_id, words, spam_words) of every page with at least MIN_WORDS words, one row for each text of a doc_id."""
+    """(doc_id, words, spam_words, other_words) of every page with at least MIN_WORDS words, one row for each text of a
+    doc_id; other_words stand in stretches of no learned language."""
     scratch = Scratch(docs.sparkSession, "spam")
-    rows = scratch.write(measured(docs), "stretches")
+    rows = scratch.write(measured(docs, function_words(docs)), "stretches")
     frames = robust_frames(rows)
+    none = F.lit(0).cast("bigint")
     if not frames:
-        return rows.select("doc_id", F.lit(0).cast("bigint").alias("words"), F.lit(0).cast("bigint").alias("spam_words")).limit(0)
+        return rows.select("doc_id", none.alias("words"), none.alias("spam_words"), none.alias("other_words")).limit(0)
     s = scored(rows, frames)
     words = F.col("n") + F.col("n_link")
-    bad = F.when(F.col("spam"), words).when(F.col("n_link") > F.col("n"), F.col("n_link")).otherwise(0)  # a link may head a sentence
     copies = F.count_if(F.col("part") == 0)  # a row that stands there twice doubles its sums
-    pages = s.groupBy("doc_id", "key").agg(F.sum(words).alias("w"), F.sum(bad).alias("b"), copies.alias("c"))
-    pages = pages.select("doc_id", (F.col("w") / F.col("c")).cast("bigint").alias("words"), (F.col("b") / F.col("c")).cast("bigint").alias("spam_words"))
-    return pages.filter(F.col("words") >= MIN_WORDS)
+    pages = s.groupBy("doc_id", "key").agg(
+        F.sum(words).alias("w"), F.sum(F.when(F.col("spam"), words).otherwise(0)).alias("b"), F.sum(F.when(F.col("lang") == OTHER, words).otherwise(0)).alias("o"), copies.alias("c")
+    )
+    each = lambda c, name: (F.col(c) / F.col("c")).cast("bigint").alias(name)
+    return pages.select("doc_id", each("w", "words"), each("b", "spam_words"), each("o", "other_words")).filter(F.col("words") >= MIN_WORDS)
