@@ -1,16 +1,22 @@
 """Evaluation texts leaking into training text: SimHash windows, multi-index Hamming blocks, exact verification.
 
-Every window of 12 consecutive words of an item (the whole item where it has fewer) gets a SimHash fingerprint over
-its word shingles; so does every window of a document for each length that occurs among the items. The fingerprints
-of the items are indexed by four blocks of 16 bits: two fingerprints within Hamming radius 3 agree in at least one
-block, so probing all four finds every fingerprint within the radius. Candidates are then verified by the exact
-weighted similarity of their shingles (five words, at least 0.8, weights are the shingles' numbers of letters), and,
-where asked for, by the words themselves.
-
-The items are the stated query set. They are cut into blocks of at most BLOCK_WINDOWS windows; only the index of one
-block at a time is sent to the tasks (a bound whatever the number of items), and every block reads the whole corpus.
-Documents are never shuffled: a pass is a scan, a map over Arrow batches and a distinct of the few hits. Texts are
-processed whole, in pieces of CHUNK words with an overlap, so that very long texts cost no memory.
+Items and documents are cut into windows of words, for each length that occurs among the items' windows. A window gets
+a SimHash fingerprint over its word shingles. The items' fingerprints are indexed by four blocks of 16 bits: two
+fingerprints within radius r differ by at most r // 4 bits in at least one block, so an index of every key within
+r // 4 bits of an item's block finds, with one probe of each block, every fingerprint within the radius. Candidates
+are then verified by the exact weighted similarity of their shingles (five words, at least 0.8, weights are the
+shingles' numbers of letters).
+
+Two searches use this. `passages`: windows of 12 consecutive words of an item (the whole item where it has fewer),
+RADIUS 3; a passage's copy has similarity 1 and distance 0, and the words themselves are compared at the end. `whole`:
+item-sized windows, RADIUS_SIMILAR 15, for items that stand in a document with changes; a pair of similarity 0.8
+differs in about ten bits of 64, and tests measure what is found against brute force.
+
+The items are the stated query set. They are cut into blocks of bounded size; one block's index at a time is collected
+and sent to the tasks, its hits are written, and the index is taken back before the next, so neither the driver nor a
+task holds more than one whatever the number of items; every block reads the whole corpus. Documents are never
+shuffled: a pass is a scan, a map over Arrow batches and a distinct of the few hits. Texts are processed whole, in
+pieces of CHUNK words with an overlap, so that very long texts cost no memory.
 
 Null and empty texts hold nothing, items without words are in no document, repeated rows count once.
 """
@@ -18,6 +24,7 @@ Null and empty texts hold nothing, items without words are in no document, repea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -25,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymill.llm.words import WordHashes, words
+from waymill.session import Scratch
 
-WINDOW, SHINGLE, RADIUS, SIMILAR = 12, 5, 3, 0.8
-BLOCK_WINDOWS, CHUNK = 200_000, 60_000
+WINDOW, SHINGLE, RADIUS, RADIUS_SIMILAR, SIMILAR = 12, 5, 3, 15, 0.8
+#: Item windows of one block, and entries of its index, at most; words looked at in one lot.
+BLOCK_WINDOWS, BLOCK_ENTRIES, CHUNK = 200_000, 4_000_000, 60_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,59 +60,65 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
         return _mixed(out)
 
 
-def shingle_bits(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes and their bits."""
-    s = shingles(h, size)
-    return s, np.unpackbits(s.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8)
-
-
 def fingerprints(h: np.ndarray, window: int, known: dict | None = None) -> np.ndarray:
-    """SimHash of every window of so many words, over its shingles; known keeps the bits for further lengths."""
+    """SimHash of every window of so many words, over its shingles; known keeps running counts for further lengths."""
     size = min(SHINGLE, window)
     known = {} if known is None else known
+    each = window - size + 1
     if size not in known:
-        known[size] = shingle_bits(h, size)
+        s = shingles(h, size)
+        known[size] = s, np.unpackbits(s.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     s, bits = known[size]
-    each = window - size + 1
     n = len(s) - each + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     if each == 1:
         return s
-    total = np.zeros((n, 64), np.int8)
-    for i in range(each):
-        total += bits[i : n + i]
-    # an even split is decided by the first shingle
-    set_bits = (2 * total > each) | ((2 * total == each) & (bits[:n] == 1))
+    kind = np.uint8 if each < 256 else np.uint32
+    if (size, kind) not in known:  # counts wrap around; their differences don't
+        known[size, kind] = np.concatenate([np.zeros((1, 64), kind), np.cumsum(bits, axis=0, dtype=kind)])
+    run = known[size, kind]
+    total = run[each : each + n] - run[:n]
+    set_bits = total > each // 2
+    if each % 2 == 0:  # an even split is decided by the first shingle
+        set_bits |= (total == each // 2) & (bits[:n] == 1)
     return np.packbits(set_bits, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def near_masks(bits: int) -> np.ndarray:
+    """All 16-bit masks of at most so many bits."""
+    return np.array([sum(1 << i for i in c) for k in range(bits + 1) for c in combinations(range(16), k)], np.int64)
+
+
 class HammingIndex:
     """Item windows of one length by four 16-bit blocks of their fingerprints."""
 
-    def __init__(self, prints: np.ndarray):
-        self.prints = prints
+    def __init__(self, prints: np.ndarray, radius: int = RADIUS):
+        self.prints, self.radius = prints, radius
         self.blocks = []
+        masks = near_masks(radius // 4)
         for b in range(4):
-            key = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            order = np.argsort(key, kind="stable")
-            start = np.searchsorted(key[order], np.arange(65537))
-            self.blocks.append((order.astype(np.int64), start.astype(np.int64)))
-
-    def within(self, probes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+            own = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+            keys = (own[:, None] ^ masks).ravel()
+            order = np.argsort(keys, kind="stable")
+            there = np.zeros(65536, bool)
+            there[keys] = True
+            self.blocks.append((there, keys[order].astype(np.uint16), (order // len(masks)).astype(np.int32)))
+
+    def within(self, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(probe, item window) pairs within the radius; a pair may come out of several blocks."""
         left, right = [], []
-        for b, (order, start) in enumerate(self.blocks):
-            key = ((probes >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            n = start[key + 1] - start[key]
-            hit = np.flatnonzero(n)
+        for b, (there, keys, items) in enumerate(self.blocks):
+            key = ((probes >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16)
+            hit = np.flatnonzero(there[key])
             if not len(hit):
                 continue
-            n = n[hit]
+            start = np.searchsorted(keys, key[hit], "left")
+            n = np.searchsorted(keys, key[hit], "right") - start
             probe = np.repeat(hit, n)
             nth = np.arange(len(probe)) - np.repeat(np.cumsum(n) - n, n)
-            item = order[np.repeat(start[key[hit]], n) + nth]
-            near = np.bitwise_count(probes[probe] ^ self.prints[item]) <= radius
+            item = items[np.repeat(start, n) + nth]
+            near = np.bitwise_count(probes[probe] ^ self.prints[item]) <= self.radius
             left.append(probe[near])
             right.append(item[near])
         if not left:
@@ -114,9 +129,9 @@ class HammingIndex:
 class ItemIndex:
     """Index of one block of items, small enough to be sent to every task."""
 
-    def __init__(self, rows: list[tuple[int, list[str]]]):
+    def __init__(self, rows: list[tuple[int, list[str]]], radius: int = RADIUS):
         """rows: (item id, the words of one window)."""
-        self.by_length: dict[int, tuple[HammingIndex, np.ndarray, np.ndarray, list]] = {}
+        self.by_length: dict[int, tuple[HammingIndex, list[int], list[list[str]], np.ndarray]] = {}
         hashes = WordHashes()
         lengths: dict[int, list] = {}
         for item, window in rows:
@@ -124,7 +139,7 @@ class ItemIndex:
         for n, own in lengths.items():
             h = np.stack([hashes.of(w) for _, w in own])
             prints = np.array([fingerprints(x, n)[0] for x in h], np.uint64)
-            self.by_length[n] = (HammingIndex(prints), np.array([i for i, _ in own], np.int64), h, [len_weights(w) for _, w in own])
+            self.by_length[n] = (HammingIndex(prints, radius), [i for i, _ in own], [w for _, w in own], h)
 
 
 def len_weights(window: list[str]) -> np.ndarray:
@@ -157,6 +172,14 @@ def pieces(texts: Iterator[tuple[int, list[str]]], overlap: int) -> Iterator[lis
         yield lot
 
 
+def similarity(a: np.ndarray, words_a: list[str], b: np.ndarray, words_b: list[str]) -> float:
+    """Weighted similarity of two windows of one length, given their word hashes and words."""
+    if (a == b).all():  # the same shingles with the same weights
+        return 1.0
+    size = min(SHINGLE, len(a))
+    return weighted_similarity(shingles(a, size), len_weights(words_a), shingles(b, size), len_weights(words_b))
+
+
 def hits(lot: list[tuple[int, list[str]]], index: ItemIndex, hashes: WordHashes, exact: bool) -> dict[tuple[int, int], float]:
     """Best similarity by (item, document) of a lot of documents, whose words are looked at in one array; exact keeps
     only windows whose words are the item's."""
@@ -165,36 +188,30 @@ def hits(lot: list[tuple[int, list[str]]], index: ItemIndex, hashes: WordHashes,
     h = hashes.of(tokens)
     known: dict = {}
     owner = np.repeat(np.arange(len(lot)), [len(t) for _, t in lot])
-    for n, (near, items, words_of, weights) in index.by_length.items():
+    for n, (near, items, words_of, hashes_of) in index.by_length.items():
         if len(h) < n:
             continue
-        whole = np.flatnonzero(owner[: len(h) - n + 1] == owner[n - 1 :])  # windows within one document
-        probe, item = near.within(fingerprints(h, n, known)[whole])
-        if not len(probe):
-            continue
-        pairs = np.unique(np.stack([whole[probe], item], 1), axis=0)
-        same = (h[pairs[:, 0, None] + np.arange(n)] == words_of[pairs[:, 1]]).all(axis=1)
-        for (p, i), equal in zip(pairs.tolist(), same.tolist(), strict=True):
-            key = int(items[i]), lot[owner[p]][0]
-            if equal:
-                out[key] = 1.0
-            elif not exact and out.get(key, 0.0) < 1.0:
-                size = min(SHINGLE, n)
-                s = weighted_similarity(shingles(h[p : p + n], size), len_weights(tokens[p : p + n]), shingles(words_of[i], size), weights[i])
-                if s >= SIMILAR:
-                    out[key] = max(out.get(key, 0.0), s)
+        probe, item = near.within(fingerprints(h, n, known))
+        inside = owner[probe] == owner[probe + n - 1]  # windows within one document
+        for p, i in np.unique(np.stack([probe[inside], item[inside]], 1), axis=0).tolist():
+            key, own = (items[i], lot[owner[p]][0]), tokens[p : p + n]
+            if out.get(key, 0.0) == 1.0:
+                continue
+            s = similarity(h[p : p + n], own, hashes_of[i], words_of[i])
+            if s >= SIMILAR and (not exact or own == words_of[i]):
+                out[key] = max(out.get(key, 0.0), s)
     return out
 
 
-def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, window) of every distinct window of the items."""
+def item_windows(items: DataFrame, window: int | None = WINDOW) -> DataFrame:
+    """(item_id, window) of every distinct window of the items; without a length, of whole items."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for item, text in zip(pdf["item_id"], pdf["text"], strict=True):
                 w = words(text)
-                n = min(WINDOW, len(w))
+                n = min(window or len(w), len(w))
                 rows += [(item, w[i : i + n]) for i in range(len(w) - n + 1)] if n else []
             yield pd.DataFrame(rows, columns=["item_id", "window"])
 
@@ -203,16 +220,19 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 
 def leaks(docs: DataFrame, items: DataFrame, exact: bool = True) -> DataFrame:
-    """(item_id, doc_id, similarity) of every document that holds a window of an item, or with exact=False one that is
-    similar to it."""
+    """(item_id, doc_id, similarity) of every document that holds a passage of an item word by word, or with
+    exact=False one that holds a window like the whole item."""
     spark = docs.sparkSession
-    windows = item_windows(items)
-    blocks = -(-windows.count() // BLOCK_WINDOWS)
+    scratch = Scratch(spark, "leaks")
+    radius = RADIUS if exact else RADIUS_SIMILAR
+    windows = scratch.write(item_windows(items, WINDOW if exact else None), "windows")
+    n = windows.count()
+    blocks = -(-n // max(1, min(BLOCK_WINDOWS, BLOCK_ENTRIES // len(near_masks(radius // 4)))))
     texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     out = None
     for b in range(blocks):
         own = windows.filter(F.pmod(F.xxhash64("item_id", "window"), F.lit(blocks)) == b)
-        index = spark.sparkContext.broadcast(ItemIndex([(r[0], list(r[1])) for r in own.toLocalIterator()]))
+        index = spark.sparkContext.broadcast(ItemIndex([(r[0], list(r[1])) for r in own.collect()], radius))
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             hashes, overlap = WordHashes(), max(index.value.by_length, default=1) - 1
@@ -222,6 +242,9 @@ def leaks(docs: DataFrame, items: DataFrame, exact: bool = True) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["item_id", "doc_id", "similarity"])
 
         part = texts.mapInPandas(run, "item_id bigint, doc_id bigint, similarity double")
+        if blocks > 1:
+            part = scratch.write(part, f"hits-{b}")
+            index.destroy()
         out = part if out is None else out.unionByName(part)
     if out is None:
         return texts.select(F.lit(0).cast("bigint").alias("item_id"), "doc_id", F.lit(0.0).alias("similarity")).limit(0)
