@@ -1,4 +1,5 @@
 import random
+import uuid
 from datetime import datetime, timedelta
 
 import duckdb
@@ -66,7 +67,7 @@ def test_snapshots_like_sql_with_gaps_and_a_resumed_state(spark, monkeypatch):
     refs, parents = rows(r, 250, 30, 300)
     refs += [(*x[:6], datetime(2024, 3, 1)) for x in refs[:3]]  # two years later, after many empty periods
     monkeypatch.setattr(orphans, "BROADCAST_ROWS", 12)  # one table is broadcast, the other isn't
-    name = f"test{r.random()}"
+    name = uuid.uuid4().hex
     early = [x for x in refs if x[6] < datetime(2021, 6, 1)]
     first = tracked(spark, early, parents, 1, name)
     n = len(first.periods)
@@ -93,7 +94,7 @@ def test_what_a_step_reads_doesnt_grow_with_the_batches(spark):
             seen.append((self._kept("state", orphans._STATE).count(), self._kept("index", orphans._INDEX).count()))
 
     Watched(spark, 4).take(spark.createDataFrame(refs, REFS), spark.createDataFrame(parents, PARENTS))
-    assert {s for s, _ in seen} == {20}
+    assert max(s for s, _ in seen) <= 20
     assert max(i for _, i in seen) <= 10
 
 

@@ -8,11 +8,12 @@ or before t and is not removed at t. OrphanTracker takes in one calendar period
   of a key that had been resolved; what is open is counted by table and field as a snapshot.
 
 All references of a key are open or closed together, so the state is one row for each (key, source table, field): how
-many references there are and whether the key is missing. The parent index holds only intervals that aren't over. A
-step reads its own period's arrivals, the index and the state, never the history: their size follows the number of
-keys, not that of references or periods. The state is a folder; a tracker opened on a named one goes on after the last
-period taken in and leaves out rows of periods that it has seen. Periods without an arrival or removal need no step:
-their snapshot is the one before. So a stray time costs one step, and the periods are always those asked for.
+many references there are and whether the key is missing. A key whose parent is there and never removed can't open
+again: references to such a key leave by the first probe, and keys that come to have such a parent leave the state. So
+a step handles the few references that are or may become orphans, the intervals that have an end and aren't over, and
+its own period's arrivals, never the history. The state is a folder; a tracker opened on a named one goes on after the
+last period taken in and leaves out rows of periods that it has seen. Periods without an arrival or removal need no
+step: their snapshot is the one before. So a stray time costs one step, and the periods are always those asked for.
 
 Joins are equi-joins on (table, world, key) with the time as a further condition. Tables of few rows (counted, at most
 BROADCAST_ROWS) are probed by a broadcast before anything is shuffled, so a hot key of theirs never meets in one task;
@@ -37,7 +38,7 @@ KEY = ["ref_table", "map_name", "ref_key"]
 OWNER = [*KEY, "src_table", "ref_field"]
 _REFS = "src_table string, src_key string, ref_field string, ref_table string, map_name string, ref_key string, arrived_at timestamp_ntz"
 _INDEX = "ref_table string, map_name string, ref_key string, p_from timestamp_ntz, p_to timestamp_ntz"
-_STATE = "ref_table string, map_name string, ref_key string, src_table string, ref_field string, n_before bigint, n_new bigint, n_found bigint, was_open boolean, open boolean"
+_STATE = "ref_table string, map_name string, ref_key string, src_table string, ref_field string, n_before bigint, n_new bigint, n_found bigint, was_open boolean, open boolean, settled boolean"
 _SNAPSHOT = "period bigint, src_table string, ref_field string, new_orphans bigint, reopened bigint, open_orphans bigint"
 
 
@@ -93,58 +94,54 @@ class OrphanTracker:
 
     def take(self, refs: DataFrame, parents: DataFrame) -> OrphanTracker:
         """Take in every period of the references after the last one seen."""
-        last = self.periods[-1] if self.periods else None
-        p = parents.select(*KEY, F.col("arrived_at").alias("p_from"), F.col("removed_at").alias("p_to")).filter("p_to IS NULL OR p_to > p_from")
-        refs = refs.select(*REF).withColumn("period", period_of(F.col("arrived_at"), self.months))
-        p = p.withColumn("period", period_of(F.col("p_from"), self.months))
-        if last is not None:
-            refs, p = refs.filter(F.col("period") > last), p.filter(F.col("period") > last)
-        # rebalanced by period, a period is a few files of good size however many tasks read the input
-        refs = self.scratch.write(refs.hint("rebalance", "period"), "refs", ("period",))
-        lo, hi = refs.agg(F.min("period"), F.max("period")).first()
-        if lo is None:
+        last, scratch = self.periods[-1] if self.periods else None, self.scratch
+        lo, hi = refs.agg(F.min(period_of(F.col("arrived_at"), self.months)), F.max(period_of(F.col("arrived_at"), self.months))).first()
+        if lo is None or (last is not None and hi <= last):
             return self
         lo = lo if last is None else last + 1
-        p = p.filter(F.col("period") <= hi).withColumn("period", F.greatest(F.col("period"), F.lit(lo)))
-        p = self.scratch.write(p.hint("rebalance", "period"), "parents", ("period",))
+        p = parents.select(*KEY, F.col("arrived_at").alias("p_from"), F.col("removed_at").alias("p_to")).filter("p_to IS NULL OR p_to > p_from")
+        p = p.withColumn("period", period_of(F.col("p_from"), self.months)).filter(F.col("period") <= hi)
+        p = p.filter(F.col("period") > last) if last is not None else p.withColumn("period", F.greatest(F.col("period"), F.lit(lo)))
+        # rebalanced by period, a period is a few files of good size however many tasks read the input
+        p = scratch.write(p.hint("rebalance", "period"), f"parents/take={lo}", ("period",))
+        staying = scratch.read("parents").filter("p_to IS NULL").select(*KEY, "p_from")
+        size = staying.groupBy("ref_table").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= BROADCAST_ROWS)
+        tiny = F.col("ref_table").isin([r[0] for r in size.collect()])
+        refs = refs.select(*REF).withColumn("period", period_of(F.col("arrived_at"), self.months)).filter(F.col("period") >= lo)
+        for some in (F.broadcast(_renamed(staying.filter(tiny))), _renamed(staying.filter(~tiny))):
+            refs = refs.join(some, [*_same(), F.col("p_from") <= F.col("arrived_at")], "left_anti")
+        refs = scratch.write(refs.distinct().hint("rebalance", "period"), "refs", ("period",))
         ends = p.select("p_to").unionByName(self._kept("index", _INDEX).select("p_to")).select(period_of(F.col("p_to"), self.months).alias("period"))
         events = refs.select("period").unionByName(p.select("period")).unionByName(ends).filter(F.col("period").between(lo, hi))
-        size = p.groupBy("ref_table").agg(F.count(F.lit(1)).alias("n")).unionByName(self._kept("index", _INDEX).groupBy("ref_table").agg(F.count(F.lit(1)).alias("n")))
-        tiny = [r[0] for r in size.groupBy("ref_table").agg(F.sum("n").alias("n")).filter(F.col("n") <= BROADCAST_ROWS).collect()]
-        for period in sorted(r[0] for r in events.distinct().collect()):
-            self._step(period, refs.filter(F.col("period") == period).select(*REF), p.filter(F.col("period") == period), tiny)
-        self.scratch.drop("refs")
-        self.scratch.drop("parents")
+        for period in sorted({lo, hi, *(r[0] for r in events.distinct().collect())}):
+            self._step(period, refs.filter(F.col("period") == period).select(*REF), p.filter(F.col("period") == period).select(*KEY, "p_from", "p_to"))
+        scratch.drop("refs")
         return self
 
-    def _step(self, period: int, new: DataFrame, arrived: DataFrame, tiny: list[str]) -> None:
+    def _step(self, period: int, new: DataFrame, arrived: DataFrame) -> None:
+        """One period: its references that aren't settled, and its parents."""
         scratch, end = self.scratch, period_start(F.lit(period + 1), self.months)
-        index = self._kept("index", _INDEX).unionByName(arrived.select(*KEY, "p_from", "p_to"))
-        state = self._kept("state", _STATE).select(*OWNER, (F.col("n_before") + F.col("n_new")).alias("n_before"), F.col("open").alias("was_open"))
-        is_tiny = F.col("ref_table").isin(tiny) if tiny else F.lit(False)
-        few, many = index.filter(is_tiny), index.filter(~is_tiny)
-        renamed = {c: f"p_{c}" for c in KEY}
-        same = [F.col(c) == F.col(f"p_{c}") for c in KEY]
-        at_arrival = (F.col("p_from") <= F.col("arrived_at")) & (F.col("p_to").isNull() | (F.col("p_to") > F.col("arrived_at")))
-        found = new.join(F.broadcast(few.withColumnsRenamed(renamed)), [*same, at_arrival], "left_anti")
-        found = found.join(many.withColumnsRenamed(renamed), [*same, at_arrival], "left_anti").distinct()
-        found = scratch.write(found, f"found/period={period}")
+        index = self._kept("index", _INDEX).unionByName(arrived.filter("p_to IS NOT NULL"))
+        state = self._kept("state", _STATE).filter("NOT settled").select(*OWNER, (F.col("n_before") + F.col("n_new")).alias("n_before"), F.col("open").alias("was_open"))
+        at_arrival = (F.col("p_from") <= F.col("arrived_at")) & (F.col("p_to") > F.col("arrived_at"))
+        found = scratch.write(new.join(_renamed(index), [*_same(), at_arrival], "left_anti"), f"found/period={period}")
         zero, no = F.lit(0).cast("bigint"), F.lit(False)
         counts = [
             state.select(*OWNER, "n_before", zero.alias("n_new"), zero.alias("n_found"), "was_open"),
-            new.distinct().groupBy(*OWNER).agg(F.count(F.lit(1)).alias("n_new")).select(*OWNER, zero.alias("n_before"), "n_new", zero.alias("n_found"), no.alias("was_open")),
+            new.groupBy(*OWNER).agg(F.count(F.lit(1)).alias("n_new")).select(*OWNER, zero.alias("n_before"), "n_new", zero.alias("n_found"), no.alias("was_open")),
             found.groupBy(*OWNER).agg(F.count(F.lit(1)).alias("n_found")).select(*OWNER, zero.alias("n_before"), zero.alias("n_new"), "n_found", no.alias("was_open")),
         ]
         merged = _union(counts).groupBy(*OWNER).agg(*[F.sum(c).alias(c) for c in ("n_before", "n_new", "n_found")], F.bool_or("was_open").alias("was_open"))
-        lives = lambda df: df.filter((F.col("p_from") < end) & (F.col("p_to").isNull() | (F.col("p_to") > end))).select(*KEY).distinct()
-        merged = merged.join(F.broadcast(lives(few).withColumn("live_a", F.lit(True))), KEY, "left").join(lives(many).withColumn("live_b", F.lit(True)), KEY, "left")
-        merged = merged.withColumn("open", F.col("live_a").isNull() & F.col("live_b").isNull())
-        merged = scratch.write(merged.select(*OWNER, "n_before", "n_new", "n_found", "was_open", "open"), f"state-{period}")
+        live = index.filter((F.col("p_from") < end) & (F.col("p_to") > end)).select(*KEY, no.alias("stays")).unionByName(arrived.filter("p_to IS NULL").select(*KEY, F.lit(True).alias("stays")))
+        # of the arrivals only keys that something waits for are shuffled further
+        live = live.join(merged.select(*KEY).distinct(), KEY, "left_semi").groupBy(*KEY).agg(F.bool_or("stays").alias("stays"))
+        merged = merged.join(live, KEY, "left").withColumns({"open": F.col("stays").isNull(), "settled": F.coalesce("stays", no)})
+        merged = scratch.write(merged.select(*OWNER, "n_before", "n_new", "n_found", "was_open", "open", "settled"), f"state-{period}")
         back = F.when(~F.col("was_open"), F.col("n_before")).otherwise(0) + F.col("n_new") - F.col("n_found")
         opened = lambda c: F.sum(F.when(F.col("open"), c).otherwise(0))
         shot = merged.groupBy("src_table", "ref_field").agg(F.sum("n_found").alias("new_orphans"), opened(back).alias("reopened"), opened(F.col("n_before") + F.col("n_new")).alias("open_orphans"))
         scratch.write(shot.select(F.lit(period).cast("bigint").alias("period"), "*"), f"snapshots/at={period}")
-        scratch.write(index.filter(F.col("p_to").isNull() | (F.col("p_to") > end)), f"index-{period}")
+        scratch.write(index.filter(F.col("p_to") > end), f"index-{period}")
         scratch.append(self.spark.range(1).select(F.lit(period).cast("bigint").alias("period")), "steps")
         if self.periods:
             scratch.drop(f"state-{self.periods[-1]}")
@@ -171,6 +168,14 @@ class OrphanTracker:
         return out.filter("new_orphans > 0 OR open_orphans > 0")
 
 
+def _renamed(intervals: DataFrame) -> DataFrame:
+    return intervals.withColumnsRenamed({c: f"p_{c}" for c in KEY})
+
+
+def _same() -> list[Column]:
+    return [F.col(c) == F.col(f"p_{c}") for c in KEY]
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for x in parts[1:]:
