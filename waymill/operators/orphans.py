@@ -27,7 +27,8 @@ count once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from waymill.functions.keys import token, uid, world
@@ -95,22 +96,29 @@ class OrphanTracker:
     def take(self, refs: DataFrame, parents: DataFrame) -> OrphanTracker:
         """Take in every period of the references after the last one seen."""
         last, scratch = self.periods[-1] if self.periods else None, self.scratch
-        lo, hi = refs.agg(F.min(period_of(F.col("arrived_at"), self.months)), F.max(period_of(F.col("arrived_at"), self.months))).first()
-        if lo is None or (last is not None and hi <= last):
-            return self
-        lo = lo if last is None else last + 1
+        new = F.lit(True) if last is None else F.col("period") > last
         p = parents.select(*KEY, F.col("arrived_at").alias("p_from"), F.col("removed_at").alias("p_to")).filter("p_to IS NULL OR p_to > p_from")
-        p = p.withColumn("period", period_of(F.col("p_from"), self.months)).filter(F.col("period") <= hi)
-        p = p.filter(F.col("period") > last) if last is not None else p.withColumn("period", F.greatest(F.col("period"), F.lit(lo)))
+        p = p.withColumn("period", period_of(F.col("p_from"), self.months)).filter(new)
         # rebalanced by period, a period is a few files of good size however many tasks read the input
-        p = scratch.write(p.hint("rebalance", "period"), f"parents/take={lo}", ("period",))
-        staying = scratch.read("parents").filter("p_to IS NULL").select(*KEY, "p_from")
+        p = scratch.write(p.hint("rebalance", "period"), f"parents/take={len(self.periods)}", ("period",))
+        staying = scratch.read("parents", f"{_INDEX}, take int, period bigint").filter("p_to IS NULL").select(*KEY, "p_from")
         size = staying.groupBy("ref_table").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= BROADCAST_ROWS)
         tiny = F.col("ref_table").isin([r[0] for r in size.collect()])
-        refs = refs.select(*REF).withColumn("period", period_of(F.col("arrived_at"), self.months)).filter(F.col("period") >= lo)
+        refs = refs.select(*REF).withColumn("period", period_of(F.col("arrived_at"), self.months)).filter(new)
+        span = Observation()
+        every, limits = refs, [F.min("period").alias("lo"), F.max("period").alias("hi")]
+        refs = refs.observe(span, *limits)
         for some in (F.broadcast(_renamed(staying.filter(tiny))), _renamed(staying.filter(~tiny))):
             refs = refs.join(some, [*_same(), F.col("p_from") <= F.col("arrived_at")], "left_anti")
         refs = scratch.write(refs.distinct().hint("rebalance", "period"), "refs", ("period",))
+        try:
+            lo, hi = span.get["lo"], span.get["hi"]
+        except Py4JJavaError:  # a plan that turned out empty observes nothing
+            lo, hi = every.agg(*limits).first()
+        if lo is None:
+            return self
+        lo = lo if last is None else last + 1
+        p = p.filter(F.col("period") <= hi).withColumn("period", F.greatest(F.col("period"), F.lit(lo)))
         ends = p.select("p_to").unionByName(self._kept("index", _INDEX).select("p_to")).select(period_of(F.col("p_to"), self.months).alias("period"))
         events = refs.select("period").unionByName(p.select("period")).unionByName(ends).filter(F.col("period").between(lo, hi))
         for period in sorted({lo, hi, *(r[0] for r in events.distinct().collect())}):
