@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 
 from waymill.llm import spam
+from waymill.session import Scratch
 
 PHRASES = ["truck map", "download map", "cheap fuel card", "truck gps", "mod pack free", "new map update", "convoy server"]
 
@@ -80,7 +81,7 @@ def test_function_words_are_learned(spark):
     rows = [(i, t, ["en", " EN ", "en-GB"][i % 3]) for i, t in enumerate(good)]
     rows += [(900 + i, bad["soup"], "en") for i in range(len(good) // 2)]  # a third of all rows are copies of one page
     rows += [(2000 + i, "un deux trois", "fr") for i in range(5)] + [(3000, None, "en"), (3001, "x y.", None), (3002, "", "und")]
-    known = spam.function_words(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    known = spam.function_words(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), Scratch(spark, "words"))
     assert set(known) == {"en"}  # five documents are no language
     assert {"the", "to", "and", "at", "from"} <= known["en"]
     assert not known["en"] & {"truck", "download", "cheap", "mod", "pack", "free", "gps"}

@@ -59,12 +59,13 @@ _LINK = re.compile(r"<a\s[^>]*>(.*?)</a>|!?\[([^\]\n]*)\]\((?:https?://|www\.)[^
 _TAG = re.compile(r"<[^<>]*>")
 _BREAK = re.compile(r"<(?:br|/?p|/?li|/?div|/?h\d|/?tr|/?ul|/?ol)\b[^<>]*>", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)?")
-_INNER = re.compile(r"(?<=[^\W_] )[^\W\d_]+(?:['’][^\W\d_]+)?(?= [^\W_])")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|(?<=[。！？])|[\r\n]+")
 _HASH = re.compile(r"(?<!\S)#\w+")
-_CODE = re.compile(r"\b[A-Z]{2,}-?\d{2,}\b|\b\d+[.,]\d\d\s?(?:[A-Z]{3}\b|[^\W\d_]{0,2}[€$£¥])|[€$£¥]\s?\d")
-_MARKS = re.compile(r"[^\w\s]*[/|~;•·*>,=]+(?=[\s\w]|$)")
+_CODE = re.compile(r"[A-Z]{2}-?\d\d|\d[.,]\d\d\s?(?:[A-Z]{3}\b|[^\W\d_]{0,2}[€$£¥])|[€$£¥]\s?\d")
+_DIGIT = re.compile(r"\d")
+_MARKS = "/|~;,>*=•·"
 _CLOCK = re.compile(r"\b\d?\d:\d\d\b")
+_STOPS, _CLOSING = frozenset(".!?…。！？"), " \t\"'»”)]*_"
 _END = re.compile(r"[.!?…。！？][\"'»”)\]*_]*\s*$")
 _FIELD = re.compile(r"[\w.]+\s*[:=]\s*(?:[\"\d{\[]|\w+\.\w+)|[{}]")
 
@@ -102,7 +103,7 @@ def named(lang) -> str:
     return "" if code is None or code[0] in ("und", "unk") else code[0]
 
 
-def function_words(docs: DataFrame) -> dict[str, frozenset[str]]:
+def function_words(docs: DataFrame, scratch: Scratch) -> dict[str, frozenset[str]]:
     """Function words of every language, learned over all documents (text, lang)."""
     schema = "lang string, word string, inside bigint, n bigint"
 
@@ -120,9 +121,10 @@ def function_words(docs: DataFrame) -> dict[str, frozenset[str]]:
                     continue
                 own, some = set(), set()
                 for p in _SPLIT.split(text):
-                    if _END.search(p):
+                    if p.rstrip(_CLOSING)[-1:] in _STOPS:
                         own.update(_WORD.findall(p.lower()))
-                        some.update(w for w in _INNER.findall(p) if w.islower())
+                        parts = p.split(" ")
+                        some.update(b for a, b, c in zip(parts, parts[1:], parts[2:], strict=False) if b.isalpha() and b.islower() and a[-1:].isalnum() and c[:1].isalnum())
                 if own:
                     every.setdefault(code, Counter()).update(own)
                     every[code][""] += 1  # counts documents
@@ -133,7 +135,7 @@ def function_words(docs: DataFrame) -> dict[str, frozenset[str]]:
         yield out()
 
     parts = docs.select("text", "lang").filter("text IS NOT NULL AND text <> '' AND lang IS NOT NULL").mapInPandas(run, schema)
-    counts = parts.groupBy("lang", "word").agg(F.sum("inside").alias("inside"), F.sum("n").alias("n"))
+    counts = scratch.write(parts.groupBy("lang", "word").agg(F.sum("inside").alias("inside"), F.sum("n").alias("n")), "words")
     # a word in FW_SHARE of the documents is in a language's documents LANG_DOCS * FW_SHARE times at least
     counts = counts.filter((F.col("n") >= LANG_DOCS * FW_SHARE) & ((F.col("word") == "") | (F.col("inside") >= FW_INSIDE * F.col("n"))))
     size = counts.filter((F.col("word") == "") & (F.col("n") >= LANG_DOCS)).select("lang", F.col("n").alias("docs"))
@@ -253,8 +255,9 @@ def measured_lot(pages: list[tuple[list[str], list[int]]], vocabulary: Vocabular
                 d += marks / (n[i] / 3 + marks)
             if "#" in p:
                 d += len(_HASH.findall(p)) / size
-            if not p.isalpha():
-                d += max(0.0, len(_MARKS.findall(p)) / size - 0.15) + 2 * len(_CODE.findall(p)) / size
+            d += max(0.0, sum(map(p.count, _MARKS)) / size - 0.15)
+            if _DIGIT.search(p):
+                d += 2 * len(_CODE.findall(p)) / size
             dens[i] = min(1.0, d)
             if ":" in p or "=" in p or "{" in p or "}" in p:
                 facts[i] = min(1.0, (2 * len(_CLOCK.findall(p)) + 2 * len(_FIELD.findall(p))) / size)
@@ -394,7 +397,7 @@ def spam_pages(docs: DataFrame) -> DataFrame:
     """(doc_id, words, spam_words, other_words) of every page with at least MIN_WORDS words, one row for each text of a
     doc_id; other_words stand in stretches of no learned language."""
     scratch = Scratch(docs.sparkSession, "spam")
-    rows = scratch.write(measured(docs, function_words(docs)), "stretches")
+    rows = scratch.write(measured(docs, function_words(docs, scratch)), "stretches")
     frames = robust_frames(rows)
     none = F.lit(0).cast("bigint")
     if not frames:
