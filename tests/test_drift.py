@@ -1,5 +1,8 @@
 import json
 
+import pytest
+
+from waymill.functions.values import cast_exactly
 from waymill.operators import drift
 
 
@@ -52,13 +55,41 @@ def test_one_file_over_many_partitions(spark):
     assert sorted(got) == sorted(x for i in range(1, 20) for x in (("hot", f"1.{3 * i}", "added", "", f"k{i}"), ("hot", f"1.{3 * i}", "removed", f"k{i - 1}", "")))
 
 
+def test_partitions_dont_matter(spark):
+    """Ties of one version on either side of a cut: the payload that sorts first counts, whatever the partitions."""
+    files = [("p", "1", {"a": 1}), ("p", "1", {"b": 1}), ("p", "2", {"a": 1}), ("p", "3", {"c": 1}), ("q", "1", {"a": 1})] + [(f"r{i}", str(v), {f"k{v}": v}) for i in range(9) for v in range(4)]
+    got = [sorted(map(tuple, drift.shape_changes(rows(spark, files), n).collect())) for n in (1, 3, 50)]
+    assert got[0] == got[1] == got[2]
+    assert [x for x in got[0] if x[0] == "p"] == [("p", "3", "renamed", "a", "c")]
+
+
+def test_payloads_that_are_no_json(spark):
+    files = [("p", "1", {"a": 1}), ("p", "2", '{"a": Infinity}'), ("p", "3", '{"a": NaN}'), ("p", "4", {"a": "x"})]
+    assert found(spark, files) == [("p", "4", "type_changed", "a", "a")]
+    assert drift.ingest(rows(spark, [("p", "1", '{"ferryData": {"a": {"price": Infinity}}}')]), "ferry").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("value", "kind", "want"),
+    [(12.7, "bigint", None), (12.0, "bigint", 12), ("1_0", "bigint", None), (" 5", "bigint", None), ("-5", "bigint", -5), (2**70, "bigint", None), (True, "bigint", None), ("1e3", "double", 1000.0), ("inf", "double", None), (2**53 + 1, "double", None), (10**400, "double", None), (7, "string", None), ("7", "string", "7"), (float("inf"), "bigint", None), (None, "double", None)],
+)
+def test_casts_lose_nothing(value, kind, want):
+    assert cast_exactly(value, kind) == want
+
+
+def test_approvals_follow_renamings(spark):
+    f = lambda **k: {"ferryData": {"a": k}}
+    files = rows(spark, [("p", "1", f(ferryName="x", price=1)), ("p", "2", f(name="x", price=1)), ("p", "3", f(label="x", price=1)), ("q", "1", f(other="y")), ("q", "2", f(thing="y"))])
+    assert drift.approvals(drift.shape_changes(files), "ferry") == {"ferry_name": ("name", "label"), "ferry_name_localized": (), "price": (), "transit": ()}
+
+
 def test_rescue_and_promotion(spark):
     files = rows(spark, [("p", "1", {"ferryData": {"a": {"ferryName": "A", "price": "12 EUR", "transit": 5}, "b": {"name": "B", "price": 3}}}), ("p", "2", {"ferryData": [{"token": "c", "ferryName": {"default": "C"}, "extra": [1]}]})])
     table = drift.ingest(files, "ferry")
     got = {r.row_key: r for r in table.collect()}
     assert (got["a"].ferry_name, got["a"].price, got["a"].transit, json.loads(got["a"].rescued)) == ("A", None, 5, {"price": "12 EUR"})
     assert got["b"].ferry_name is None
-    again = {r.row_key: r for r in drift.promote(table, "ferry").collect()}
+    again = {r.row_key: r for r in drift.promote(table, "ferry", {"ferry_name": ("name",)}).collect()}
     assert (again["b"].ferry_name, again["b"].price, again["b"].rescued) == ("B", 3.0, None)
     assert (again["c"].ferry_name, json.loads(again["c"].rescued)) == ("C", {"extra": [1]})
     assert json.loads(again["a"].rescued) == {"price": "12 EUR"}

@@ -10,7 +10,8 @@ promote() replays rescued values of approved fields (and approved former names)
 rescue column alone.
 
 Versions of a file are paired by a range sort on (file, version), which also splits a file that holds a third of all
-rows; only one row at each partition's ends is paired in a second, small pass. Null payloads, paths and versions and
+rows; all payloads of one version stand in one partition. What stands at the ends of neighbouring partitions is paired
+by an equi-join on the partition's number. Null payloads, paths and versions and
 payloads that are cut off yield nothing; of two payloads of one version the one that sorts first counts; repeated rows
 count once; versions order number by number.
 """
@@ -21,9 +22,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from waymill.functions.values import cast_exactly
 from waymill.session import Scratch
 
 CHANGES = "file_path string, game_version string, change_kind string, old_path string, new_path string"
@@ -104,57 +108,67 @@ def version_key(c: Column) -> Column:
     return F.transform(F.split(c, r"\."), lambda x: x.try_cast("bigint"))
 
 
+def _refused(text: str):
+    raise ValueError(f"{text} is no JSON")
+
+
 def _parsed(payload):
     try:
-        v = json.loads(payload)
+        v = json.loads(payload, parse_constant=_refused)
     except (ValueError, TypeError, RecursionError):
         return None
     return v if isinstance(v, dict) else None
 
 
-def shape_changes(files: DataFrame) -> DataFrame:
-    """Every change of shape between a version of a file and the one before it among the rows."""
+def shape_changes(files: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Every change of shape between a version of a file and the one before it among the rows.
+
+    partitions: of the range sort, by default the session's; the result doesn't depend on them.
+    """
     scratch = Scratch(files.sparkSession, "drift")
     rows = files.select("file_path", "game_version", "payload").filter("file_path IS NOT NULL AND game_version IS NOT NULL AND payload IS NOT NULL").distinct()
     key = ["file_path", "vkey", "game_version"]
-    rows = rows.withColumn("vkey", version_key(F.col("game_version"))).repartitionByRange(*key, "payload").sortWithinPartitions(*key, "payload")
-    out = scratch.write(rows.select("file_path", "game_version", "payload").mapInPandas(_compare, f"{CHANGES}, payload string"), "changes")
-    ends = out.filter("payload IS NOT NULL").select("file_path", "game_version", "payload").withColumn("vkey", version_key(F.col("game_version")))
-    ends = ends.repartition(1).sortWithinPartitions(*key)  # two rows at most for each partition of the sort
-    across = ends.select("file_path", "game_version", "payload").mapInPandas(_compare_ends, CHANGES)
-    return out.filter("payload IS NULL").drop("payload").unionByName(across).distinct()
+    rows = rows.withColumn("vkey", version_key(F.col("game_version")))
+    rows = (rows.repartitionByRange(partitions, *key) if partitions else rows.repartitionByRange(*key)).sortWithinPartitions(*key, "payload")
+    out = scratch.write(rows.select("file_path", "game_version", "payload").mapInPandas(_compare, f"{CHANGES}, part int, payload string"), "changes")
+    ends = out.filter("payload IS NOT NULL")
+    # one number a partition: the next one that holds rows
+    parts = ends.select("part").distinct().withColumn("next", F.lead("part").over(W.orderBy("part")))
+    last = ends.filter("change_kind = 'last'").join(parts, "part").select(F.col("next").alias("part"), F.col("file_path").alias("a_path"), F.col("payload").alias("a"))
+    first = ends.filter("change_kind = 'first'").select("part", "file_path", "game_version", "payload")
+    across = first.join(last, "part").filter("file_path = a_path").select("file_path", "game_version", "a", "payload").mapInPandas(_compare_ends, CHANGES)
+    return out.filter("payload IS NULL").drop("payload", "part").unionByName(across).distinct()
+
+
+_COMPARED = ["file_path", "game_version", "change_kind", "old_path", "new_path", "part", "payload"]
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Changes between neighbours; the first and the last row come out themselves."""
-    before, last, seen = None, None, False
+    """Changes between neighbours; the first and the last row of the partition come out themselves."""
+    before, last, part = None, None, TaskContext.get().partitionId()
     for pdf in batches:
         rows = []
-        for row in pdf.itertuples(index=False):
-            path, version, payload = row
+        for path, version, payload in pdf.itertuples(index=False):
             if last and (path, version) == last[:2]:
                 continue
             if (v := _parsed(payload)) is None:
                 continue
             now = fields(v)
-            if not seen:
-                rows.append((path, version, "", "", "", payload))
+            if last is None:
+                rows.append((path, version, "first", "", "", part, payload))
             elif path == last[0]:
-                rows += [(path, version, *c, None) for c in changes(before, now)]
-            seen, before, last = True, now, (path, version, payload)
-        yield pd.DataFrame(rows, columns=["file_path", "game_version", "change_kind", "old_path", "new_path", "payload"])
+                rows += [(path, version, *c, part, None) for c in changes(before, now)]
+            before, last = now, (path, version, payload)
+        yield pd.DataFrame(rows, columns=_COMPARED)
     if last:
-        yield pd.DataFrame([(last[0], last[1], "", "", "", last[2])], columns=["file_path", "game_version", "change_kind", "old_path", "new_path", "payload"])
+        yield pd.DataFrame([(last[0], last[1], "last", "", "", part, last[2])], columns=_COMPARED)
 
 
 def _compare_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Changes between the last row of a partition and the first of the next: sorted, each partition gives first, last."""
-    ends = [r for pdf in batches for r in pdf.itertuples(index=False)]
-    rows = []
-    for a, b in zip(ends[1::2], ends[2::2], strict=False):
-        if a[0] == b[0] and a[1] != b[1]:
-            rows += [(b[0], b[1], *c) for c in changes(fields(_parsed(a[2])), fields(_parsed(b[2])))]
-    yield pd.DataFrame(rows, columns=["file_path", "game_version", "change_kind", "old_path", "new_path"])
+    """Changes between the last row of a partition and the first of the next."""
+    for pdf in batches:
+        rows = [(path, version, *c) for path, version, a, b in pdf.itertuples(index=False) for c in changes(fields(_parsed(a)), fields(_parsed(b)))]
+        yield pd.DataFrame(rows, columns=["file_path", "game_version", "change_kind", "old_path", "new_path"])
 
 
 #: Target schemas by file kind: typed columns with the path that fills each.
@@ -163,24 +177,29 @@ TARGETS = {
     "icon_mat": {"texture_source": ("source", "string"), "u_address": ("u_address", "string"), "queue": ("queue", "bigint")},
     "localization": {"entry_key": ("key", "string"), "entry_value": ("val", "string")},
 }
-#: Other names that are approved for promotion.
-PROMOTED = {
-    "ferry": {"ferry_name": ("name", "ferryName/default", "name/default"), "ferry_name_localized": ("nameLocalized",)},
-    "icon_mat": {"texture_source": ("src", "file", "source/path", "src/path", "file/path", "material/ui/texture", "material/ui/tex")},
-    "localization": {"entry_key": ("keys",), "entry_value": ("value",)},
-}
-
-
-def _cast(v, kind: str):
-    """The value in the type asked for, or None if it can't be cast without loss."""
-    if kind == "string":
-        return v if isinstance(v, str) else None
-    if isinstance(v, bool) or not isinstance(v, (int, float, str)):
-        return None
-    try:
-        return float(v) if kind == "double" else int(v)
-    except ValueError:
-        return None
+#: Where the fields of a row stand in a payload's paths.
+ROWS = {"ferry": ("ferryData/*/", "ferryData/[]/"), "icon_mat": ("effect/*/", ""), "localization": ("localizationDb/*/",)}
+
+
+def approvals(changes_: DataFrame, kind: str, hops: int = 8) -> dict[str, tuple[str, ...]]:
+    """Other names of each target column's field, from the `renamed` rows of shape_changes() of files of one kind.
+
+    Names are followed from the target's own one over at most so many renamings either way; only names met on the way
+    come to the driver.
+    """
+    names = changes_.filter("change_kind = 'renamed'").select(F.element_at(F.split("old_path", "/"), -1).alias("a"), F.element_at(F.split("new_path", "/"), -1).alias("b")).distinct().cache()
+    out = {}
+    for column, (path, _) in TARGETS[kind].items():
+        known, front = [path], [path]
+        for _ in range(hops):
+            met = names.filter(F.col("a").isin(front) | F.col("b").isin(front)).collect()
+            front = sorted({n for r in met for n in r} - set(known))
+            if not front:
+                break
+            known += front
+        out[column] = tuple(n for n in known[1:] if n not in {p for p, _ in TARGETS[kind].values()})
+    names.unpersist()
+    return out
 
 
 def _flat(v, path: str = "") -> Iterator[tuple[str, object]]:
@@ -236,7 +255,7 @@ def ingest(files: DataFrame, kind: str) -> DataFrame:
             for path, version, payload in zip(pdf["file_path"], pdf["game_version"], pdf["payload"], strict=True):
                 v = _parsed(payload)
                 for key, own in _units(kind, v) if v is not None else ():
-                    typed = {c: _cast(own.get(p), t) for c, (p, t) in target.items()}
+                    typed = {c: cast_exactly(own.get(p), t) for c, (p, t) in target.items()}
                     left = {p: x for p, x in own.items() if not any(p == q and typed[c] is not None for c, (q, _) in target.items())}
                     rows.append((kind, path, version, key, *typed.values(), json.dumps(left, sort_keys=True) if left else None))
             yield pd.DataFrame(rows, columns=["file_kind", "file_path", "game_version", "row_key", *target, "rescued"]).astype(object)
@@ -245,9 +264,13 @@ def ingest(files: DataFrame, kind: str) -> DataFrame:
     return own.mapInPandas(run, schema)
 
 
-def promote(table: DataFrame, kind: str) -> DataFrame:
-    """Replay approved fields from `rescued` into typed columns that are still empty; what was used leaves the rescue."""
-    names, types = PROMOTED[kind], {c: t for c, (_, t) in TARGETS[kind].items()}
+def promote(table: DataFrame, kind: str, approved: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Replay approved fields from `rescued` into typed columns that are still empty; what was used leaves the rescue.
+
+    approved: other names of each column's field, in order of preference. A field that became an object with one value
+    in it counts as that value.
+    """
+    names, types = {c: (p, *approved.get(c, ())) for c, (p, _) in TARGETS[kind].items()}, {c: t for c, (_, t) in TARGETS[kind].items()}
 
     def run(batches):
         for pdf in batches:
@@ -256,11 +279,13 @@ def promote(table: DataFrame, kind: str) -> DataFrame:
                 if text is None:
                     continue
                 left = json.loads(text)
-                for column, approved in names.items():
-                    for name in approved:
-                        if pdf.at[i, column] is None and name in left and (v := _cast(left[name], types[column])) is not None:
+                for column, own in names.items():
+                    for name in own:
+                        within = [p for p in left if p.startswith(f"{name}/")]
+                        at = name if name in left else within[0] if len(within) == 1 else None
+                        if at is not None and pdf.at[i, column] is None and (v := cast_exactly(left[at], types[column])) is not None:
                             pdf.at[i, column] = v
-                            del left[name]
+                            del left[at]
                 pdf.at[i, "rescued"] = json.dumps(left, sort_keys=True) if left else None
             yield pdf
 

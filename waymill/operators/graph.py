@@ -6,6 +6,7 @@ Iterations are joins whose state is written to the shared folder each round; no
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from waymill.session import Scratch
 
-#: Edges that may be handed to every task as arrays (16 bytes each); beyond, routes are relaxed by joins.
+#: Edges that may be handed to every task as arrays (16 bytes each); a larger graph is searched cell by cell.
 SNAPSHOT_EDGES = 5_000_000
 
 
@@ -201,47 +202,178 @@ class Snapshot:
         self.nodes, self.dst, self.cost = nodes, dst[order], pdf["cost"].to_numpy(float)[order]
         self.start = np.searchsorted(src[order], np.arange(len(nodes) + 1))
 
-    def route(self, a: int, b: int) -> tuple[float, list[int]] | None:
-        """Least cost and nodes from a to b; ties go to the node with the smaller id."""
-        at = np.searchsorted(self.nodes, [a, b])
-        if any(i >= len(self.nodes) or self.nodes[i] != v for i, v in zip(at, (a, b), strict=True)):
-            return None
-        s, g = map(int, at)
-        best, came, heap = {s: 0.0}, {}, [(0.0, s)]
+    def at(self, node: int) -> int | None:
+        i = int(np.searchsorted(self.nodes, node))
+        return i if i < len(self.nodes) and self.nodes[i] == node else None
+
+    def search(self, starts: list[tuple[float, int]], goals: set[int] | None = None, bound: float = math.inf) -> tuple[dict[int, float], dict[int, int]]:
+        """(least cost, node before) of the nodes reached from starts (cost, node) below a bound, or until all goals are
+        settled; ties go to the node with the smaller id."""
+        best, came, heap, left = {}, {}, [], set(goals) if goals else None
+        for cost, u in starts:
+            if cost < best.get(u, bound):
+                best[u] = cost
+                heap.append((cost, u))
+        heapq.heapify(heap)
         while heap:
             cost, u = heapq.heappop(heap)
             if cost > best[u]:
                 continue
-            if u == g:
-                path = [g]
-                while path[-1] != s:
-                    path.append(came[path[-1]])
-                return cost, [int(self.nodes[i]) for i in reversed(path)] if len(path) > 1 else [a, b]
+            if left is not None:
+                left.discard(u)
+                if not left:
+                    break
             for i in range(self.start[u], self.start[u + 1]):
                 v, c = int(self.dst[i]), cost + float(self.cost[i])
-                if c < best.get(v, np.inf):
+                if c < best.get(v, bound):
                     best[v], came[v] = c, u
                     heapq.heappush(heap, (c, v))
-        return None
+        return best, came
 
+    def path(self, came: dict[int, int], node: int) -> list[int]:
+        """Nodes from a start to a node."""
+        out = [node]
+        while out[-1] in came:
+            out.append(came[out[-1]])
+        return [int(self.nodes[i]) for i in reversed(out)]
 
-def routes(edges: DataFrame, requests: DataFrame) -> DataFrame:
-    """(src, dst, cost, path): the cheapest route of each request over edges (src, dst, cost).
 
-    A graph of at most SNAPSHOT_EDGES edges is handed to the tasks, which search for their requests; equal requests
-    are searched once. Beyond that bound costs come from relax(), without paths.
+def _least_edges(edges: DataFrame) -> DataFrame:
+    own = edges.filter("src IS NOT NULL AND dst IS NOT NULL AND cost IS NOT NULL")
+    return own.groupBy("src", "dst").agg(F.min("cost").alias("cost"))
+
+
+def routes(edges: DataFrame, requests: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """(src, dst, cost, path): the cheapest route of each distinct request (src, dst) over directed edges (src, dst, cost)
+    with BIGINT nodes; requests without a route are left out, one from a node to itself costs 0.
+
+    A graph of at most SNAPSHOT_EDGES edges, counted, is handed to the tasks, which search for their requests. A larger
+    one stays where it is, see routes_by_cells(); costs and paths are the same but for ties between equal routes.
     """
     wanted = requests.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    own = edges.groupBy("src", "dst").agg(F.min("cost").alias("cost")).filter("cost IS NOT NULL")
+    own = _least_edges(edges)
     if own.count() > SNAPSHOT_EDGES:
-        found = relax(own, wanted.select(F.col("src").alias("node")), F.col("cost"))
-        out = wanted.join(found.select(F.col("source").alias("src"), F.col("node").alias("dst"), "cost"), ["src", "dst"])
-        return out.withColumn("path", F.lit(None).cast("array<bigint>"))
+        return routes_by_cells(own, wanted, cells)
     graph = edges.sparkSession.sparkContext.broadcast(Snapshot(own.toPandas()))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(a, b, *hit) for a, b in zip(pdf["src"], pdf["dst"], strict=True) if (hit := graph.value.route(a, b))]
+            rows = []
+            for a, group in pdf.groupby("src"):
+                goals = {int(b): graph.value.at(int(b)) for b in group["dst"]}
+                rows += [(a, b, 0.0, [a]) for b in goals if b == a]
+                start, there = graph.value.at(int(a)), {i for i in goals.values() if i is not None}
+                if start is None or not there:
+                    continue
+                best, came = graph.value.search([(0.0, start)], there)
+                rows += [(a, b, best[i], graph.value.path(came, i)) for b, i in goals.items() if b != a and i in best]
             yield pd.DataFrame(rows, columns=["src", "dst", "cost", "path"])
 
-    return wanted.repartition("src").mapInPandas(search, "src bigint, dst bigint, cost double, path array<bigint>")
+    return wanted.repartition("src").mapInPandas(search, _ROUTE)
+
+
+_ROUTE = "src bigint, dst bigint, cost double, path array<bigint>"
+_LABEL = "kind string, cell bigint, block int, source bigint, node bigint, cost double, path array<bigint>"
+#: Sources whose searches meet in one task, and cells of a graph that comes without any.
+SOURCES, CELLS = 256, 4096
+
+
+def routes_by_cells(edges: DataFrame, wanted: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """routes() for graphs of any size: the nodes stand in cells (node, cell) of a size that fits a task, by default in
+    CELLS hashed ones.
+
+    A round searches every cell that has news to the end, in its own task, for a block of sources at a time: news are
+    entries (source, node, cost, path so far), the results are arrivals at goals and entries into neighbouring cells.
+    Entries that don't improve on earlier ones, or that cost as much as all goals of their source already do, are
+    dropped, so the rounds end after as many as the routes change cells, not after as many as they have edges.
+    """
+    spark = edges.sparkSession
+    scratch = Scratch(spark, "routes")
+    wanted = scratch.write(wanted, "wanted")
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    if cells is None:
+        cells = nodes.select("node", F.pmod(F.xxhash64("node"), F.lit(CELLS)).alias("cell"))
+    cells = scratch.write(cells.groupBy("node").agg(F.min("cell").cast("bigint").alias("cell")), "cells")
+    here = lambda c, name: cells.select(F.col("node").alias(c), F.col("cell").alias(name))
+    own = edges.join(here("src", "cell"), "src").join(here("dst", "to_cell"), "dst").select("cell", "src", "dst", "cost", "to_cell")
+    goals = wanted.select(F.col("dst").alias("src")).distinct().join(here("src", "cell"), "src").select("cell", "src", F.lit(None).cast("bigint").alias("dst"), F.lit(None).cast("double").alias("cost"), F.lit(None).cast("bigint").alias("to_cell"))
+    own = scratch.write(own.unionByName(goals), "edges")
+    sources = wanted.select(F.col("src").alias("source")).distinct()
+    blocks = -(-max(sources.count(), 1) // SOURCES)
+    block = F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int")
+    front = sources.join(here("source", "cell"), "source").select("cell", block.alias("block"), "source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array("source").alias("path"))
+    front, best, hits, k = scratch.write(front, "front-0"), None, None, 0
+    while not front.isEmpty():
+        k += 1
+        busy = scratch.read(f"front-{k - 1}", front.schema).select("cell", "block").distinct()
+        around = own.join(busy, "cell")
+        out = front.groupBy("cell", "block").cogroup(around.groupBy("cell", "block")).applyInPandas(_search_cell, _LABEL)
+        out = scratch.write(out, f"labels-{k}")
+        new_hits = out.filter("kind = 'hit'").select(F.col("source").alias("src"), F.col("node").alias("dst"), "cost", "path").join(wanted, ["src", "dst"], "left_semi")
+        hits = new_hits if hits is None else hits.unionByName(new_hits)
+        hits = scratch.write(hits.groupBy("src", "dst").agg(F.min(F.struct("cost", "path")).alias("m")).select("src", "dst", "m.cost", "m.path"), f"hits-{k}")
+        limit = wanted.join(hits.select("src", "dst", "cost"), ["src", "dst"], "left").groupBy(F.col("src").alias("source")).agg(F.max(F.coalesce("cost", F.lit(math.inf))).alias("most"))
+        news = out.filter("kind = 'entry'").groupBy("cell", "block", "source", "node").agg(F.min(F.struct("cost", "path")).alias("m")).select("cell", "block", "source", "node", "m.cost", "m.path")
+        news = news.join(limit, "source").filter("cost < most").drop("most")
+        if best is not None:
+            news = news.join(best.select("source", "node", F.col("cost").alias("old")), ["source", "node"], "left").filter("old IS NULL OR cost < old").drop("old")
+        front = scratch.write(news.select("cell", "block", "source", "node", "cost", "path"), f"front-{k}")
+        seen = front.select("source", "node", "cost")
+        best = seen if best is None else best.unionByName(seen).groupBy("source", "node").agg(F.min("cost").alias("cost"))
+        best = scratch.write(best, f"best-{k}")
+    if hits is None:
+        hits = spark.createDataFrame([], _ROUTE)
+    same = wanted.filter("src = dst").select("src", "dst", F.lit(0.0).alias("cost"), F.array("src").alias("path"))
+    return hits.filter("src <> dst").unionByName(same)
+
+
+def _search_cell(key, news: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+    """Entries of a cell followed to the end within it: arrivals at goals and entries into other cells."""
+    names = ["kind", "cell", "block", "source", "node", "cost", "path"]
+    goals = around["dst"].isna()
+    goal_nodes = around.loc[goals, "src"].astype(np.int64)
+    e = around[~goals].astype({"src": np.int64, "dst": np.int64, "to_cell": np.int64})
+    if not len(e):
+        e = pd.DataFrame({"src": [-1], "dst": [-1], "cost": [math.inf], "to_cell": [key[0]]})
+    inside = e["to_cell"] == key[0]
+    graph = Snapshot(pd.concat([e[inside][["src", "dst", "cost"]], pd.DataFrame({"src": (own := np.unique(np.concatenate([e["src"], goal_nodes, news["node"]]))), "dst": own, "cost": 0.0})]))
+    leaving = {int(u): list(zip(g["dst"], g["cost"], g["to_cell"], strict=True)) for u, g in e[~inside].groupby("src")}
+    rows = []
+    for source, g in news.groupby("source"):
+        entries = {int(n): (float(c), list(p)) for n, c, p in zip(g["node"], g["cost"], g["path"], strict=True)}
+        best, came = graph.search([(c, graph.at(n)) for n, (c, _) in entries.items()])
+
+        def whole(i: int, came=came, entries=entries) -> list[int]:
+            path = graph.path(came, i)
+            return entries[path[0]][1][:-1] + path
+
+        rows += [("hit", key[0], key[1], source, n, best[i], whole(i)) for n in goal_nodes.tolist() if (i := graph.at(n)) in best]
+        for u, ways in leaving.items():
+            if (i := graph.at(u)) in best:
+                path = whole(i)
+                rows += [("entry", int(cell), key[1], source, int(v), best[i] + float(c), [*path, int(v)]) for v, c, cell in ways]
+    return pd.DataFrame(rows, columns=names)
+
+
+def costs_from(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(source, node, cost): least cost from each seed (node) to every node it reaches over edges (src, dst, cost).
+
+    As with routes(), a graph of at most SNAPSHOT_EDGES edges is searched in the tasks of its seeds; a larger one is
+    relaxed by joins.
+    """
+    own = _least_edges(edges)
+    if own.count() > SNAPSHOT_EDGES:
+        return relax(own, seeds.filter("node IS NOT NULL"), F.col("cost"))
+    graph = edges.sparkSession.sparkContext.broadcast(Snapshot(own.toPandas()))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in pdf["node"]:
+                start = graph.value.at(int(a))
+                best = graph.value.search([(0.0, start)])[0] if start is not None else {}
+                at = np.fromiter(best, np.int64, len(best))
+                reached = graph.value.nodes[at] if len(at) else at
+                own = pd.DataFrame({"source": a, "node": reached, "cost": np.fromiter(best.values(), float, len(best))})
+                yield own if len(at) else pd.DataFrame({"source": [a], "node": [a], "cost": [0.0]})
+
+    return seeds.select("node").filter("node IS NOT NULL").distinct().mapInPandas(search, "source bigint, node bigint, cost double")

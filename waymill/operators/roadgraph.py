@@ -19,9 +19,19 @@ from waymill.functions.texts import any_lane
 
 #: Lane classes by what a lane's name holds, first match counts, and miles per hour assumed for each (a parameter).
 SPEED_RULES = [(("freeway",), "freeway"), (("motorway",), "motorway"), (("expressway",), "expressway"), (("divided",), "divided"), (("slow_road",), "slow")]
+#: Fixed value: maps whose speeds are read as kilometres an hour, with miles a kilometre.
+MILES_A_KM = {"europe": 0.6213712}
 SPEEDS = {"freeway": 65.0, "motorway": 60.0, "expressway": 55.0, "divided": 50.0, "slow": 20.0, "local": 30.0}
 
 
+def in_mph(mph: Column) -> Column:
+    """Speeds of a map by its unit."""
+    factor = F.lit(1.0)
+    for name, v in MILES_A_KM.items():
+        factor = F.when(F.col("map_name") == name, v).otherwise(factor)
+    return mph * factor
+
+
 def road_edges(roads: DataFrame, looks: DataFrame, speeds: dict[str, float] = SPEEDS) -> DataFrame:
     """Edges of roads that aren't hidden; roads without a known look or without a node give none."""
     r = roads.filter(~F.coalesce("is_hidden", F.lit(False)))
@@ -31,7 +41,7 @@ def road_edges(roads: DataFrame, looks: DataFrame, speeds: dict[str, float] = SP
     lanes = F.concat(F.coalesce("lanes_left", F.array().cast("array<string>")), F.coalesce("lanes_right", F.array().cast("array<string>")))
     look = looks.select("map_name", token("token").alias("look"), size("lanes_left").alias("nl"), size("lanes_right").alias("nr"), any_lane(lanes, SPEED_RULES, "local").alias("speed")).dropDuplicates(["map_name", "look"])
     mph = F.coalesce(*[F.when(F.col("speed") == k, F.lit(v)) for k, v in speeds.items()])
-    both = r.join(look, ["map_name", "look"]).withColumns({"distance": F.col("road_length"), "duration": g.travel_seconds(F.col("road_length"), mph), "one_lane": F.greatest("nl", "nr") == 1})
+    both = r.join(look, ["map_name", "look"]).withColumns({"distance": F.col("road_length"), "duration": g.travel_seconds(F.col("road_length"), in_mph(mph)), "one_lane": F.greatest("nl", "nr") == 1})
     ways = F.array(
         F.when(F.col("nr") > 0, F.struct(F.col("s").alias("node"), F.lit("forward").alias("dir"), F.col("e").alias("to"))),
         F.when(F.col("nl") > 0, F.struct(F.col("e").alias("node"), F.lit("backward").alias("dir"), F.col("s").alias("to"))),
@@ -101,7 +111,7 @@ def prefab_edges(prefabs: DataFrame, descriptions: DataFrame, nodes: DataFrame)
     d = g.distance(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"))
     into = F.when(F.col("a.f") == F.col("item"), "forward").otherwise("backward")
     out = F.when(F.col("b.b") == F.col("item"), "forward").otherwise("backward")
-    return e.select("map_name", "node", into.alias("dir"), "to", out.alias("to_dir"), d.alias("distance"), g.travel_seconds(d, F.lit(SPEEDS["local"])).alias("duration"), F.lit(False).alias("one_lane"), "guard", "item")
+    return e.select("map_name", "node", into.alias("dir"), "to", out.alias("to_dir"), d.alias("distance"), g.travel_seconds(d, in_mph(F.lit(SPEEDS["local"]))).alias("duration"), F.lit(False).alias("one_lane"), "guard", "item")
 
 
 def island_items(members: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def links(t: Tables) -> DataFrame:
 _EDGES = f"""r AS (SELECT DISTINCT map_name, {_u("uid")} AS item, {_u("start_node_uid")} AS s, {_u("end_node_uid")} AS e, {_tok("road_look_token")} AS look, road_length, dlc_guard AS guard FROM roads WHERE NOT coalesce(is_hidden, false)),
   k AS (SELECT map_name, {_tok("token")} AS look, coalesce(len(lanes_left), 0) AS nl, coalesce(len(lanes_right), 0) AS nr, list_concat(coalesce(lanes_left, []), coalesce(lanes_right, [])) AS l FROM road_looks),
   b AS (SELECT r.*, nl, nr, greatest(nl, nr) = 1 AS one_lane, road_length / (CASE WHEN len(list_filter(l, lambda v: contains(v, 'freeway'))) > 0 THEN 65 WHEN len(list_filter(l, lambda v: contains(v, 'motorway'))) > 0 THEN 60
-    WHEN len(list_filter(l, lambda v: contains(v, 'expressway'))) > 0 THEN 55 WHEN len(list_filter(l, lambda v: contains(v, 'divided'))) > 0 THEN 50 WHEN len(list_filter(l, lambda v: contains(v, 'slow_road'))) > 0 THEN 20 ELSE 30 END * 0.44704) AS duration
+    WHEN len(list_filter(l, lambda v: contains(v, 'expressway'))) > 0 THEN 55 WHEN len(list_filter(l, lambda v: contains(v, 'divided'))) > 0 THEN 50 WHEN len(list_filter(l, lambda v: contains(v, 'slow_road'))) > 0 THEN 20 ELSE 30 END * 0.44704 * CASE WHEN r.map_name = 'europe' THEN 0.6213712 ELSE 1 END) AS duration
     FROM r JOIN k ON k.map_name = r.map_name AND k.look = r.look WHERE s IS NOT NULL AND e IS NOT NULL AND s <> '0' AND e <> '0'),
   g AS (SELECT map_name, s AS node, 'forward' AS dir, e AS "to", road_length AS distance, duration, one_lane, guard, item FROM b WHERE nr > 0 UNION ALL SELECT map_name, e, 'backward', s, road_length, duration, one_lane, guard, item FROM b WHERE nl > 0),
   x AS (SELECT map_name || ':' || node || ':' || dir AS src, map_name || ':' || "to" || ':' || dir AS dst, distance, duration, one_lane FROM g)"""
@@ -93,13 +93,19 @@ def reach_k(t: Tables) -> DataFrame:
 
 def _relaxed(mode: str, cost: str):
     @R.query(
-        f"""WITH RECURSIVE {_EDGES}, w AS (SELECT src, dst, min({cost}) AS w FROM x GROUP BY 1, 2), p AS (SELECT src AS source, src AS node, 0.0::DOUBLE AS cost, 0 AS k FROM x GROUP BY 1
-          UNION ALL SELECT source, w.dst, cost + w.w, k + 1 FROM p JOIN w ON w.src = p.node WHERE k < 3) SELECT source, node, round(min(cost), 3) AS cost FROM p GROUP BY 1, 2"""
+        f"""WITH RECURSIVE {_EDGES}, w AS (SELECT src, dst, min({cost}) AS w FROM x GROUP BY 1, 2), s AS (SELECT arg_min(src, (-n, src)) AS src FROM (SELECT split_part(src, ':', 1) AS m, src, count(*) AS n FROM x GROUP BY ALL) GROUP BY m),
+          p(source, node, cost) USING KEY (source, node) AS (SELECT src, src, 0.0::DOUBLE FROM s UNION SELECT p.source, w.dst, min(p.cost + w.w) FROM p JOIN w ON w.src = p.node LEFT JOIN recurring.p r ON r.source = p.source AND r.node = w.dst
+          WHERE p.cost + w.w < coalesce(r.cost, 1e300) GROUP BY 1, 2) SELECT source, node, round(cost, 2) AS cost FROM p"""
     )
     def run(t: Tables) -> DataFrame:
-        own = links(t)
-        out = graph.relax(own, own.select(c("src").alias("node")), roadgraph.mode_cost(mode), 3)
-        return out.select("source", "node", F.round("cost", 3).alias("cost"))
+        own = links(t).withColumn("cost", roadgraph.mode_cost(mode))
+        ids = own.select(c("src").alias("n")).unionByName(own.select(c("dst").alias("n"))).distinct().select("n", F.xxhash64("n").alias("id"))
+        busiest = own.groupBy(F.split_part("src", F.lit(":"), F.lit(1)).alias("m"), "src").agg(F.count(F.lit(1)).alias("n"))
+        seeds = busiest.groupBy("m").agg(F.min_by("src", F.struct(-c("n"), "src")).alias("src")).select(F.xxhash64("src").alias("node"))
+        out = graph.costs_from(own.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"), "cost"), seeds)
+        named = lambda k: ids.select(c("id").alias(k), c("n").alias(f"{k}_name"))
+        out = out.join(named("source"), "source").join(named("node"), "node")
+        return out.select(c("source_name").alias("source"), c("node_name").alias("node"), F.round("cost", 2).alias("cost"))
 
     for made in (QUERIES, ORACLES):
         made[f"relax_{mode.lower()}"] = made.pop("run")
@@ -109,19 +115,51 @@ _relaxed("shortest", "distance")
 _relaxed("fastest", "duration")
 _relaxed("smallRoads", "CASE WHEN one_lane THEN distance ELSE distance * 10 END")
 
+_COSTS = {"shortest": "distance", "fastest": "duration", "smallRoads": "CASE WHEN one_lane THEN distance ELSE distance * 10 END"}
 
-@R.query()
+
+def mode_graph(t: Tables) -> DataFrame:
+    """Edges of roads and prefabs for every mode between states (map, node, direction): (mode, src, dst, cost)."""
+    own = edges(t).unionByName(roadgraph.prefab_edges(t("prefabs"), t("prefab_descriptions"), t("nodes")).select(edges(t).columns))
+    state = lambda n, d: F.concat_ws(":", "map_name", n, d)
+    costs = F.explode(F.create_map(*[x for m in _COSTS for x in (F.lit(m), roadgraph.mode_cost(m))])).alias("mode", "cost")
+    return own.select(state("node", "dir").alias("src"), state("to", "to_dir").alias("dst"), costs)
+
+
+_PREFAB_LINKS = f"""d AS (SELECT map_name, {_tok("token")} AS token, nodes, nav_curves FROM prefab_descriptions),
+      dn AS (SELECT map_name, token, generate_subscripts(nodes, 1) - 1 AS i, unnest(nodes) AS v FROM d), dc AS (SELECT map_name, token, generate_subscripts(nav_curves, 1) - 1 AS k, unnest(nav_curves) AS v FROM d),
+      dl AS (SELECT map_name, token, k, unnest(v.next_lines) AS nx FROM dc), di AS (SELECT map_name, token, i, unnest(v.input_lanes) AS k FROM dn), dd AS (SELECT map_name, token, i, unnest(v.output_lanes) AS k FROM dn),
+      dp AS (SELECT di.map_name, di.token, di.i AS s, di.k FROM di JOIN dc ON dc.map_name = di.map_name AND dc.token = di.token AND dc.k = di.k UNION SELECT dp.map_name, dp.token, dp.s, dl.nx FROM dp JOIN dl ON dl.map_name = dp.map_name AND dl.token = dp.token AND dl.k = dp.k JOIN dc ON dc.map_name = dp.map_name AND dc.token = dp.token AND dc.k = dl.nx),
+      lk AS (SELECT DISTINCT dp.map_name, dp.token, dp.s, dd.i AS e FROM dp JOIN dd ON dd.map_name = dp.map_name AND dd.token = dp.token AND dd.k = dp.k),
+      pf AS (SELECT DISTINCT map_name, {_u("uid")} AS item, {_tok("token")} AS token, node_uids, coalesce(origin_node_index, 0) AS o, dlc_guard AS guard, len(node_uids) AS n FROM prefabs WHERE NOT coalesce(is_hidden, false) AND len(node_uids) > 0),
+      pe AS (SELECT DISTINCT map_name, item, guard, {_u("a")} AS node, {_u("b")} AS "to" FROM (SELECT pf.map_name, item, guard, node_uids[1 + ((s - o) % n + n) % n] AS a, node_uids[1 + ((e - o) % n + n) % n] AS b FROM pf JOIN lk ON lk.map_name = pf.map_name AND lk.token = pf.token WHERE s < n AND e < n)),
+      np AS (SELECT map_name, {_u("uid")} AS node, arg_max(x, (arrived_at, x)) AS x, arg_max(y, (arrived_at, x)) AS y, arg_max(coalesce({_u("forward_item_uid")}, ''), (arrived_at, x)) AS f, arg_max(coalesce({_u("backward_item_uid")}, ''), (arrived_at, x)) AS b FROM nodes GROUP BY ALL),
+      pg AS (SELECT pe.map_name, pe.node, CASE WHEN a.f = item THEN 'forward' ELSE 'backward' END AS dir, pe."to", CASE WHEN z.b = item THEN 'forward' ELSE 'backward' END AS to_dir, sqrt((a.x-z.x)*(a.x-z.x) + (a.y-z.y)*(a.y-z.y)) AS distance, guard, item
+        FROM pe JOIN np a ON a.map_name = pe.map_name AND a.node = pe.node JOIN np z ON z.map_name = pe.map_name AND z.node = pe."to" WHERE pe.node <> '0' AND pe."to" <> '0' AND pe.node <> pe."to")"""
+
+_ROUTES = f"""WITH RECURSIVE {_EDGES}, {_PREFAB_LINKS},
+      y AS (SELECT src, dst, distance, duration, one_lane FROM x UNION ALL SELECT map_name || ':' || node || ':' || dir, map_name || ':' || "to" || ':' || to_dir, distance, distance / (30 * 0.44704 * CASE WHEN map_name = 'europe' THEN 0.6213712 ELSE 1 END), false FROM pg),
+      w AS ({" UNION ALL ".join(f"SELECT '{m}' AS mode, src, dst, min({cost}) AS w FROM y GROUP BY ALL" for m, cost in _COSTS.items())}),
+      q AS (SELECT DISTINCT map_name, {_u("split_part(route_key, '-', 1)")} AS a, {_u("split_part(route_key, '-', 2)")} AS b, split_part(route_key, '-', 3) AS dir, split_part(route_key, '-', 4) AS mode FROM waypoints WHERE regexp_matches(route_key, '^[0-9a-f]+-[0-9a-f]+-(forward|backward)-(shortest|fastest|smallRoads)-(usa|europe)$')),
+      st AS (SELECT DISTINCT mode, map_name || ':' || a || ':' || dir AS src FROM q),
+      p(mode, source, node, cost) USING KEY (mode, source, node) AS (SELECT mode, src, src, 0.0::DOUBLE FROM st UNION SELECT p.mode, p.source, w.dst, min(p.cost + w.w) FROM p JOIN w ON w.mode = p.mode AND w.src = p.node LEFT JOIN recurring.p r ON r.mode = p.mode AND r.source = p.source AND r.node = w.dst
+        WHERE p.cost + w.w < coalesce(r.cost, 1e300) GROUP BY ALL)
+      SELECT q.map_name, q.a AS start, q.b AS goal, q.dir, q.mode, round(min(p.cost), 2) AS cost FROM q JOIN p ON p.mode = q.mode AND p.source = q.map_name || ':' || a || ':' || dir AND p.node IN (q.map_name || ':' || b || ':forward', q.map_name || ':' || b || ':backward') GROUP BY ALL"""
+
+
+@R.query(_ROUTES)
 def path_routes(t: Tables) -> DataFrame:
-    """The shortest route, whatever the direction of lanes, between the two nodes of each waypoint's route key."""
+    """The cheapest route of every waypoint's route key by its direction and mode, over roads and prefabs as directed
+    states; the goal may be entered from either side."""
     parts = F.split("route_key", "-")
-    keys = t("waypoints").filter(is_route_key(c("route_key"))).select("map_name", uid(parts[0]).alias("a"), uid(parts[1]).alias("b")).distinct()
-    state = lambda k: F.xxhash64("map_name", k)
-    requests = keys.select(state("a").alias("src"), state("b").alias("dst"))
-    own = edges(t).select("map_name", "node", "to", "distance").unionByName(roadgraph.prefab_edges(t("prefabs"), t("prefab_descriptions"), t("nodes")).select("map_name", "node", "to", "distance"))
-    both = own.unionByName(own.select("map_name", c("to").alias("node"), c("node").alias("to"), "distance"))
-    e = both.select(state("node").alias("src"), state("to").alias("dst"), c("distance").alias("cost"))
-    found = graph.routes(e, requests)
-    return found.select("src", "dst", F.round("cost", 2).alias("cost"), F.size("path").alias("nodes"))
+    keys = t("waypoints").filter(is_route_key(c("route_key"))).select("map_name", uid(parts[0]).alias("start"), uid(parts[1]).alias("goal"), parts[2].alias("dir"), parts[3].alias("mode")).distinct()
+    e = mode_graph(t).select("mode", "src", "dst", "cost")
+    sides = F.explode(F.array(*[F.concat_ws(":", "map_name", "goal", F.lit(d)) for d in ("forward", "backward")]))
+    end = keys.select("mode", sides.alias("src"), F.concat_ws(":", "map_name", "goal", F.lit("any")).alias("dst"), F.lit(0.0).alias("cost")).distinct()
+    at = lambda k: F.xxhash64("mode", k)
+    own = keys.select("*", at(F.concat_ws(":", "map_name", "start", "dir")).alias("src"), at(F.concat_ws(":", "map_name", "goal", F.lit("any"))).alias("dst"))
+    found = graph.routes(e.unionByName(end).select(at("src").alias("src"), at("dst").alias("dst"), "cost"), own)
+    return own.join(found, ["src", "dst"]).select("map_name", "start", "goal", "dir", "mode", F.round("cost", 2).alias("cost"))
 
 
 @R.query(
@@ -199,7 +237,7 @@ def lane_connections(t: Tables) -> DataFrame:
     return roadgraph.lane_connections(t("prefab_descriptions")).select("map_name", "token", "start_node", "end_node")
 
 
-@R.query()
+@R.query(f"WITH RECURSIVE {_PREFAB_LINKS} SELECT map_name, node, dir, \"to\", to_dir, round(distance, 2) AS distance, guard, item FROM pg")
 def prefab_edges(t: Tables) -> DataFrame:
     """Edges of prefabs along their lanes."""
     e = roadgraph.prefab_edges(t("prefabs"), t("prefab_descriptions"), t("nodes"))

@@ -77,11 +77,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.shape_changes(table(spark, d, "def_files"))
 
 
+#: Fields that moved to another place or are split out of one, which no renaming tells, approved for promotion.
+MOVED = {"icon_mat": {"texture_source": ("material/ui/texture", "material/ui/tex")}, "localization": {"entry_key": ("keys",)}}
+
+
 def _consistent(kind: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return drift.promote(drift.ingest(table(spark, d, "def_files"), kind), kind)
+        files = table(spark, d, "def_files")
+        found = drift.approvals(drift.shape_changes(files.filter(F.col("file_kind") == kind)), kind)
+        for column, names in MOVED.get(kind, {}).items():
+            found[column] += tuple(n for n in names if n not in found[column])
+        return drift.promote(drift.ingest(files, kind), kind, found)
 
-    query.__doc__ = f"The consistent table of {kind} files, rescued values of approved fields replayed."
+    query.__doc__ = f"The consistent table of {kind} files, rescued values of renamed and approved fields replayed."
     return query
 
 
