@@ -53,23 +53,21 @@ def p2_snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each nested object with the path of its parent row."""
-    return shred.flat_tables(table(spark, d, "nested_records")).select("record_id", "parent_path", "child_path").distinct()
+    """One row for each nested object of the declared collections with the path of its parent row."""
+    rows = shred.flat_tables(table(spark, d, "nested_records")).filter(F.col("table_name").isin(*shred.DECLARED))
+    return rows.select("record_id", "parent_path", "child_path").distinct()
 
 
 def p3_connections(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of ferry connections with typed leaves and the link to the ferry's row."""
-    rows = shred.flat_tables(table(spark, d, "nested_records")).filter("table_name = '$.ferryData.connections'")
-    leaf = F.from_json("leaves", "token string, price string, time bigint, distance bigint")
-    return rows.select("record_id", "parent_path", "child_path", leaf.alias("v")).select(
-        "record_id", "parent_path", "child_path", F.col("v.token").alias("token"), F.col("v.price").try_cast("double").alias("price"), "v.time", "v.distance"
-    ).distinct()
+    columns = {"token": ("token", "string"), "price": ("price", "double"), "time": ("time", "bigint"), "distance": ("distance", "bigint")}
+    return shred.typed_table(table(spark, d, "nested_records"), "$.ferryData.connections", columns).distinct()
 
 
 def p3_table_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and records of each flat table."""
-    rows = shred.flat_tables(table(spark, d, "nested_records")).select("record_id", "table_name", "child_path").distinct()
-    return rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("record_id").alias("n_records"))
+    """Rows and records of each flat table, inferred ones and those of unknown kinds included."""
+    rows = shred.flat_tables(table(spark, d, "nested_records")).select("record_id", "record_kind", "table_name", "child_path").distinct()
+    return rows.groupBy("record_kind", "table_name").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("record_id").alias("n_records"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
