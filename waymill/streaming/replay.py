@@ -35,10 +35,14 @@ def in_time_slices(df: DataFrame, ts: str, slices: int, scratch: Scratch, name:
     return path
 
 
-def run(stream: DataFrame, scratch: Scratch, name: str = "out", mode: str = "append") -> DataFrame:
-    """Run a stream over what is there, exactly once, and read its output back."""
+def run(stream: DataFrame, scratch: Scratch, name: str = "out", mode: str = "append", once: bool = False) -> DataFrame:
+    """Run a stream over what is there, exactly once, and read its output back.
+
+    once: in one micro-batch, for operators on processing time, which else would wait for their clock for ever.
+    """
     path = f"{scratch.root}/{name}"
-    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{scratch.root}/{name}-log").trigger(availableNow=True).start(path)
+    trigger = {"once": True} if once else {"availableNow": True}
+    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{scratch.root}/{name}-log").trigger(**trigger).start(path)
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
@@ -49,12 +53,23 @@ def run_batches(stream: DataFrame, scratch: Scratch, write: Callable[[DataFrame,
     query.awaitTermination()
 
 
+def close_time(events: DataFrame, path: str) -> None:
+    """Add a row without key or value ten years after the last event to what a source delivers: it drives the watermark
+    over the end."""
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 3650 DAYS")).alias("ts"))
+    closing = end.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
+    closing.coalesce(1).write.mode("append").parquet(path)
+
+
 def keyed_replay(spark: SparkSession, events: DataFrame, processor: keyed.Keyed, slices: int = 4) -> DataFrame:
-    """Replay events (columns of keyed.EVENTS) as a stream through a keyed operator."""
-    keyed.stateful(spark)
+    """Replay events (columns of keyed.EVENTS) as a stream through a keyed operator; timers fire up to the end of time."""
     scratch = Scratch(spark, "stream")
     path = in_time_slices(events, "ts", slices, scratch)
-    return run(keyed.apply(files(spark, path, events.schema), processor), scratch)
+    if processor.time_mode == "EventTime":
+        close_time(events, path)
+    with keyed.stateful(spark):
+        out = run(keyed.apply(files(spark, path, events.schema), processor), scratch, once=processor.time_mode == "ProcessingTime")
+    return out.filter("key IS NOT NULL") if processor.time_mode == "EventTime" else out
 
 
 def latest_values(spark: SparkSession, events: DataFrame, slices: int = 4) -> DataFrame:
@@ -77,9 +92,7 @@ def windowed_counts(spark: SparkSession, events: DataFrame, window: str, late: s
     """
     scratch = Scratch(spark, "windows")
     path = in_time_slices(events, "ts", slices, scratch)
-    end = events.agg((F.max("ts") + F.expr("INTERVAL 3650 DAYS")).alias("ts"))
-    closing = end.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
-    closing.coalesce(1).write.mode("append").parquet(path)
+    close_time(events, path)
     stream = files(spark, path, events.schema)
     counts = stream.withWatermark("ts", late).groupBy(F.window("ts", window), "value").agg(F.count(F.lit(1)).alias("n"))
     out = run(counts.select(F.col("window.start").alias("start"), "value", "n"), scratch)
