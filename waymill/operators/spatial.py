@@ -1,7 +1,9 @@
-"""Spatial joins on grids: nearest neighbours, boxes, sectors, lines and density clusters.
+"""Spatial joins: nearest neighbours, boxes, sectors, lines and density clusters.
 
 All joins are equi-joins on grid cells with an exact test behind them; none is a cross join and no index is handed to
-the tasks. Rows without a finite position take no part. Ties go to the smaller id.
+the tasks beyond tables counted as small. Nearest neighbours go down a tree of cells that are cut where the points are
+dense, so a crowded spot costs more levels, not more pairs. Boxes stand in cells of their own size. Rows without a
+finite position take no part. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Window as W
 from waymill.functions.geometry import distance, segment_distance, segment_position
 from waymill.operators.graph import least_labels
 from waymill.operators.proximity import placed
-from waymill.session import Scratch
+from waymill.session import BROADCAST_ROWS, Scratch
 
 
 def cell(c: Column | str, size: float) -> Column:
@@ -37,77 +39,145 @@ def _nearest(candidates: DataFrame, k: int, q_cols: list[str]) -> DataFrame:
     return candidates.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+#: Points of a leaf of the tree, levels a round goes down, and the deepest level (for points in one spot).
+LEAF, STEP, DEEPEST = 32, 2, 40
+
+
+def _counted(df: DataFrame, rows: int) -> DataFrame:
+    """A side for a join, broadcast if its counted rows allow it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+class _Tree:
+    """Cells over points (by, p_id, px, py): a cell with more than `leaf` points is cut into 4 ** STEP.
+
+    levels: tables (by, parent, cell, n, x0, y0, x1, y1, done) with their numbers of rows; a cell that is done is a leaf.
+    points: (by, cell, p_id, px, py) by leaf.
+    """
+
+    def __init__(self, points: DataFrame, box: tuple[float, float, float], leaf: int, by: tuple[str, ...], scratch: Scratch):
+        x0, y0, extent = box
+        at = lambda level: F.concat_ws(":", F.lit(level), cell(F.col("px") - x0, extent / 2**level), cell(F.col("py") - y0, extent / 2**level))
+        self.levels: list[tuple[DataFrame, int]] = []
+        self.points, rest, level = None, points, 0
+        while True:
+            level += STEP
+            own = rest.withColumns({"cell": at(level), "parent": at(level - STEP) if level > STEP else F.lit("0")})
+            sides = [F.min("px").alias("x0"), F.min("py").alias("y0"), F.max("px").alias("x1"), F.max("py").alias("y1")]
+            cells = own.groupBy(*by, "parent", "cell").agg(F.count(F.lit(1)).alias("n"), *sides)
+            done = (F.col("n") <= leaf) | ((F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1"))) | F.lit(level >= DEEPEST)
+            cells = scratch.write(cells.withColumn("done", done), f"cells-{level}")
+            n, n_open = cells.agg(F.count(F.lit(1)), F.count_if(~F.col("done"))).first()
+            self.levels.append((cells, n))
+            marked = own.join(_counted(cells.select(*by, "cell", "done"), n), [*by, "cell"])
+            marked = scratch.write(marked.select(*by, "cell", "p_id", "px", "py", "done"), f"points-{level}")
+            leaves = marked.filter("done").drop("done")
+            self.points = leaves if self.points is None else self.points.unionByName(leaves)
+            if not n_open:
+                return
+            rest = marked.filter("NOT done").select(*by, "p_id", "px", "py")
+
+
 def knn_join(queries: DataFrame, points: DataFrame, k: int = 1, radius: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(q_id, p_id, d, rank): the k nearest points of each query, within a radius if one is given.
 
-    queries: id, x, y and the `by` columns; points likewise; only rows equal in the `by` columns meet. Without a
-    radius the grid grows: a query looks at the 3 x 3 cells around it and is settled once its k-th neighbour is nearer
-    than the edge of what it has seen; the rest go on with cells twice as wide. The number of rounds is the logarithm
-    of the extent over the first cell, and the first cell follows from the points' density.
+    queries: id, x, y and the `by` columns; points likewise; only rows equal in the `by` columns meet (null equals
+    nothing). Queries go down a tree of cells: a round replaces the cells a query still looks at by those below them and
+    drops those whose box is farther away than a box that surely holds k points, or the radius. Only the points of the
+    leaves that are left are measured. Rounds are as many as the deepest spot needs; of points in one position only the
+    k with the smallest ids take part.
     """
     scratch = Scratch(queries.sparkSession, "knn")
-    p = placed(points).select(*by, F.col("id").alias("p_id"), F.col("x").alias("px"), F.col("y").alias("py"))
-    q = placed(queries).select(*by, F.col("id").alias("q_id"), F.col("x").alias("qx"), F.col("y").alias("qy"))
-    d = distance(F.col("qx"), F.col("qy"), F.col("px"), F.col("py"))
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-
-    def look(left: DataFrame, size: float, limit: float) -> DataFrame:
-        near = left.withColumn("o", F.explode(around)).withColumns({"cx": cell("qx", size) + F.col("o.a"), "cy": cell("qy", size) + F.col("o.b")}).drop("o")
-        own = p.withColumns({"cx": cell("px", size), "cy": cell("py", size)})
-        met = near.join(own, [*by, "cx", "cy"]).withColumn("d", d)
-        return met.filter(F.col("d") <= limit).select(*by, "q_id", "qx", "qy", "p_id", "d")
-
-    if radius is not None:
-        return _nearest(look(q, max(radius, 1e-9), radius), k, ["q_id"]).select("q_id", "p_id", "d", "rank")
-    worlds = F.approx_count_distinct(F.struct(*by)) if by else F.lit(1).cast("bigint")
-    lim = p.agg(F.min("px"), F.min("py"), F.max("px"), F.max("py"), F.count(F.lit(1)), worlds if by else F.max(worlds)).first()
-    if not lim[4]:
+    p = placed(points).select(*by, F.col("id").alias("p_id"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).filter("p_id IS NOT NULL")
+    q = placed(queries).select(*by, F.col("id").alias("q_id"), F.col("x").cast("double").alias("qx"), F.col("y").cast("double").alias("qy")).distinct()
+    if k == 1:
+        p = p.groupBy(*by, "px", "py").agg(F.min("p_id").alias("p_id"))
+    else:  # the least ids of a position, by hashed parts first
+        part = F.pmod(F.xxhash64("p_id"), F.lit(64))
+        for w in (W.partitionBy(*by, "px", "py", part), W.partitionBy(*by, "px", "py")):
+            p = p.distinct().withColumn("nth", F.row_number().over(w.orderBy("p_id"))).filter(F.col("nth") <= k).drop("nth")
+    p = scratch.write(p.select(*by, "p_id", "px", "py"), "distinct")
+    lim = p.agg(F.min("px"), F.min("py"), F.max("px"), F.max("py")).first()
+    if lim[0] is None:
         return q.select("q_id", F.lit(None).cast(p.schema["p_id"].dataType).alias("p_id"), F.lit(0.0).alias("d"), F.lit(0).alias("rank")).limit(0)
-    ql = q.agg(F.min("qx"), F.min("qy"), F.max("qx"), F.max("qy")).first()
-    wide = [max(lim[i + 2], ql[i + 2] or lim[i + 2]) - min(lim[i], ql[i] if ql[i] is not None else lim[i]) for i in (0, 1)]
-    extent = max(*wide, 1e-9)
-    size = max(math.sqrt(extent * extent * max(k, 1) * 2 * max(lim[5], 1) / lim[4]), extent / 2**30)
-    left, done, n = scratch.write(q, "left-0"), None, 0
-    while True:
-        found = _nearest(look(left, size, math.inf), k, [*by, "q_id", "qx", "qy"])
-        last = size > extent  # then the 3 x 3 cells hold everything
-        edge = F.least(F.col("qx") - (cell("qx", size) - 1) * size, (cell("qx", size) + 2) * size - F.col("qx"), F.col("qy") - (cell("qy", size) - 1) * size, (cell("qy", size) + 2) * size - F.col("qy"))
-        full = F.count(F.lit(1)).over(W.partitionBy(*by, "q_id")) == k
-        worst = F.max("d").over(W.partitionBy(*by, "q_id"))
-        found = found.filter(F.lit(last)) if last else found.withColumn("ok", full & (worst < edge)).filter("ok").drop("ok")
-        settled = scratch.write(found.select(*by, "q_id", "p_id", "d", "rank"), f"settled-{n}")
-        done = settled if done is None else done.unionByName(settled)
-        if last:
-            return done.select("q_id", "p_id", "d", "rank")
-        left = scratch.write(left.join(settled.select(*by, "q_id").distinct(), [*by, "q_id"], "left_anti"), f"left-{n + 1}")
-        if left.isEmpty():
-            return done.select("q_id", "p_id", "d", "rank")
-        size, n = size * 2, n + 1
+    extent = max(lim[2] - lim[0], lim[3] - lim[1], 1e-9) * (1 + 1e-9)
+    tree = _Tree(p, (lim[0], lim[1], extent), max(LEAF, 2 * k), by, scratch)
+    gap = lambda c, f: F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(f"q{c}"), F.col(f"q{c}") - F.col(f"{c}1")) if f else F.greatest(F.abs(F.col(f"q{c}") - F.col(f"{c}0")), F.abs(F.col(f"q{c}") - F.col(f"{c}1")))
+    length = lambda f: F.sqrt(gap("x", f) * gap("x", f) + gap("y", f) * gap("y", f))
+    far = float(radius) if radius is not None else math.inf
+    look = q.withColumns({"parent": F.lit("0"), "most": F.lit(far)})
+    ready = None
+    mine = W.partitionBy(*by, "q_id", "qx", "qy")
+    for i, (cells, n) in enumerate(tree.levels):
+        met = look.join(_counted(cells, n), [*by, "parent"]).withColumns({"least": length(True), "worst": length(False) * (1 + 1e-12)})
+        met = met.filter(F.col("least") <= F.col("most"))
+        most = F.least("most", F.coalesce(F.min(F.when(F.col("n") >= k, F.col("worst"))).over(mine), F.lit(math.inf)))
+        met = met.withColumn("most", most).filter(F.col("least") <= F.col("most")).select(*by, "q_id", "qx", "qy", "cell", "most", "done")
+        met = scratch.write(met, f"looks-{i}")
+        leaves = met.filter("done").drop("done")
+        ready = leaves if ready is None else ready.unionByName(leaves)
+        look = met.filter("NOT done").drop("done").withColumnRenamed("cell", "parent")
+    d = distance(F.col("qx"), F.col("qy"), F.col("px"), F.col("py"))
+    met = ready.join(tree.points, [*by, "cell"]).withColumn("d", d).filter((F.col("d") <= F.col("most")) & (F.col("d") <= far))
+    return _nearest(met.select("q_id", "p_id", "d"), k, ["q_id"]).select("q_id", "p_id", "d", "rank")
+
+
+def _level(x0: Column, y0: Column, x1: Column, y1: Column, base: float) -> Column:
+    """Level of a box: its longer side is at most base * 2 ** level."""
+    side = F.greatest(x1 - x0, y1 - y0) / base
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(1e-300))))).cast("int")
+
+
+def _cells_of_level(x0: Column, y0: Column, x1: Column, y1: Column, level: Column, base: float) -> Column:
+    """The cells (cx, cy) of a level that a box of at most that level covers: at most four."""
+    size = F.pow(F.lit(2.0), level) * base
+    at = lambda c: F.floor(c / size).cast("bigint")
+    xs, ys = F.sequence(at(x0), at(x1)), F.sequence(at(y0), at(y1))
+    return F.flatten(F.transform(xs, lambda i: F.transform(ys, lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
+
+
+def _boxed(boxes: DataFrame, size: float) -> tuple[DataFrame, list[int]]:
+    """Boxes with finite, ordered sides and their level, and the levels there are (a handful, each twice the last)."""
+    sides = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    ok = boxes.filter("x0 <= x1 AND y0 <= y1").filter(F.greatest(*[F.abs(c) for c in sides]) < float("inf"))
+    ok = ok.withColumn("level", _level(*sides, size))
+    return ok, [r[0] for r in ok.select("level").distinct().collect()]
 
 
 def box_join(points: DataFrame, boxes: DataFrame, size: float, by: tuple[str, ...] = ()) -> DataFrame:
     """points (id, x, y, by) with every box (b_id, x0, y0, x1, y1, by) that holds them, edges included.
 
-    A box is copied to the cells of the given size it covers; a point stands in one cell, so no pair comes out twice.
+    A box stands in the cells, four at most, of a level of its own size (size, doubled again and again); a point looks at
+    one cell of each level there is, so no pair comes out twice and a large box costs no more than a small one.
     """
-    p = placed(points).withColumns({"cx": cell("x", size), "cy": cell("y", size)})
-    b = boxes.withColumn("c", F.explode(covered_cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)))
-    b = b.select("*", "c.cx", "c.cy").drop("c")
-    met = p.join(b, [*by, "cx", "cy"]).drop("cx", "cy")
+    b, levels = _boxed(boxes, size)
+    sides = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    b = b.withColumn("c", F.explode(_cells_of_level(*sides, F.col("level"), size))).select("*", "c.cx", "c.cy").drop("c")
+    scale = F.pow(F.lit(2.0), F.col("level")) * size
+    p = placed(points).withColumn("level", F.explode(F.array(*[F.lit(i) for i in levels]).cast("array<int>")))
+    p = p.withColumns({c: F.floor(F.col(a) / scale).cast("bigint") for c, a in (("cx", "x"), ("cy", "y"))})
+    met = p.join(b, [*by, "level", "cx", "cy"]).drop("cx", "cy", "level")
     return met.filter((F.col("x0") <= F.col("x")) & (F.col("x") <= F.col("x1")) & (F.col("y0") <= F.col("y")) & (F.col("y") <= F.col("y1")))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, size: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """(l_id, r_id) of boxes (id, x0, y0, x1, y1, by) that overlap or touch; a pair meets in the first cell both cover."""
+    """(l_id, r_id) of boxes (id, x0, y0, x1, y1, by) that overlap or touch.
+
+    Boxes of two levels meet in cells of the larger one, of which each covers four at most; a pair counts in the first
+    cell that both cover.
+    """
+    (l, l_levels), (r, r_levels) = _boxed(left, size), _boxed(right, size)
 
-    def copied(df: DataFrame, mark: str) -> DataFrame:
-        own = df.select(*by, *[F.col(c).alias(f"{mark}_{c}") for c in ("id", "x0", "y0", "x1", "y1")])
-        cells = covered_cells(*[F.col(f"{mark}_{c}") for c in ("x0", "y0", "x1", "y1")], size)
+    def copied(df: DataFrame, mark: str, other: list[int], mine: str, theirs: str) -> DataFrame:
+        own = df.select(*by, *[F.col(c).alias(f"{mark}_{c}") for c in ("id", "x0", "y0", "x1", "y1")], F.col("level").alias(mine))
+        own = own.withColumn(theirs, F.explode(F.array(*[F.lit(i) for i in other]).cast("array<int>")))
+        cells = _cells_of_level(*[F.col(f"{mark}_{c}") for c in ("x0", "y0", "x1", "y1")], F.greatest(mine, theirs), size)
         return own.withColumn("c", F.explode(cells)).select("*", "c.cx", "c.cy").drop("c")
 
-    met = copied(left, "l").join(copied(right, "r"), [*by, "cx", "cy"])
+    met = copied(l, "l", r_levels, "ll", "rl").join(copied(r, "r", l_levels, "rl", "ll"), [*by, "ll", "rl", "cx", "cy"])
     x, y = (F.greatest(F.col(f"l_{c}0"), F.col(f"r_{c}0")) for c in "xy")
-    met = met.filter((x <= F.least("l_x1", "r_x1")) & (y <= F.least("l_y1", "r_y1")) & (cell(x, size) == F.col("cx")) & (cell(y, size) == F.col("cy")))
+    scale = F.pow(F.lit(2.0), F.greatest("ll", "rl")) * size
+    met = met.filter((x <= F.least("l_x1", "r_x1")) & (y <= F.least("l_y1", "r_y1")) & (F.floor(x / scale) == F.col("cx")) & (F.floor(y / scale) == F.col("cy")))
     return met.select("l_id", "r_id")
 
 
@@ -149,30 +219,50 @@ def near_lines(points: DataFrame, line: DataFrame, radius: float, by: tuple[str,
     return best.select(*by, "line", "id", "m.d", "m.location")
 
 
+#: Pairs of core points of two neighbouring cells that are compared one by one; beyond, each looks for its nearest.
+MOST_PAIRS = 10_000
+
+
 def dbscan(points: DataFrame, eps: float, min_points: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, id, cluster, core): density clusters; cluster is the least core id of the cluster, null for noise.
 
     ids are BIGINTs. A point counts itself; a border point goes to the reachable cluster with the least id. Points of
-    one cell of eps / sqrt(2) are all neighbours, so a cell of min_points or more makes them core without pairing.
+    one cell of eps / sqrt(2) are all neighbours: a cell of min_points or more makes them core without pairing, the core
+    points of a cell are one, and two cells are linked by one close pair, so dense spots cost no pairs within them.
     """
     scratch = Scratch(points.sparkSession, "dbscan")
     keys = list(by)
     p = scratch.write(placed(points).select(*keys, "id", "x", "y").dropDuplicates([*keys, "id"]), "points")
-    small = eps / math.sqrt(2.0)
+    small = eps / math.sqrt(2.0) * (1 - 1e-12)
     g = p.withColumns({"sx": cell("x", small), "sy": cell("y", small)})
-    full = g.groupBy(*keys, "sx", "sy").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    dense = full.filter(F.col("n") >= min_points)
-    sure = scratch.write(g.join(dense.select(*keys, "sx", "sy", "first"), [*keys, "sx", "sy"], "left"), "marked")
-    pairs = _pairs(sure.filter("first IS NULL"), p, eps, keys)
+    full = g.groupBy(*keys, "sx", "sy").agg(F.count(F.lit(1)).alias("n"))
+    dense = full.filter(F.col("n") >= min_points).withColumn("sure", F.lit(True))
+    marked = scratch.write(g.join(dense.select(*keys, "sx", "sy", "sure"), [*keys, "sx", "sy"], "left"), "marked")
+    pairs = _pairs(marked.filter("sure IS NULL"), p, eps, keys)
     counted = pairs.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_points).select(*keys, "id")
-    core = scratch.write(sure.filter("first IS NOT NULL").select(*keys, "id", "x", "y", "first").unionByName(sure.filter("first IS NULL").join(counted, [*keys, "id"]).select(*keys, "id", "x", "y", F.col("id").alias("first"))), "core")
+    core = marked.filter("sure").drop("sure").unionByName(marked.filter("sure IS NULL").drop("sure").join(counted, [*keys, "id"], "left_semi"))
+    core = scratch.write(core.select(*keys, "sx", "sy", "id", "x", "y"), "core")
+    cells = scratch.write(core.groupBy(*keys, "sx", "sy").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")), "cells")
+    # cells whose core points may be close: half of the 5 x 5 cells around, without its corners
+    o = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(3) if (b > 0 or a > 0) and abs(a) + b < 4])
+    two = cells.withColumn("o", F.explode(o)).select(*keys, "sx", "sy", F.col("n").alias("n1"), F.col("first").alias("a"), (F.col("sx") + F.col("o.a")).alias("tx"), (F.col("sy") + F.col("o.b")).alias("ty"))
+    two = two.join(cells.select(*keys, F.col("sx").alias("tx"), F.col("sy").alias("ty"), F.col("n").alias("n2"), F.col("first").alias("b")), [*keys, "tx", "ty"])
+    two = scratch.write(two, "neighbours")
+    here = core.select(*keys, "sx", "sy", "id", "x", "y")
+    there = core.select(*keys, F.col("sx").alias("tx"), F.col("sy").alias("ty"), F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    few, many = two.filter(F.col("n1") * F.col("n2") <= MOST_PAIRS), two.filter(F.col("n1") * F.col("n2") > MOST_PAIRS)
+    close = few.join(here, [*keys, "sx", "sy"]).join(there, [*keys, "tx", "ty"]).filter(distance(F.col("x"), F.col("y"), F.col("ox"), F.col("oy")) <= eps)
+    linked = close.select(*keys, "a", "b").distinct()
+    if not many.isEmpty():
+        pair = F.xxhash64("a", "b", *keys)
+        left = many.join(here, [*keys, "sx", "sy"]).select(pair.alias("pair"), F.struct(*keys, "a", "b", F.col("id").alias("own")).alias("id"), "x", "y")
+        right = many.join(there, [*keys, "tx", "ty"]).select(pair.alias("pair"), F.col("other").alias("id"), F.col("ox").alias("x"), F.col("oy").alias("y"))
+        near = knn_join(left, right, 1, eps, ("pair",)).select(*[F.col(f"q_id.{c}").alias(c) for c in (*keys, "a", "b")])
+        linked = linked.unionByName(near.distinct())
     w = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys], F.lit(""))
-    near = _pairs(core.select(*keys, "id", "x", "y", "first"), core.select(*keys, "id", "x", "y"), eps, keys)
-    inner = core.filter("first <> id").select(w.alias("w"), F.col("id").alias("a"), F.col("first").alias("b"))
-    edges = near.filter("id <> other").select(w.alias("w"), F.col("id").alias("a"), F.col("other").alias("b")).unionByName(inner).distinct()
-    labels = least_labels(edges, scratch)
-    core = core.withColumn("w", w).join(labels.withColumnRenamed("a", "id"), ["w", "id"], "left").select(*keys, "id", "x", "y", F.coalesce("root", "id").alias("cluster"))
-    core = scratch.write(core, "labelled")
+    labels = least_labels(linked.select(w.alias("w"), "a", "b"), scratch)
+    named = cells.withColumn("w", w).join(labels.withColumnRenamed("a", "first"), ["w", "first"], "left").select(*keys, "sx", "sy", F.coalesce("root", "first").alias("cluster"))
+    core = scratch.write(core.join(named, [*keys, "sx", "sy"]).select(*keys, "id", "x", "y", "cluster"), "labelled")
     rest = p.join(core.select(*keys, "id"), [*keys, "id"], "left_anti")
     border = _pairs(rest, core, eps, keys).select(*keys, "id", F.col("other")).join(core.select(*keys, F.col("id").alias("other"), "cluster"), [*keys, "other"])
     border = border.groupBy(*keys, "id").agg(F.min("cluster").alias("cluster"))

@@ -113,16 +113,14 @@ def mbr_largest(t: Tables) -> DataFrame:
 
 @R.query(
     f"""WITH {_ENDS} SELECT a.map_name, a.road AS l_id, b.road AS r_id FROM (SELECT map_name, road, least(x0,x1) - 1 AS x0, least(y0,y1) - 1 AS y0, greatest(x0,x1) + 1 AS x9, greatest(y0,y1) + 1 AS y9 FROM ends) a
-      JOIN (SELECT map_name, road, least(x0,x1) AS x0, least(y0,y1) AS y0, greatest(x0,x1) AS x9, greatest(y0,y1) AS y9 FROM ends) b ON a.map_name = b.map_name AND a.road < b.road AND a.x0 <= b.x9 AND b.x0 <= a.x9 AND a.y0 <= b.y9 AND b.y0 <= a.y9
-      WHERE (a.x9 - a.x0) < 500 AND (a.y9 - a.y0) < 500 AND (b.x9 - b.x0) < 500 AND (b.y9 - b.y0) < 500"""
+      JOIN (SELECT map_name, road, least(x0,x1) AS x0, least(y0,y1) AS y0, greatest(x0,x1) AS x9, greatest(y0,y1) AS y9 FROM ends) b ON a.map_name = b.map_name AND a.road < b.road AND a.x0 <= b.x9 AND b.x0 <= a.x9 AND a.y0 <= b.y9 AND b.y0 <= a.y9"""
 )
 def box_overlaps(t: Tables) -> DataFrame:
-    """Pairs of short roads whose boxes come within one unit."""
+    """Pairs of roads whose boxes come within one unit."""
     e = road_ends(t)
     box = {"x0": F.least("x0", "x1"), "y0": F.least("y0", "y1"), "x1": F.greatest("x0", "x1"), "y1": F.greatest("y0", "y1")}
     b = e.select("map_name", c("road").alias("id"), *[v.alias(k) for k, v in box.items()])
     a = b.withColumns({"x0": c("x0") - 1, "y0": c("y0") - 1, "x1": c("x1") + 1, "y1": c("y1") + 1})
-    a, b = (d.filter("x1 - x0 < 500 AND y1 - y0 < 500") for d in (a, b))
     keyed = lambda d: d.withColumn("id", F.concat_ws(":", "map_name", "id"))
     met = spatial.overlap_join(keyed(a), keyed(b), 64.0, ("map_name",)).filter("l_id < r_id")
     return met.select(F.split_part("l_id", F.lit(":"), F.lit(1)).alias("map_name"), F.split_part("l_id", F.lit(":"), F.lit(2)).alias("l_id"), F.split_part("r_id", F.lit(":"), F.lit(2)).alias("r_id"))
