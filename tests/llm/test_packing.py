@@ -64,6 +64,35 @@ def test_windows_keep_the_mixture(spark, small):
             assert abs(s["b"] - 0.2 * 640) <= 8
 
 
+def test_containers_keep_the_mixture(spark, small):
+    """By container as filled, not only as served: what a window carries on is little and comes at once after it."""
+    r = random.Random(5)
+    sizes = [(s, r.randint(1, 40)) for s, n in (("a", 3000), ("b", 1200), ("c", 500), (None, 300)) for _ in range(n)]
+    packed = packing.pack(rows(spark, sizes), capacity=64, window=40)
+    got = packed.collect()
+    filled = check(spark, sizes, 64, got)
+    assert len(filled) <= 1.01 * sum(n for _, n in sizes) / 64 + 1
+    assert all(0 <= x.container_window - x.window_id <= 1 for x in got)
+    mix = sorted(packing.mixture(packed).collect(), key=lambda x: x.container_window)
+    assert len(mix) > 30
+    assert max(x.deviation for x in mix[:-1]) <= 0.05
+    assert all(x.dry == 0 for x in mix[:-1])
+
+
+def test_sources_without_a_share_come_last(spark, small):
+    sizes = [("a", 4)] * 300 + [("b", 4)] * 100 + [("x", 4)] * 60 + [("y", 4)] * 20
+    shares = {"a": 3.0, "b": 1.0, "absent": 0.0}
+    packed = packing.pack(rows(spark, sizes), shares=shares, capacity=64, window=5)
+    got = packed.collect()
+    check(spark, sizes, 64, got)
+    last = max(r.window_id for r in got if r.source in "ab")
+    assert {r.window_id > last for r in got if r.source in "xy"} == {True}
+    assert len({r.window_id for r in got if r.source == "x"}) == 1
+    mix = {r.container_window: r for r in packing.mixture(packed, shares).collect()}
+    assert mix[0].deviation <= 0.02
+    assert mix[last + 1].dry == 2
+
+
 def test_given_shares(spark, small):
     sizes = [("a", 4)] * 400 + [("b", 4)] * 400
     got = packing.pack(rows(spark, sizes), shares={"a": 3.0, "b": 1.0}, capacity=64, window=10).collect()

@@ -36,6 +36,12 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p6_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How far the containers filled by each window are from the sources' shares of all tokens."""
+    out = packing.mixture(packing.pack(table(spark, d, "documents")))
+    return out.select("container_window", "containers", "tokens", F.round("deviation", 4).alias("deviation"), "dry")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a passage of an evaluation item."""
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id")
@@ -68,7 +74,7 @@ def _uid(c: str) -> str:
     return _U.format(t=_T.format(c=c))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_group_sizes, p6_containers, p6_fill, p7_found, p7_similar, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_group_sizes, p6_containers, p6_fill, p6_mixture, p7_found, p7_similar, p8_found, p8_shares)}
 
 _GROUPS = f"""
 WITH RECURSIVE m AS (SELECT DISTINCT map_name, {_uid("feature_a")} AS a, {_uid("feature_b")} AS b FROM road_matches WHERE {_uid("feature_a")} IS NOT NULL AND {_uid("feature_b")} IS NOT NULL),
