@@ -62,13 +62,15 @@ def least_labels(edges: DataFrame, scratch: Scratch, k: int = 0) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of a graph with BIGINT nodes; the component is its least node."""
+    """(w, node, component) of a graph with BIGINT nodes, by world if the edges (w, src, dst) have one, else with an empty
+    w; the component is its least node."""
     scratch = Scratch(edges.sparkSession, "components")
-    pairs = edges.filter("src IS NOT NULL AND dst IS NOT NULL").select(F.lit("").alias("w"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    w = F.col("w") if "w" in edges.columns else F.lit("")
+    pairs = edges.filter("src IS NOT NULL AND dst IS NOT NULL").select(w.alias("w"), F.col("src").alias("a"), F.col("dst").alias("b"))
     pairs = scratch.write(pairs.distinct(), "pairs")
     labels = least_labels(pairs, scratch)
     every = both_ways(pairs).select("w", "a").distinct()
-    return every.join(labels, ["w", "a"], "left").select(F.col("a").alias("node"), F.coalesce("root", "a").alias("component"))
+    return every.join(labels, ["w", "a"], "left").select("w", F.col("a").alias("node"), F.coalesce("root", "a").alias("component"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -185,6 +187,8 @@ def short_cycles(edges: DataFrame, longest: int) -> DataFrame:
     found = None
     for length in range(2, longest + 1):
         path = scratch.write(path, f"paths-{length}")
+        if found is not None and path.isEmpty():
+            break
         done = path.join(closing, ["last", "first"]).select("nodes", F.lit(length).alias("length"))
         found = done if found is None else found.unionByName(done)
         grown = path.join(e, path["last"] == e["src"]).filter((F.col("dst") > F.col("first")) & ~F.array_contains("nodes", F.col("dst")))

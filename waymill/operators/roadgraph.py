@@ -129,6 +129,11 @@ def mode_cost(mode: str) -> Column:
     return F.col("distance")
 
 
+#: Fixed values of the roundness of a line: radius up to which it is full and by how much it decays beyond, and the
+#: spread of the aspect around a square.
+FULL_RADIUS, RADIUS_DECAY, ASPECT_SPREAD = 70, 10, 0.02
+
+
 def ring_scores(vertices: DataFrame, by: list[str]) -> DataFrame:
     """Roundness of lines (by, ord, x, y): mean radius, circularity, aspect, turning share and direction, and the product.
 
@@ -146,8 +151,8 @@ def ring_scores(vertices: DataFrame, by: list[str]) -> DataFrame:
         ((F.max("x") - F.min("x")) / F.nullif(F.max("y") - F.min("y"), F.lit(0.0))).alias("aspect"),
     )
     s = s.withColumns({"circularity": F.col("sd") / F.nullif(F.col("mean_radius"), F.lit(0.0)), "turning": F.when(F.col("pos") + F.col("neg") == 0, 0.0).otherwise(F.greatest("pos", "neg") / (F.col("pos") + F.col("neg"))), "direction": F.signum(F.col("pos") - F.col("neg")).cast("int")})
-    radius = F.when(F.col("mean_radius") <= 70, 1.0).otherwise(F.exp(-(F.col("mean_radius") - 70) / 10))
-    shape = F.exp(-F.pow(F.log("aspect"), F.lit(2)) / 0.02)
+    radius = F.when(F.col("mean_radius") <= FULL_RADIUS, 1.0).otherwise(F.exp(-(F.col("mean_radius") - FULL_RADIUS) / RADIUS_DECAY))
+    shape = F.exp(-F.pow(F.log("aspect"), F.lit(2)) / ASPECT_SPREAD)
     score = F.when(F.col("direction") != -1, 0.0).otherwise(radius * shape * F.col("turning") * (1 - F.col("circularity")))
     return s.select(*by, "mean_radius", "circularity", "aspect", "turning", "direction", score.alias("score"))
 

@@ -50,7 +50,7 @@ def located(poses: DataFrame, line: DataFrame, radius: float, by: tuple[str, ...
     met = near.join(seg, [*by, "line"]).filter((F.col("location") >= F.col("before")) & (F.col("location") <= F.col("before") + F.col("len")))
     met = met.join(poses.select(*by, "id", "heading"), [*by, "id"])
     score = F.abs(g.heading_score(F.col("heading"), F.col("way"), F.col("d")))
-    best = met.groupBy(*by, "id").agg(F.min(F.struct((-score).alias("s"), "line")).alias("m"))
+    best = met.groupBy(*by, "id").agg(F.min(F.struct(F.round(-score, 9).alias("s"), "line")).alias("m"))
     return best.select(*by, "id", "m.line", (-F.col("m.s")).alias("score"))
 
 
@@ -76,14 +76,22 @@ def joined_roads(ends: DataFrame, gap: float, alike: list[str], by: tuple[str, .
     return out.select(*by, "id", F.coalesce("root", "id").alias("chain"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
-def roundabouts(edges: DataFrame, places: DataFrame, longest: int, least: float = 0.55) -> DataFrame:
-    """Cycles of up to so many nodes of a directed graph (src, dst) whose shape is round: (nodes, score).
+#: Nodes of a composite roundabout, and the least score of one.
+SHORTEST, LONGEST, ROUND = 4, 30, 0.55
 
-    places: (node, x, y). Only edges between nodes whose region is small matter, so cycles are sought among pruned
-    edges; the line of a cycle ends at its start.
+
+def roundabouts(edges: DataFrame, places: DataFrame, eps: float = 40.0, shortest: int = SHORTEST, longest: int = LONGEST, least: float = ROUND, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cycles of a directed graph (src, dst) whose shape is round: (cycle, score, mean_radius).
+
+    places: (node, x, y, by). A roundabout is small, so cycles are sought among edges whose ends lie in one cluster of
+    nodes within eps of one another, pruned of dead ends; the line of a cycle ends at its start.
     """
     scratch = Scratch(edges.sparkSession, "roundabouts")
-    found = graph.short_cycles(edges, longest).filter("length >= 3")
+    named = scratch.write(places.withColumn("id", F.xxhash64("node")), "places")
+    groups = spatial.dbscan(named.select(*by, "id", "x", "y"), eps, 2, by).filter("cluster IS NOT NULL")
+    of = scratch.write(named.join(groups.select("id", "cluster"), "id").select("node", "cluster"), "clusters")
+    own = edges.join(of.select(F.col("node").alias("src"), F.col("cluster").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("cluster").alias("b")), "dst")
+    found = graph.short_cycles(own.filter("a = b").select("src", "dst"), longest).filter(F.col("length") >= shortest)
     cycles = scratch.write(found.withColumn("cycle", F.concat_ws(",", "nodes")), "cycles")
     v = cycles.select("cycle", F.posexplode(F.concat("nodes", F.slice("nodes", 1, 1))).alias("ord", "node")).join(places, "node")
     scores = roadgraph.ring_scores(v, ["cycle"]).filter(F.col("score") >= least)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from waymill.functions.keys import token, uid, uid_of_rank, uid_rank
+from waymill.functions.keys import uid, uid_of_rank, uid_rank, world
 from waymill.functions.texts import is_route_key
 from waymill.operators import graph, roadgraph
 from waymill.plans.geometry_queries import _u
@@ -188,14 +188,17 @@ def cycles_le4(t: Tables) -> DataFrame:
 
 
 @R.query(
-    f"""WITH RECURSIVE m AS (SELECT DISTINCT {_u("start_node_uid")} AS a, {_u("end_node_uid")} AS b FROM roads WHERE map_name = 'usa' AND {_u("road_look_token")} LIKE 'ln%' AND {_u("start_node_uid")} <> '0' AND {_u("end_node_uid")} <> '0'),
-      e AS (SELECT a, b FROM m UNION SELECT b, a FROM m), r AS (SELECT a AS s, a AS x FROM e UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.x) SELECT s AS node, ltrim(min(lpad(x, 16, '0')), '0') AS component FROM r GROUP BY 1"""
+    f"""WITH RECURSIVE m AS (SELECT DISTINCT map_name, {_u("start_node_uid")} AS a, {_u("end_node_uid")} AS b FROM roads WHERE {_u("start_node_uid")} <> '0' AND {_u("end_node_uid")} <> '0'),
+      e AS (SELECT map_name, a, b FROM m UNION SELECT map_name, b, a FROM m),
+      r(map_name, node, low) USING KEY (map_name, node) AS (SELECT DISTINCT map_name, a, lpad(a, 16, '0') FROM e UNION SELECT e.map_name, e.b, min(r.low) FROM r JOIN e ON e.map_name = r.map_name AND e.a = r.node JOIN recurring.r q ON q.map_name = e.map_name AND q.node = e.b WHERE r.low < q.low GROUP BY ALL)
+      SELECT map_name, node, ltrim(low, '0') AS component FROM r"""
 )
 def road_components(t: Tables) -> DataFrame:
-    """Nodes joined by lanes of one map, with the least node of each component."""
-    own = t("roads").filter((c("map_name") == "usa") & token("road_look_token").startswith("ln") & (uid("start_node_uid") != "0") & (uid("end_node_uid") != "0"))
-    found = graph.components(own.select(uid_rank(uid("start_node_uid")).alias("src"), uid_rank(uid("end_node_uid")).alias("dst")))
-    return found.select(uid_of_rank("node").alias("node"), uid_of_rank("component").alias("component"))
+    """Nodes joined by roads, with the least node of each component of its map."""
+    own = t("roads").filter((uid("start_node_uid") != "0") & (uid("end_node_uid") != "0"))
+    w = world("map_name").alias("w")
+    found = graph.components(own.select(w, uid_rank(uid("start_node_uid")).alias("src"), uid_rank(uid("end_node_uid")).alias("dst")))
+    return found.select(c("w").alias("map_name"), uid_of_rank("node").alias("node"), uid_of_rank("component").alias("component"))
 
 
 _MEMBERS = f"""SELECT DISTINCT map_name, {_u("uid")} AS item, {_u("start_node_uid")} AS node FROM roads UNION SELECT map_name, {_u("uid")}, {_u("end_node_uid")} FROM roads UNION SELECT map_name, {_u("uid")}, {_u("n")} FROM (SELECT map_name, uid, unnest(node_uids) AS n FROM prefabs)"""

@@ -391,15 +391,16 @@ def distinct_rows(t: Tables) -> DataFrame:
 
 
 @R.query(
-    """SELECT point_id, round(d, 4) AS d FROM (SELECT DISTINCT point_id, sqrt(px*px + py*py) AS d FROM (SELECT point_id, CASE WHEN fixed_point THEN x / 256 ELSE x END AS px, CASE WHEN fixed_point THEN y / 256 ELSE y END AS py FROM guard_points
-       WHERE map_name = 'usa' AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y))) WHERE d <= 6000 ORDER BY d, point_id LIMIT 10"""
+    """SELECT map_name, point_id, round(d, 4) AS d FROM (SELECT *, row_number() OVER (PARTITION BY map_name ORDER BY d, point_id) AS k FROM (SELECT DISTINCT map_name, point_id, sqrt(px*px + py*py) AS d FROM (SELECT map_name, point_id, CASE WHEN fixed_point THEN x / 256 ELSE x END AS px, CASE WHEN fixed_point THEN y / 256 ELSE y END AS py FROM guard_points
+       WHERE x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y))) WHERE d <= 6000) WHERE k <= 10"""
 )
 def nearby_topk(t: Tables) -> DataFrame:
-    """The ten points nearest to a place, within a radius."""
+    """The ten points of each map nearest to a place, within a radius."""
     s = F.when(c("fixed_point"), 256.0).otherwise(1.0)
-    own = t("guard_points").filter("map_name = 'usa' AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
-    d = own.select("point_id", F.sqrt(c("x") / s * (c("x") / s) + c("y") / s * (c("y") / s)).alias("d")).distinct()
-    return d.filter("d <= 6000").orderBy("d", "point_id").limit(10).select("point_id", F.round("d", 4).alias("d"))
+    own = t("guard_points").filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    d = own.select("map_name", "point_id", F.sqrt(c("x") / s * (c("x") / s) + c("y") / s * (c("y") / s)).alias("d")).distinct()
+    near = F.row_number().over(W.partitionBy("map_name").orderBy("d", "point_id"))
+    return d.filter("d <= 6000").withColumn("k", near).filter("k <= 10").select("map_name", "point_id", F.round("d", 4).alias("d"))
 
 
 @R.query(

@@ -9,7 +9,8 @@ from waymill.functions.keys import token, uid, uid_rank
 from waymill.operators import roadgraph, routing, shred, spatial
 from waymill.plans.geometry_queries import _ENDS, road_ends
 from waymill.plans.registry import Registry, Tables
-from waymill.plans.spatial_queries import _CUST, _DIST, _SUPP, customers, suppliers
+from waymill.plans.problems import entry_positions
+from waymill.plans.spatial_queries import _CUST, _DIST, _ENTRIES, _SUPP, customers, suppliers
 from waymill.sources import sinks
 
 R = Registry()
@@ -39,17 +40,19 @@ def then_hints(t: Tables) -> DataFrame:
 
 
 @R.query(
-    f"""WITH {_ENDS}, m AS (SELECT p.id, e.road, greatest(0, least(1, ((p.x-x0)*(x1-x0) + (p.y-y0)*(y1-y0)) / nullif(pow(x1-x0,2) + pow(y1-y0,2), 0))) AS t, p.x, p.y, x0, y0, x1, y1, p.h FROM ends e, (SELECT id, x - 5000 AS x, y - 5000 AS y, id % 7 AS h FROM {_CUST}) p WHERE map_name = 'usa'),
-      d AS (SELECT id, road, h, atan2(y1-y0, x1-x0) AS way, sqrt(pow(x - x0 - t*(x1-x0), 2) + pow(y - y0 - t*(y1-y0), 2)) AS d FROM m WHERE t IS NOT NULL)
-      SELECT id, arg_min(road, (-round(abs(cos(h - way)) * exp(-d / 20), 9), road)) AS road, round(max(abs(cos(h - way)) * exp(-d / 20)), 6) AS score FROM d WHERE d <= 60 GROUP BY 1"""
+    f"""WITH {_ENDS}, m AS (SELECT p.map_name, p.id, e.road, greatest(0, least(1, ((p.x-x0)*(x1-x0) + (p.y-y0)*(y1-y0)) / nullif(pow(x1-x0,2) + pow(y1-y0,2), 0))) AS t, p.x, p.y, x0, y0, x1, y1, p.h FROM ends e JOIN (SELECT *, CAST(id % 7 AS DOUBLE) AS h FROM {_ENTRIES}) p ON p.map_name = e.map_name
+        AND p.x BETWEEN least(x0, x1) - 60 AND greatest(x0, x1) + 60 AND p.y BETWEEN least(y0, y1) - 60 AND greatest(y0, y1) + 60),
+      d AS (SELECT map_name, id, road, h, atan2(y1-y0, x1-x0) AS way, sqrt(pow(x - x0 - t*(x1-x0), 2) + pow(y - y0 - t*(y1-y0), 2)) AS d FROM m WHERE t IS NOT NULL)
+      SELECT map_name, id, arg_min(road, (-round(abs(cos(h - way)) * exp(-d / 20), 9), road)) AS road, round(max(round(abs(cos(h - way)) * exp(-d / 20), 9)), 6) AS score FROM d WHERE d <= 60 GROUP BY 1, 2"""
 )
 def pose_on_road(t: Tables) -> DataFrame:
-    """The road each pose is on, by alignment and nearness."""
-    e = road_ends(t).filter("map_name = 'usa'")
-    parts = [e.select(c("road").alias("line"), F.lit(i).alias("ord"), c(f"x{i}").alias("x"), c(f"y{i}").alias("y")) for i in (0, 1)]
-    poses = customers(t).select("id", (c("x") - 5000).alias("x"), (c("y") - 5000).alias("y"), (c("id") % 7).cast("double").alias("heading"))
-    found = routing.located(poses, parts[0].unionByName(parts[1]).filter("x IS NOT NULL"), 60.0)
-    return found.select("id", c("line").alias("road"), F.round("score", 6).alias("score"))
+    """The road of its map each road end is on, taken as a pose, by alignment and nearness."""
+    e = road_ends(t)
+    parts = [e.select("map_name", c("road").alias("line"), F.lit(i).alias("ord"), c(f"x{i}").alias("x"), c(f"y{i}").alias("y")) for i in (0, 1)]
+    ends = spatial.placed(entry_positions(t("road_entries"))).withColumnRenamed("world", "map_name").distinct()
+    poses = ends.select("map_name", "id", "x", "y", (c("id") % 7).cast("double").alias("heading"))
+    found = routing.located(poses, parts[0].unionByName(parts[1]).filter("x IS NOT NULL"), 60.0, ("map_name",))
+    return found.select("map_name", "id", c("line").alias("road"), F.round("score", 6).alias("score"))
 
 
 @R.query()
@@ -64,11 +67,11 @@ def coalesced_roads(t: Tables) -> DataFrame:
 
 @R.query()
 def round_cycles(t: Tables) -> DataFrame:
-    """Cycles of three to five roads that are round."""
+    """Cycles of four to thirty nodes within clusters of nodes that are round."""
     e = roadgraph.road_edges(t("roads"), t("road_looks"))
     key = lambda n: F.concat_ws(":", "map_name", n)
-    places = t("nodes").groupBy(F.concat_ws(":", "map_name", uid("uid")).alias("node")).agg(F.max("x").alias("x"), F.max("y").alias("y"))
-    return routing.roundabouts(e.select(key("node").alias("src"), key("to").alias("dst")), places, 5, 0.05).select("cycle", F.round("score", 4).alias("score"))
+    places = t("nodes").groupBy("map_name", key(uid("uid")).alias("node")).agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    return routing.roundabouts(e.select(key("node").alias("src"), key("to").alias("dst")), places, by=("map_name",)).select("cycle", F.round("score", 4).alias("score"))
 
 
 @R.query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,44 +48,54 @@ def geojson_round_trip(t: Tables) -> DataFrame:
     ring = F.array(F.transform("ring", lambda p: F.array(p["x"], p["y"])))
     own = t("map_regions").select(sinks.feature("Polygon", ring, region_id=c("region_id"), map_name=c("map_name")).alias("f"))
     sinks.write_features(own, "f", f"{s.root}/regions")
-    back = t.spark.read.schema("geometry struct<type string, coordinates array<array<array<double>>>>, properties struct<region_id bigint, map_name string>").json(f"{s.root}/regions")
-    return back.select(c("properties.region_id").alias("id"), "properties.map_name", F.size(c("geometry.coordinates")[0]).cast("bigint").alias("points"))
+    back = readers.feature_lines(t.spark, f"{s.root}/regions")
+    props = F.from_json("properties", "region_id bigint, map_name string")
+    rings = F.from_json("coordinates", "array<array<array<double>>>")
+    return back.filter("kind = 'Polygon'").select(props["region_id"].alias("id"), props["map_name"].alias("map_name"), F.size(rings[0]).cast("bigint").alias("points"))
 
 
-@R.query("SELECT file_path AS path, max_by(md5(payload), (list_transform(string_split(game_version, '.'), lambda v: CAST(v AS INT)))) AS h FROM def_files GROUP BY 1")
+@R.query(
+    """WITH v AS (SELECT DISTINCT file_path AS path, payload, list_transform(string_split(game_version, '.'), lambda v: CAST(v AS INT)) AS v FROM def_files), a AS (SELECT path, payload, v[1] AS major, v FROM v)
+    SELECT path, md5(max_by(payload, (major, v))) AS h FROM a GROUP BY 1"""
+)
 def last_archive_wins(t: Tables) -> DataFrame:
-    """Files of several archives laid over one another in order of version: the last one's content counts."""
+    """Archives of files, one for each major version, laid over one another: the last one's content counts."""
     from waymill.operators.drift import version_key
 
-    files = t("def_files").select(c("file_path").alias("path"), c("payload").alias("content"), version_key(c("game_version")).alias("v"))
-    best = files.groupBy("path").agg(F.max_by("content", "v").alias("content"))
-    older = files.select("path", "content")
-    return readers.layered(older, best).select("path", F.md5("content").alias("h"))
+    files = t("def_files").select(c("file_path").alias("path"), c("payload").alias("content"), version_key(c("game_version")).alias("v")).withColumn("major", c("v")[0])
+    majors = sorted(r[0] for r in files.select("major").distinct().collect())  # archives, a handful
+    newest = files.groupBy("major", "path").agg(F.max_by("content", "v").alias("content"))
+    return readers.layered(*[newest.filter(c("major") == m) for m in majors]).select("path", F.md5("content").alias("h"))
 
 
-@R.query("SELECT k AS key, v AS val FROM (VALUES ('a', '3'), ('b', '2')) t(k, v)")
+@R.query(
+    """SELECT l.map_name || ':' || l.token AS file, e.key AS key, e.val AS val FROM (SELECT DISTINCT map_name, token, lanes_left, lanes_right FROM road_looks) l, LATERAL (SELECT lanes_left[i] AS key, max_by(lanes_right[i], i) AS val
+      FROM (SELECT unnest(range(1, least(len(lanes_left), len(lanes_right)) + 1)) AS i) WHERE lanes_left[i] IS NOT NULL AND lanes_right[i] IS NOT NULL GROUP BY 1) e"""
+)
 def locale_zip(t: Tables) -> DataFrame:
-    """Parallel key and value arrays as rows, the last of equal keys counts."""
-    df = t.spark.createDataFrame([("f", ["a", "b", "a"], ["1", "2", "3"])], "file string, keys array<string>, vals array<string>")
-    return readers.locale_entries(df).select("key", "val")
+    """Parallel arrays of keys and values as rows, the last of equal keys counts (the lanes of every look)."""
+    df = t("road_looks").select(F.concat_ws(":", "map_name", "token").alias("file"), c("lanes_left").alias("keys"), c("lanes_right").alias("vals")).distinct()
+    return readers.locale_entries(df)
 
 
-@R.query("SELECT n AS name, v AS content FROM (VALUES ('x.json', '[2]'), ('y.json', '[3]')) t(n, v)")
+@R.query("SELECT doc AS name, md5(text) AS h FROM (SELECT coalesce(source, '') || '.txt' AS doc, arg_max(text, doc_id) AS text FROM documents WHERE text IS NOT NULL GROUP BY 1)")
 def zip_source(t: Tables) -> DataFrame:
-    """Files of a zip archive by base name, the later of two with the same name."""
+    """Every text as a file of a zip archive named by its source, read by base name: the later of two of one name."""
     s = Scratch(t.spark, "zip")
-    box = io.BytesIO()
-    with zipfile.ZipFile(box, "w") as z:
-        for name, text in (("a/x.json", "[1]"), ("b/x.json", "[2]"), ("y.json", "[3]")):
-            z.writestr(name, text)
-    rows = t.spark.createDataFrame([(bytearray(box.getvalue()),)], "content binary")
-    # binary files are written through the file system that the scratch folder lives on
-    jvm = t.spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{s.root}/box.zip")
-    out = path.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
-    out.write(rows.first().content)
-    out.close()
-    return readers.zipped(t.spark, f"{s.root}/box.zip")
+
+    def packed(batches):
+        for pdf in batches:
+            box = io.BytesIO()
+            with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as z:
+                for doc, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"], strict=True):
+                    z.writestr(f"{doc}/{source}.txt", text)
+            yield pd.DataFrame({"first": [pdf["doc_id"].iloc[0]], "content": [box.getvalue()]})
+
+    own = t("documents").filter("text IS NOT NULL").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    own = own.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    boxes = s.write(own.mapInPandas(packed, "first bigint, content binary"), "boxes")
+    found = readers.unzipped(boxes.select(F.format_string("%020d", "first").alias("path"), "content"))
+    return found.select("name", F.md5("content").alias("h"))
 
 
 @R.query(f"SELECT map_name, node, CAST(row_number() OVER (ORDER BY map_name, node) - 1 AS BIGINT) AS number FROM (SELECT DISTINCT map_name, {_u('uid')} AS node FROM nodes)")
@@ -116,9 +127,9 @@ def simplified_rings(t: Tables) -> DataFrame:
     return own.select("region_id", F.size("ring").alias("before"), F.size("s").alias("after"))
 
 
-@R.query("SELECT doc_id AS id, len(regexp_extract_all(text, 'ferry_data : ')) AS n_units, len(regexp_extract_all(text, 'transit: ')) AS n_transit FROM documents WHERE starts_with(text, 'SiiNunit') AND ends_with(trim(text, chr(10) || ' '), '}') AND length(text) < 30000")
+@R.query("SELECT doc_id AS id, len(regexp_extract_all(text, 'ferry_data : ')) AS n_units, len(regexp_extract_all(text, 'transit: ')) AS n_transit FROM documents WHERE starts_with(text, 'SiiNunit') AND ends_with(trim(text, chr(10) || ' '), '}')")
 def unit_files(t: Tables) -> DataFrame:
     """Units and their transit properties in definition texts."""
-    own = t("documents").filter(c("text").startswith("SiiNunit") & F.rtrim(F.regexp_replace("text", r"\s+$", "")).endswith("}") & (F.length("text") < 30_000))
+    own = t("documents").filter(c("text").startswith("SiiNunit") & F.rtrim(F.regexp_replace("text", r"\s+$", "")).endswith("}"))
     rows = units.read_units(own)
     return rows.groupBy("id").agg(F.count_distinct("name").alias("n_units"), F.count_if(c("key") == "transit").alias("n_transit"))

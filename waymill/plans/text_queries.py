@@ -71,13 +71,12 @@ def collate_names(t: Tables) -> DataFrame:
 
 
 @R.query(
-    """SELECT doc_id, lower(strip_accents(w)) AS word FROM (SELECT doc_id, regexp_extract(text, '([[:alpha:]àáâãäåąçćčďèéêëęěìíîïńňòóôõöőùúûüůűýÿźżśšťž]+)', 1) AS w FROM documents WHERE text IS NOT NULL) WHERE length(w) > 0 AND NOT regexp_matches(w, '[łŁøØ]')"""
+    """SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text, '[[:alpha:]àáâãäåąçćčďèéêëęěìíîïłñńňòóôõöőøřśšťùúûüůűýÿźżž]+'), lambda w: replace(replace(lower(strip_accents(w)), 'ł', 'l'), 'ø', 'o')), ' ')) AS h FROM documents WHERE text IS NOT NULL"""
 )
 def fold_accents(t: Tables) -> DataFrame:
-    """First word of each text in lower case without accents."""
-    w = F.regexp_extract("text", "([A-Za-zàáâãäåąçćčďèéêëęěìíîïńňòóôõöőùúûüůűýÿźżśšťž]+)", 1)
-    own = t("documents").select("doc_id", w.alias("w")).filter("length(w) > 0 AND NOT w RLIKE '[łŁøØ]'")
-    return own.select("doc_id", texts.fold(c("w")).alias("word"))
+    """Words of each text in lower case without accents."""
+    words = F.regexp_extract_all("text", F.lit("([A-Za-zàáâãäåąçćčďèéêëęěìíîïłñńňòóôõöőøřśšťùúûüůűýÿźżž]+)"), 1)
+    return t("documents").filter("text IS NOT NULL").select("doc_id", F.md5(F.array_join(F.transform(words, texts.fold), " ")).alias("h"))
 
 
 @R.query("SELECT lower(regexp_replace(s_name, '[^A-Za-z]', '', 'g')) AS k, count(*) AS n FROM supplier GROUP BY 1")

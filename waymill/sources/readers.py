@@ -89,6 +89,11 @@ def zipped(spark: SparkSession, path: str) -> DataFrame:
 
     An archive is read by one task; its entries are read one at a time.
     """
+    return unzipped(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def unzipped(files: DataFrame) -> DataFrame:
+    """zipped() of archives given as rows (path, content)."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -98,7 +103,6 @@ def zipped(spark: SparkSession, path: str) -> DataFrame:
                         if not e.is_dir():
                             yield pd.DataFrame([(e.filename.rsplit("/", 1)[-1], archive, i, z.read(e).decode("utf-8", "replace"))], columns=["name", "archive", "ord", "content"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     rows = files.mapInPandas(unpack, "name string, archive string, ord int, content string")
     return rel.keep_last(rows, ["name"], ["archive", "ord"]).select("name", "content")
 
@@ -115,6 +119,12 @@ def features(spark: SparkSession, path: str) -> DataFrame:
     return f.select("f.id", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
 
 
+def feature_lines(spark: SparkSession, path: str) -> DataFrame:
+    """features() of files that hold one feature a line: large files are split."""
+    f = spark.read.text(path).select(F.from_json("value", "id string, geometry struct<type string, coordinates string>, properties string").alias("f"))
+    return f.select("f.id", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
+
+
 def adjacency(df: DataFrame) -> DataFrame:
     """Edges from rows (key, forward, backward) whose lists hold neighbours: (node, dir, ord, neighbour fields)."""
     parts = [df.select(F.col("key").alias("node"), F.lit(d).alias("dir"), F.posexplode(d).alias("ord", "v")).select("node", "dir", "ord", "v.*") for d in ("forward", "backward")]
