@@ -1,8 +1,9 @@
 """Points near other points, and points in regions.
 
 near_pairs: a grid join. The probing side is copied to the cells its circle's bounding box covers, both sides meet by
-an equi-join on (world, cell), the distance is tested exactly inside the join. A cell that holds more rows than
-HOT_CELL is salted: its rows spread over salts and the probing rows of that cell are copied to each of them.
+an equi-join on (world, cell), the distance is tested exactly inside the join. A cell that holds more rows of either
+side than HOT_CELL is split both ways: each side's rows spread over parts of HOT_CELL and are copied to the parts of the
+other, so no task compares more than HOT_CELL rows with as many.
 
 regions_of: polygons are ear-clipped, their triangles packed along a Morton curve into the leaves of a
 bounding-volume hierarchy whose levels are tables; points start at the roots, go down by equi-joins on the node with
@@ -39,17 +40,22 @@ def _cell(c: Column, size: float) -> Column:
 
 
 def _salted(points: DataFrame, probes: DataFrame, keys: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a column `salt` that splits hot cells of points."""
-    hot = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_CELL)
-    hot = scratch.write(hot.select(*keys, F.ceil(F.col("n") / HOT_CELL).cast("int").alias("salts")), "hot-cells")
+    """Both sides with columns `salt` and `salt2` that split cells which hold many rows of either."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    both = points.select(*keys, one.alias("p"), none.alias("q")).unionByName(probes.select(*keys, none.alias("p"), one.alias("q")))
+    hot = both.groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("q").alias("q")).filter((F.col("p") > HOT_CELL) | (F.col("q") > HOT_CELL)).filter("p > 0 AND q > 0")
+    parts = {f"parts_{c}": F.ceil(F.col(c) / HOT_CELL).cast("int") for c in "pq"}
+    hot = scratch.write(hot.withColumns(parts).select(*keys, "parts_p", "parts_q"), "hot-cells")
     n = hot.count()
     if n == 0:
-        return points.withColumn("salt", F.lit(0)), probes.withColumn("salt", F.lit(0))
+        return tuple(df.withColumns({"salt": F.lit(0), "salt2": F.lit(0)}) for df in (points, probes))
     if n <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
-    some = F.coalesce("salts", F.lit(1))
-    points = points.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("id", "x", "y"), some).cast("int")).drop("salts")
-    probes = probes.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), some - 1))).drop("salts")
+    of = lambda c: F.coalesce(F.col(f"parts_{c}"), F.lit(1))
+    mine = lambda c, *cols: F.pmod(F.xxhash64(*cols), of(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), of(c) - 1))
+    points = points.join(hot, keys, "left").withColumn("salt", mine("p", "id", "x", "y")).withColumn("salt2", every("q")).drop("parts_p", "parts_q")
+    probes = probes.join(hot, keys, "left").withColumn("salt2", mine("q", "q_id", "qx", "qy", "relation")).withColumn("salt", every("p")).drop("parts_p", "parts_q")
     return points, probes
 
 
@@ -77,7 +83,7 @@ def near_pairs(points: DataFrame, probes: DataFrame, radius: float) -> DataFrame
     p, q = _salted(p, q, keys, scratch)
     d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
     once = ~F.col("self") | F.when(F.col("home"), F.col("q_id") < F.col("id")).otherwise(F.col("q_id") != F.col("id"))
-    both = [*keys, "salt"]
+    both = [*keys, "salt", "salt2"]
     r = q.withColumnsRenamed({c: f"q_{c}" for c in both})
     out = p.join(r, [p[c] == r[f"q_{c}"] for c in both] + [d2 <= size * size, once])
     return out.select(

@@ -148,11 +148,11 @@ def excluded_labels(t: Tables) -> DataFrame:
     return own.select("region_id", labels.is_excluded(c("label")).alias("excluded"), labels.without_article(c("label")).alias("label"))
 
 
-@R.query("SELECT point_id, '#' || printf('%.2f', CAST(3 + point_id % 15 AS DOUBLE)) || '/' || printf('%.5f', y / 1000) || '/' || printf('%.5f', x / 1000) AS hash, round(y / 1000, 5) AS lat, round(x / 1000, 5) AS lon, CAST(3 + point_id % 15 AS DOUBLE) AS zoom FROM (SELECT DISTINCT point_id, CAST(point_id % 9973 AS DOUBLE) / 8 AS x, CAST(point_id % 4999 AS DOUBLE) / 8 AS y FROM guard_points)")
+@R.query("SELECT point_id, '#' || printf('%.2f', CAST(3 + point_id % 15 AS DOUBLE)) || '/' || printf('%.5f', y / 1000) || '/' || printf('%.5f', x / 1000) AS hash, round(y / 1000, 5) AS lat, round(x / 1000, 5) AS lon, CAST(3 + point_id % 15 AS DOUBLE) AS zoom FROM (SELECT DISTINCT point_id, CAST(point_id % 9973 AS DOUBLE) / 7 AS x, CAST(point_id % 4999 AS DOUBLE) / 7 AS y FROM guard_points)")
 def camera_hashes(t: Tables) -> DataFrame:
     """Camera positions written as the hash of an address, and read back."""
     own = t("guard_points").select("point_id").distinct()
-    own = own.withColumn("hash", labels.camera_hash((c("point_id") % 4999).cast("double") / 8 / 1000, (c("point_id") % 9973).cast("double") / 8 / 1000, (3 + c("point_id") % 15).cast("double")))
+    own = own.withColumn("hash", labels.camera_hash((c("point_id") % 4999).cast("double") / 7 / 1000, (c("point_id") % 9973).cast("double") / 7 / 1000, (3 + c("point_id") % 15).cast("double")))
     cam = labels.camera_of(c("hash"))
     return own.select("point_id", "hash", cam["lat"].alias("lat"), cam["lon"].alias("lon"), cam["zoom"].alias("zoom"))
 
