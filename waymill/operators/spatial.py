@@ -261,7 +261,7 @@ def dbscan(points: DataFrame, eps: float, min_points: int, by: tuple[str, ...] =
         linked = linked.unionByName(near.distinct())
     w = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys], F.lit(""))
     labels = least_labels(linked.select(w.alias("w"), "a", "b"), scratch)
-    named = cells.withColumn("w", w).join(labels.withColumnRenamed("a", "first"), ["w", "first"], "left").select(*keys, "sx", "sy", F.coalesce("root", "first").alias("cluster"))
+    named = cells.withColumn("_w", w).join(labels.withColumnsRenamed({"w": "_w", "a": "first"}), ["_w", "first"], "left").select(*keys, "sx", "sy", F.coalesce("root", "first").alias("cluster"))
     core = scratch.write(core.join(named, [*keys, "sx", "sy"]).select(*keys, "id", "x", "y", "cluster"), "labelled")
     rest = p.join(core.select(*keys, "id"), [*keys, "id"], "left_anti")
     border = _pairs(rest, core, eps, keys).select(*keys, "id", F.col("other")).join(core.select(*keys, F.col("id").alias("other"), "cluster"), [*keys, "other"])
