@@ -54,6 +54,18 @@ def geojson_round_trip(t: Tables) -> DataFrame:
     return back.filter("kind = 'Polygon'").select(props["region_id"].alias("id"), props["map_name"].alias("map_name"), F.size(rings[0]).cast("bigint").alias("points"))
 
 
+@R.query("SELECT region_id AS id, map_name, len(ring) AS points FROM map_regions")
+def collection_round_trip(t: Tables) -> DataFrame:
+    """Regions written as one feature collection and read back."""
+    s = Scratch(t.spark, "collection")
+    ring = F.array(F.transform("ring", lambda p: F.array(p["x"], p["y"])))
+    own = t("map_regions").select(sinks.feature("Polygon", ring, region_id=c("region_id"), map_name=c("map_name")).alias("f"))
+    sinks.write_collection(own, "f", f"{s.root}/regions.geojson")
+    back = readers.features(t.spark, f"{s.root}/regions.geojson")
+    rings = F.from_json("coordinates", "array<array<array<double>>>")
+    return back.select(c("properties")["region_id"].cast("bigint").alias("id"), c("properties")["map_name"].alias("map_name"), F.size(rings[0]).cast("bigint").alias("points"))
+
+
 @R.query(
     """WITH v AS (SELECT DISTINCT file_path AS path, payload, list_transform(string_split(game_version, '.'), lambda v: CAST(v AS INT)) AS v FROM def_files), a AS (SELECT path, payload, v[1] AS major, v FROM v)
     SELECT path, md5(max_by(payload, (major, v))) AS h FROM a GROUP BY 1"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,12 +43,18 @@ def write_features(df: DataFrame, column: str, path: str) -> None:
 
 
 def write_collection(df: DataFrame, column: str, path: str) -> None:
-    """A feature collection in one file, streamed from the partitions one after the other."""
-    with open(path, "w", encoding="utf-8") as out:
-        out.write('{"type":"FeatureCollection","features":[\n')
-        for i, row in enumerate(df.select(column).toLocalIterator()):
-            out.write((",\n" if i else "") + row[0])
-        out.write("\n]}\n")
+    """A feature collection in one file of a folder, streamed through one task; null features are left out."""
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = '{"type":"FeatureCollection","features":['
+        for pdf in batches:
+            for text in pdf["value"]:
+                yield pd.DataFrame({"value": [before + text]})
+                before = ","
+        yield pd.DataFrame({"value": [("" if before == "," else before) + "]}"]})
+
+    lines = df.select(F.col(column).alias("value")).filter("value IS NOT NULL").repartition(1)
+    lines.mapInPandas(joined, "value string").write.mode("overwrite").text(path)
 
 
 def write_subset(tables: dict[str, DataFrame], folder: str) -> None:
