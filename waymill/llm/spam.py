@@ -149,7 +149,7 @@ def function_words(docs: DataFrame, scratch: Scratch) -> dict[str, frozenset[str
 class Vocabulary:
     """Numbers of words, with the languages whose function words they are."""
 
-    def __init__(self, known: dict[str, frozenset[str]], limit: int = 1_000_000):
+    def __init__(self, known: dict[str, frozenset[str]], limit: int = 300_000):
         self.langs, self.limit = list(known), limit
         self.of_word: dict[str, list[int]] = {}
         for i, lang in enumerate(self.langs):
