@@ -255,12 +255,26 @@ def prefab_edges(t: Tables) -> DataFrame:
       round(CASE WHEN a >= b THEN 0 ELSE exp(-pow(ln(asp), 2) / 0.02) * greatest(a, b) / (a + b) * (1 - ci) END, 5) AS shape FROM s"""
 )
 def ring_shapes(t: Tables) -> DataFrame:
-    """Roundness of every region's ring; the radius is left out of the product."""
+    """Roundness of every region's ring, and the product without the radius."""
     v = t("map_regions").select("region_id", F.posexplode("ring").alias("ord", "p")).select("region_id", "ord", "p.x", "p.y")
     s = roadgraph.ring_scores(v, ["region_id"])
-    radius = F.when(c("mean_radius") <= 70, 1.0).otherwise(F.exp(-(c("mean_radius") - 70) / 10))
-    shape = F.when(c("direction") != -1, 0.0).otherwise(F.exp(-F.pow(F.log("aspect"), F.lit(2)) / 0.02) * c("turning") * (1 - c("circularity")))
-    return s.filter(radius >= 0).select("region_id", F.round("mean_radius", 2).alias("mean_radius"), *[F.round(k, 5).alias(k) for k in ("circularity", "aspect", "turning")], "direction", F.round(shape, 5).alias("shape"))
+    shape = F.when(c("direction") != -1, 0.0).otherwise(F.exp(-F.pow(F.log("aspect"), F.lit(2)) / roadgraph.ASPECT_SPREAD) * c("turning") * (1 - c("circularity")))
+    return s.select("region_id", F.round("mean_radius", 2).alias("mean_radius"), *[F.round(k, 5).alias(k) for k in ("circularity", "aspect", "turning")], "direction", F.round(shape, 5).alias("shape"))
+
+
+@R.query(
+    """WITH v AS (SELECT region_id, generate_subscripts(ring, 1) AS i, unnest(ring) AS p FROM map_regions), c AS (SELECT *, avg(p.x) OVER w AS cx, avg(p.y) OVER w AS cy FROM v WINDOW w AS (PARTITION BY region_id)),
+      k AS (SELECT region_id, i, (p.x - cx) / 20 AS x, (p.y - cy) / 20 AS y FROM c), m AS (SELECT *, avg(x) OVER w AS cx, avg(y) OVER w AS cy FROM k WINDOW w AS (PARTITION BY region_id)),
+      q AS (SELECT *, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS r, (x - lag(x) OVER o) * (lead(y) OVER o - y) - (y - lag(y) OVER o) * (lead(x) OVER o - x) AS t FROM m WINDOW o AS (PARTITION BY region_id ORDER BY i)),
+      s AS (SELECT region_id, avg(r) AS mr, stddev_pop(r) / avg(r) AS ci, (max(x) - min(x)) / (max(y) - min(y)) AS asp, count(*) FILTER (t > 0) AS a, count(*) FILTER (t < 0) AS b FROM q GROUP BY 1)
+      SELECT region_id, round(CASE WHEN a >= b THEN 0 ELSE CASE WHEN mr <= 70 THEN 1 ELSE exp(-(mr - 70) / 10) END * exp(-pow(ln(asp), 2) / 0.02) * greatest(a, b) / (a + b) * (1 - ci) END, 5) AS score FROM s"""
+)
+def round_scores(t: Tables) -> DataFrame:
+    """The whole product, radius included, of rings drawn at a twentieth of their size."""
+    v = t("map_regions").select("region_id", F.posexplode("ring").alias("ord", "p")).select("region_id", "ord", "p.x", "p.y")
+    w = W.partitionBy("region_id")
+    v = v.select("region_id", "ord", *[((c(k) - F.avg(k).over(w)) / 20).alias(k) for k in "xy"])
+    return roadgraph.ring_scores(v, ["region_id"]).select("region_id", F.round("score", 5).alias("score"))
 
 
 @R.query(

@@ -98,11 +98,11 @@ def ferry_edges(t: Tables) -> DataFrame:
     return routing.ferry_edges(own, 100.0, 30.0).select("src", "dst", "distance", F.round("duration", 2).alias("duration"), "ferry")
 
 
-@R.query("SELECT o_custkey AS route, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS first, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS last, round(sum(o_totalprice), 2) AS distance FROM orders GROUP BY 1")
+@R.query("SELECT o_custkey AS route, o_custkey AS first, max_by(o_custkey + o_orderkey % 2, (o_orderdate, o_orderkey)) AS last, round(sum(o_totalprice), 2) AS distance, bool_and(fits) AS fits FROM (SELECT *, coalesce(lag(o_custkey + o_orderkey % 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = o_custkey, true) AS fits FROM orders) GROUP BY 1")
 def combined_routes(t: Tables) -> DataFrame:
-    """Segments of a route combined into one."""
-    own = t("orders").select(c("o_custkey").alias("route"), F.struct("o_orderdate", "o_orderkey").alias("ord"), c("o_orderkey").alias("first"), c("o_orderkey").alias("last"), c("o_totalprice").alias("distance"))
-    return routing.combined(own).select("route", "first", "last", F.round("distance", 2).alias("distance"))
+    """Segments of a route combined into one, and whether each begins where the one before ends."""
+    own = t("orders").select(c("o_custkey").alias("route"), F.struct("o_orderdate", "o_orderkey").alias("ord"), c("o_custkey").alias("first"), (c("o_custkey") + c("o_orderkey") % 2).alias("last"), c("o_totalprice").alias("distance"))
+    return routing.combined(own).select("route", "first", "last", F.round("distance", 2).alias("distance"), "fits")
 
 
 @R.query(
