@@ -126,6 +126,65 @@ def _sql_refs() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _sql_decoded(x: str) -> str:
+    """JSON text in a string counts as what it spells."""
+    return f"(CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x}->>'$') THEN CAST({x}->>'$' AS JSON) ELSE {x} END)"
+
+
+def _sql_list(name: str, source: str, key: str, label: str, own: bool = True) -> str:
+    """Rows (record_id, parent, path, v) of the objects in a list below the rows of a source; a lone object is element 0.
+    Without rows of its own the source's parent stays the parent."""
+    value = _sql_decoded(f"json_extract(v, '$.{key}')") if key else "v"
+    element = _sql_decoded("CASE json_type(x) WHEN 'ARRAY' THEN json_extract(x, '$[' || i || ']') ELSE x END")
+    n = "CASE json_type(x) WHEN 'ARRAY' THEN json_array_length(x) WHEN 'OBJECT' THEN 1 ELSE 0 END"
+    return f"""{name} AS (SELECT record_id, {'path' if own else 'parent'} AS parent, path || '{label}[' || i || ']' AS path, e AS v FROM (SELECT *, {element} AS e FROM (SELECT *, unnest(range(CAST({n} AS BIGINT))) AS i
+      FROM (SELECT record_id, parent, path, {value} AS x FROM {source}))) WHERE json_type(e) = 'OBJECT')"""
+
+
+def _sql_map(name: str, source: str, key: str, own: bool) -> str:
+    """Rows of a keyed collection: (record_id, parent, path, v); own: only objects, else whatever stands there."""
+    value = _sql_decoded(f"""json_extract(x, '$."' || k || '"')""")
+    return f"""{name} AS (SELECT record_id, '$' AS parent, '$.{key}[' || k || ']' AS path, v FROM (SELECT record_id, k, {value} AS v FROM (SELECT record_id, x, unnest(json_keys(x)) AS k
+      FROM (SELECT record_id, {_sql_decoded(f"json_extract(v, '$.{key}')")} AS x FROM {source}) WHERE json_type(x) = 'OBJECT')){" WHERE json_type(v) = 'OBJECT'" if own else ""})"""
+
+
+def _sql_one(name: str, source: str, key: str, label: str) -> str:
+    value = _sql_decoded(f"json_extract(v, '$.{key}')")
+    value = f"CASE WHEN json_type({value}) = 'ARRAY' AND json_array_length({value}) = 1 THEN {_sql_decoded(f'json_extract({value}, chr(36) || chr(91) || 0 || chr(93))')} ELSE {value} END"
+    return f"{name} AS (SELECT record_id, path AS parent, path || '{label}' AS path, e AS v FROM (SELECT record_id, path, {value} AS e FROM {source}) WHERE json_type(e) = 'OBJECT')"
+
+
+_SQL_NESTED = ", ".join(
+    [
+        "p0 AS (SELECT record_id, record_kind, CAST(payload AS JSON) AS v, '$' AS path, '$' AS parent FROM nested_records WHERE record_id IS NOT NULL AND json_valid(payload) AND json_type(CAST(payload AS JSON)) = 'OBJECT')",
+        _sql_map("ferry", "(SELECT * FROM p0 WHERE record_kind = 'ferry')", "ferryData", True),
+        _sql_list("con", "ferry", "connections", ".connections"),
+        _sql_list("pt", "con", "intermediatePoints", ".intermediatePoints"),
+        _sql_map("starts", "(SELECT * FROM p0 WHERE record_kind = 'lanes')", "lanes", False),
+        _sql_list("lane", "starts", "", "", False),
+        _sql_list("branch", "lane", "branches", ".branches"),
+        _sql_list("sem", "branch", "semaphoresEncountered", ".semaphoresEncountered"),
+        _sql_list("rule", "branch", "trafficRulesEncountered", ".trafficRulesEncountered"),
+        _sql_list("seg", "(SELECT * FROM p0 WHERE record_kind = 'route')", "segments", ".segments"),
+        _sql_list("step", "seg", "steps", ".steps"),
+        _sql_one("man", "step", "maneuver", ".maneuver"),
+        "hint AS (SELECT record_id, parent AS up, parent, path, v FROM (" + _sql_one("h", "man", "laneHint", ".laneHint")[len("h AS (") : -1] + "))",
+        _sql_list("hl", "hint", "lanes", ".lanes", False),
+        _sql_list("icon", "step", "trafficIcons", ".trafficIcons"),
+    ]
+)
+_NESTED_TABLES = ("ferry", "con", "pt", "lane", "branch", "sem", "rule", "seg", "step", "man", "hl", "icon")
+_LEAF_DOUBLE = "CASE WHEN json_type({x}) IN ('DOUBLE', 'UBIGINT', 'BIGINT', 'HUGEINT') OR regexp_full_match({x}->>'$', '[+-]?[0-9]+(\\.[0-9]+)?') THEN TRY_CAST({x}->>'$' AS DOUBLE) END"
+_LEAF_BIGINT = "CASE WHEN json_type({x}) IN ('UBIGINT', 'BIGINT') OR regexp_full_match({x}->>'$', '[+-]?[0-9]+') THEN TRY_CAST({x}->>'$' AS BIGINT) END"
+
+
+def _leaf(kind: str, name: str) -> str:
+    return kind.format(x=f"json_extract(v, '$.{name}')")
+
+
+NESTED_CONNECTIONS = f"""{_SQL_NESTED}, leaf AS (SELECT DISTINCT record_id, parent AS parent_path, path AS child_path, CASE WHEN json_type(json_extract(v, '$.token')) = 'VARCHAR' THEN json_extract_string(v, '$.token') END AS token,
+  {_leaf(_LEAF_DOUBLE, "price")} AS price, {_leaf(_LEAF_BIGINT, "time")} AS time, {_leaf(_LEAF_BIGINT, "distance")} AS distance FROM con)"""
+
 ORACLES = {
     "p1_found": """
 WITH g AS (SELECT DISTINCT map_name, point_id AS id, x / CASE WHEN fixed_point THEN 256.0 ELSE 1.0 END AS x, y / CASE WHEN fixed_point THEN 256.0 ELSE 1.0 END AS y, dlc_guard
@@ -146,6 +205,8 @@ p AS (SELECT 'nodes' AS t, map_name AS m, {_sql_uid("uid")} AS k, arrived_at AS
 SELECT DISTINCT src_table, src_key, ref_field, ref_key, strftime(arrived_at, '%Y-%m') AS arrival_ym FROM r
 WHERE src_key IS NOT NULL AND ref_key IS NOT NULL AND ref_key <> '0' AND arrived_at IS NOT NULL AND NOT EXISTS (
   SELECT 1 FROM p WHERE p.t = r.ref_table AND p.m = r.map_name AND p.k = r.ref_key AND p.a <= r.arrived_at AND (p.z IS NULL OR p.z > r.arrived_at))""",
+    "p3_found": f"WITH {_SQL_NESTED} " + " UNION ".join(f"SELECT record_id, parent AS parent_path, path AS child_path FROM {n}" for n in _NESTED_TABLES),
+    "p3_connections": f"WITH {NESTED_CONNECTIONS} SELECT * FROM leaf",
     "p2_snapshots": f"""
 WITH r AS (SELECT DISTINCT * FROM ({_sql_refs()}) WHERE ref_key IS NOT NULL AND ref_key <> '0' AND arrived_at IS NOT NULL AND src_key IS NOT NULL),
 p AS (SELECT 'nodes' AS t, map_name AS m, {_sql_uid("uid")} AS k, arrived_at AS a, removed_at AS z FROM nodes

@@ -9,7 +9,7 @@ from waymill.functions.keys import token, uid, uid_rank
 from waymill.operators import roadgraph, routing, shred, spatial
 from waymill.plans.geometry_queries import _ENDS, road_ends
 from waymill.plans.registry import Registry, Tables
-from waymill.plans.problems import entry_positions
+from waymill.plans.problems import NESTED_CONNECTIONS, entry_positions
 from waymill.plans.spatial_queries import _CUST, _DIST, _ENTRIES, _SUPP, customers, suppliers
 from waymill.sources import sinks
 
@@ -89,12 +89,14 @@ def filled_types(t: Tables) -> DataFrame:
     return routing.filled_by_neighbours(own, "v", 10_000.0).filter("id % 3 <> 0").select("id", c("v").alias("from_id"))
 
 
-@R.query()
+@R.query(
+    f"""WITH {NESTED_CONNECTIONS}, e AS (SELECT DISTINCT regexp_extract(parent_path, '\\[(ferry\\.)?([^\\]]*)\\]', 2) AS a, token AS b, distance * 100.0 AS d, record_id, child_path FROM leaf WHERE token IS NOT NULL), w AS (SELECT a AS src, b AS dst, d FROM e UNION ALL SELECT b, a, d FROM e)
+      SELECT src, dst, min(d) AS distance, round(min(d / (30 * 0.44704)), 2) AS duration, true AS ferry FROM w GROUP BY 1, 2"""
+)
 def ferry_edges(t: Tables) -> DataFrame:
     """Edges of ferries from the nested records' connections."""
-    rows = shred.flat_tables(t("nested_records")).filter("table_name = '$.ferryData.connections'")
-    leaf = F.from_json("leaves", "token string, distance double")
-    own = rows.select(F.regexp_extract("parent_path", r"\[(?:ferry\.)?([^\]]*)\]", 1).alias("from"), leaf["token"].alias("to"), leaf["distance"].alias("distance"))
+    rows = shred.typed_table(t("nested_records"), "$.ferryData.connections", {"token": ("token", "string"), "distance": ("distance", "double")})
+    own = rows.select(F.regexp_extract("parent_path", r"\[(?:ferry\.)?([^\]]*)\]", 1).alias("from"), c("token").alias("to"), "distance")
     return routing.ferry_edges(own, 100.0, 30.0).select("src", "dst", "distance", F.round("duration", 2).alias("duration"), "ferry")
 
 
