@@ -9,6 +9,7 @@ from waymill.functions.keys import token, uid, uid_rank
 from waymill.operators import roadgraph, routing, shred, spatial
 from waymill.plans.geometry_queries import _ENDS, road_ends
 from waymill.plans.registry import Registry, Tables
+from waymill.plans.graph_queries import _PREFAB_LINKS
 from waymill.plans.problems import NESTED_CONNECTIONS, entry_positions
 from waymill.plans.spatial_queries import _CUST, _DIST, _ENTRIES, _SUPP, customers, suppliers
 from waymill.sources import sinks
@@ -74,7 +75,11 @@ def round_cycles(t: Tables) -> DataFrame:
     return routing.roundabouts(e.select(key("node").alias("src"), key("to").alias("dst")), places, by=("map_name",)).select("cycle", F.round("score", 4).alias("score"))
 
 
-@R.query()
+@R.query(
+    f"""WITH RECURSIVE {_PREFAB_LINKS}, v AS (SELECT map_name, token, v.x AS x, v.y AS y FROM dn), m AS (SELECT *, avg(x) OVER w AS cx, avg(y) OVER w AS cy FROM v WINDOW w AS (PARTITION BY map_name, token)), r AS (SELECT *, sqrt((x-cx)*(x-cx) + (y-cy)*(y-cy)) AS r FROM m),
+      s AS (SELECT map_name, token, stddev_pop(r) / nullif(avg(r), 0) AS ci, count(*) AS n FROM r GROUP BY ALL), l AS (SELECT map_name, token, count(DISTINCT (s, e)) AS k FROM lk WHERE s <> e GROUP BY ALL)
+      SELECT map_name, token, round(ci, 5) AS circularity FROM s JOIN l USING (map_name, token) WHERE n >= 3 AND k = n * (n - 1) AND ci <= 0.35"""
+)
 def round_prefabs(t: Tables) -> DataFrame:
     """Prefab descriptions that are roundabouts."""
     return routing.round_prefabs(t("prefab_descriptions")).select("map_name", "token", F.round("circularity", 5).alias("circularity"))
