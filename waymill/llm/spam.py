@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.session import Scratch
+from waymill.session import BROADCAST_ROWS, Scratch
 
 MEASURES = ("fw", "shape", "rep", "flat", "dens")
 MIN_WORDS, FAR, LEAN = 12, 2.3, 4.0
@@ -104,19 +104,27 @@ def named(lang) -> str:
 
 
 def function_words(docs: DataFrame, scratch: Scratch) -> dict[str, frozenset[str]]:
-    """Function words of every language, learned over all documents (text, lang)."""
-    schema = "lang string, word string, inside bigint, n bigint"
+    """Function words of every language, learned over all documents (doc_id, text, lang); a row that stands there several
+    times counts once, its rows sharing its weight."""
+    schema = "lang string, word string, inside double, n double"
+    rows = docs.select("doc_id", "text", "lang").filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> '' AND lang IS NOT NULL")
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text", "lang"))
+    repeated = scratch.write(rows.groupBy("row").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "repeated")
+    n = repeated.count()
+    if n:
+        rows = rows.join(F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated, "row", "left")
+    rows = rows.select("text", "lang", (F.lit(1.0) / F.coalesce("times", F.lit(1)) if n else F.lit(1.0)).alias("weight"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         inside: dict[str, Counter] = {}
         every: dict[str, Counter] = {}
 
         def out() -> pd.DataFrame:
-            rows = [(lang, w, inside.get(lang, {}).get(w, 0), n) for lang, own in every.items() for w, n in own.items()]
+            rows = [(lang, w, float(inside.get(lang, {}).get(w, 0)), float(n)) for lang, own in every.items() for w, n in own.items()]
             return pd.DataFrame(rows, columns=["lang", "word", "inside", "n"])
 
         for pdf in batches:
-            for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
+            for text, lang, weight in zip(pdf["text"], pdf["lang"], pdf["weight"], strict=True):
                 if not (code := named(lang)):
                     continue
                 own, some = set(), set()
@@ -126,16 +134,17 @@ def function_words(docs: DataFrame, scratch: Scratch) -> dict[str, frozenset[str
                         parts = p.split(" ")
                         some.update(b for a, b, c in zip(parts, parts[1:], parts[2:], strict=False) if b.isalpha() and b.islower() and a[-1:].isalnum() and c[:1].isalnum())
                 if own:
-                    every.setdefault(code, Counter()).update(own)
-                    every[code][""] += 1  # counts documents
-                    inside.setdefault(code, Counter()).update(some)
+                    own.add("")  # counts documents
+                    for counts, found in ((every, own), (inside, some)):
+                        counter = counts.setdefault(code, Counter())
+                        counter.update(found if weight == 1 else dict.fromkeys(found, weight))
             if sum(map(len, every.values())) > 300_000:
                 yield out()
                 inside, every = {}, {}
         yield out()
 
-    parts = docs.select("text", "lang").filter("text IS NOT NULL AND text <> '' AND lang IS NOT NULL").mapInPandas(run, schema)
-    counts = scratch.write(parts.groupBy("lang", "word").agg(F.sum("inside").alias("inside"), F.sum("n").alias("n")), "words")
+    total = lambda c: F.round(F.sum(c), 6).alias(c)
+    counts = scratch.write(rows.mapInPandas(run, schema).groupBy("lang", "word").agg(total("inside"), total("n")), "words")
     # a word in FW_SHARE of the documents is in a language's documents LANG_DOCS * FW_SHARE times at least
     counts = counts.filter((F.col("n") >= LANG_DOCS * FW_SHARE) & ((F.col("word") == "") | (F.col("inside") >= FW_INSIDE * F.col("n"))))
     size = counts.filter((F.col("word") == "") & (F.col("n") >= LANG_DOCS)).select("lang", F.col("n").alias("docs"))
