@@ -127,13 +127,9 @@ def latency_gap(t: Tables) -> DataFrame:
 )
 def ttl_last_value(t: Tables) -> DataFrame:
     """Last value of each key that hasn't expired at the last event's time."""
-    now = t("events").agg(F.max("ts")).first()[0]
+    now = t("events").agg(F.max("ts").alias("now"))
     last = t("events").groupBy("event_type", "user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").alias("ts"))
-    if now is None:
-        return last.select("event_type", "user_id", "event_id")
-    from waymill.operators.orphans import ntz
-
-    return last.filter(seq.seconds_between(c("ts"), ntz(now)) <= 2 * 86_400).select("event_type", "user_id", "event_id")
+    return last.crossJoin(F.broadcast(now)).filter(c("now") - c("ts") <= F.expr("INTERVAL '2' DAY")).select("event_type", "user_id", "event_id")  # now is one row
 
 
 @R.query(
