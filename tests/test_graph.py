@@ -64,3 +64,17 @@ def test_nothing(spark):
     e = spark.createDataFrame([], "src bigint, dst bigint, cost double")
     q = spark.createDataFrame([(1, 2), (3, 3)], "src bigint, dst bigint")
     assert [tuple(r) for r in graph.routes(e, q).collect()] == [(3, 3, 0.0, [3])]
+
+
+def test_routes_leave_the_graph_out_of_the_driver(spark, monkeypatch):
+    """No size of graph is fetched as a whole; a search stops at its goals, a tie goes by the smaller node."""
+
+    def whole(self):
+        raise AssertionError("edges were fetched to the driver")
+
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", whole)
+    top = 2**63 - 1
+    e = spark.createDataFrame([(-top, 1, 2.0), (-top, 0, 2.0), (0, top, 1.0), (1, top, 1.0), (top, -top, 0.0), (4, 5, 1.0)], "src bigint, dst bigint, cost double")
+    q = spark.createDataFrame([(-top, top), (-top, 0), (top, 5), (5, 4), (4, 5)], "src bigint, dst bigint")
+    got = {(r.src, r.dst): (r.cost, r.path) for r in graph.routes(e, q).collect()}
+    assert got == {(-top, top): (3.0, [-top, 0, top]), (-top, 0): (2.0, [-top, 0]), (4, 5): (1.0, [4, 5])}

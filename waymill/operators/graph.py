@@ -5,18 +5,23 @@ Iterations are joins whose state is written to the shared folder each round; no
 
 from __future__ import annotations
 
+import bisect
+import contextlib
 import heapq
 import math
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymill.session import Scratch
+from waymill.session import Scratch, mounted
 
-#: Edges that may be handed to every task as arrays (16 bytes each); a larger graph is searched cell by cell.
+#: Edges that may be handed to every task as arrays (16 bytes each), or from which on routes go by given cells.
 SNAPSHOT_EDGES = 5_000_000
 
 
@@ -247,30 +252,94 @@ def _least_edges(edges: DataFrame) -> DataFrame:
     return own.groupBy("src", "dst").agg(F.min("cost").alias("cost"))
 
 
+class Stored:
+    """Edges in files of the shared folder, in order of their source; tasks map them into memory, none holds a copy.
+
+    files: (least source, greatest source, path) in order; a path stands for three arrays of equal length.
+    """
+
+    def __init__(self, files: list[tuple[int, int, str]]):
+        self.files, self.low, self.opened = files, [f[0] for f in files], {}
+
+    def out(self, node: int) -> Iterator[tuple[int, float]]:
+        """(node, cost) of the edges from a node."""
+        k = bisect.bisect_right(self.low, node) - 1
+        if k < 0 or node > self.files[k][1]:
+            return iter(())
+        if k not in self.opened:
+            self.opened[k] = [np.asarray(np.memmap(f"{self.files[k][2]}.{c}", dtype, "r")) for c, dtype in _EDGE.items()]
+        src, dst, cost = self.opened[k]
+        i, j = np.searchsorted(src, np.int64(node)), np.searchsorted(src, np.int64(node), "right")
+        return zip(dst[i:j].tolist(), cost[i:j].tolist(), strict=True)
+
+    def search(self, start: int, goals: set[int]) -> tuple[dict[int, float], dict[int, int]]:
+        """(least cost, node before) of the nodes reached from a node until all goals are settled; ties go to the node
+        with the smaller id."""
+        best, came, heap, left = {start: 0.0}, {}, [(0.0, start)], set(goals)
+        while heap and left:
+            cost, u = heapq.heappop(heap)
+            if cost > best[u]:
+                continue
+            left.discard(u)
+            for v, w in self.out(u) if left else ():
+                if cost + w < best.get(v, math.inf):
+                    best[v], came[v] = cost + w, u
+                    heapq.heappush(heap, (cost + w, v))
+        return best, came
+
+
+_EDGE = {"src": "<i8", "dst": "<i8", "cost": "<f8"}
+
+
+def _stored(edges: DataFrame, folder: str) -> list[tuple[int, int, str]]:
+    """Edges written to a folder that all tasks can open, as files of Stored; the driver gets a row for each file."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        path, low, high = f"{folder}/{uuid.uuid4().hex}", None, None  # a name of its own for every attempt
+        with contextlib.ExitStack() as stack:
+            to = {c: stack.enter_context(open(f"{path}.{c}", "wb")) for c in _EDGE}
+            for b in batches:
+                if b.num_rows:
+                    for c, dtype in _EDGE.items():
+                        b.column(c).to_numpy(zero_copy_only=False).astype(dtype, copy=False).tofile(to[c])
+                    low, high = b.column("src")[0].as_py() if low is None else low, b.column("src")[-1].as_py()
+        if low is not None:
+            yield pa.RecordBatch.from_pydict({"low": [low], "high": [high], "path": [path]})
+
+    sorted_ = edges.select(*_EDGE).repartitionByRange("src").sortWithinPartitions("src", "dst")
+    return sorted((r[0], r[1], r[2]) for r in sorted_.mapInArrow(write, "low bigint, high bigint, path string").collect())
+
+
 def routes(edges: DataFrame, requests: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """(src, dst, cost, path): the cheapest route of each distinct request (src, dst) over directed edges (src, dst, cost)
     with BIGINT nodes; requests without a route are left out, one from a node to itself costs 0.
 
-    A graph of at most SNAPSHOT_EDGES edges, counted, is handed to the tasks, which search for their requests. A larger
-    one stays where it is, see routes_by_cells(); costs and paths are the same but for ties between equal routes.
+    The edges are sorted into files of the shared folder, which the tasks map into memory and search for their requests.
+    With cells given, a graph of more than SNAPSHOT_EDGES edges, counted, is searched by routes_by_cells(); so is any where
+    the shared folder is no mounted one. Costs and paths are the same but for ties between equal routes.
     """
+    spark = edges.sparkSession
     wanted = requests.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
     own = _least_edges(edges)
-    if own.count() > SNAPSHOT_EDGES:
+    scratch = Scratch(spark, "routes")
+    folder = mounted(spark, scratch.root)
+    if folder is None or (cells is not None and own.count() > SNAPSHOT_EDGES):
         return routes_by_cells(own, wanted, cells)
-    graph = edges.sparkSession.sparkContext.broadcast(Snapshot(own.toPandas()))
+    files = _stored(own, folder)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = Stored(files)
         for pdf in batches:
             rows = []
             for a, group in pdf.groupby("src"):
-                goals = {int(b): graph.value.at(int(b)) for b in group["dst"]}
-                rows += [(a, b, 0.0, [a]) for b in goals if b == a]
-                start, there = graph.value.at(int(a)), {i for i in goals.values() if i is not None}
-                if start is None or not there:
-                    continue
-                best, came = graph.value.search([(0.0, start)], there)
-                rows += [(a, b, best[i], graph.value.path(came, i)) for b, i in goals.items() if b != a and i in best]
+                a, goals = int(a), set(group["dst"].tolist())
+                best, came = graph.search(a, goals)
+                for b in goals & best.keys():
+                    path = [b]
+                    while path[-1] != a:
+                        path.append(came[path[-1]])
+                    rows.append((a, b, best[b], path[::-1]))
             yield pd.DataFrame(rows, columns=["src", "dst", "cost", "path"])
 
     return wanted.repartition("src").mapInPandas(search, _ROUTE)
@@ -362,7 +431,7 @@ def _search_cell(key, news: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
 def costs_from(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(source, node, cost): least cost from each seed (node) to every node it reaches over edges (src, dst, cost).
 
-    As with routes(), a graph of at most SNAPSHOT_EDGES edges is searched in the tasks of its seeds; a larger one is
+    A graph of at most SNAPSHOT_EDGES edges is handed to the tasks of its seeds and searched there; a larger one is
     relaxed by joins.
     """
     own = _least_edges(edges)

@@ -70,6 +70,13 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The path by which Python opens a folder; None if the folder isn't in a mounted file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    scheme = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme()
+    return at.toUri().getPath() if scheme == "file" else None
+
+
 class Scratch:
     """Named tables of one run in the shared folder; they outlive lost executors and go with the application, unless
     they are kept under a name of the caller's."""
