@@ -8,14 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from waymill.functions import geometry as g
 from waymill.functions.keys import token, uid
 from waymill.functions.texts import any_lane
+from waymill.operators import blocks
+from waymill.operators.proximity import placed
 
 #: Lane classes by what a lane's name holds, first match counts, and miles per hour assumed for each (a parameter).
 SPEED_RULES = [(("freeway",), "freeway"), (("motorway",), "motorway"), (("expressway",), "expressway"), (("divided",), "divided"), (("slow_road",), "slow")]
@@ -160,12 +165,29 @@ def ring_scores(vertices: DataFrame, by: list[str]) -> DataFrame:
 def best_insertions(stops: DataFrame, extra: DataFrame) -> DataFrame:
     """For each extra place (route, id, x, y) the segment of its route (route, ord, x, y) where it adds least length.
 
-    Returns (route, id, after, added): the stop it comes after.
+    Returns (route, id, after, added): the stop it comes after, the earlier one on ties. Places in one position share the
+    answer; positions meet the segments of their route in blocks, which give one row a position, so pairs stay in memory.
+    Stops without a position are passed over.
     """
     w = W.partitionBy("route").orderBy("ord")
-    s = stops.withColumns({"bx": F.lead("x").over(w), "by": F.lead("y").over(w)}).filter("bx IS NOT NULL").select("route", F.col("ord").alias("after"), F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by")
-    both = s.join(extra.select("route", "id", F.col("x").alias("mx"), F.col("y").alias("my")), "route")
-    d = lambda a, b: g.distance(F.col(f"{a}x"), F.col(f"{a}y"), F.col(f"{b}x"), F.col(f"{b}y"))
-    both = both.withColumn("added", d("a", "m") + d("m", "b") - d("a", "b"))
-    best = both.groupBy("route", "id").agg(F.min(F.struct("added", "after")).alias("m"))
-    return best.select("route", "id", "m.after", "m.added")
+    s = placed(stops).filter("ord IS NOT NULL").withColumns({"bx": F.lead("x").over(w), "by": F.lead("y").over(w)}).filter("bx IS NOT NULL")
+    s = s.select("route", F.col("ord").alias("after"), F.col("x").cast("double").alias("ax"), F.col("y").cast("double").alias("ay"), F.col("bx").cast("double").alias("bx"), F.col("by").cast("double").alias("by"))
+    extra = extra.select("route", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct()
+    spots = extra.select("route", "x", "y").distinct()
+    schema = StructType([*spots.schema, s.schema["after"], StructField("added", DoubleType())])
+
+    def least(places: pa.Table, legs: pa.Table) -> pa.Table:
+        legs = legs.sort_by("after")
+        (x, y), (ax, ay, bx, by) = blocks.numbers(places, "x", "y"), blocks.numbers(legs, "ax", "ay", "bx", "by")
+        own, at, added = np.sqrt((bx - ax) ** 2 + (by - ay) ** 2), np.zeros(len(x), np.int64), np.zeros(len(x))
+        for k in blocks.slices(len(x), len(ax)):
+            px, py = x[k, None], y[k, None]
+            more = np.sqrt((px - ax) ** 2 + (py - ay) ** 2) + np.sqrt((bx - px) ** 2 + (by - py) ** 2) - own
+            at[k] = more.argmin(axis=1)  # the first of equals
+            added[k] = more[np.arange(len(more)), at[k]]
+        return pa.table({"route": places["route"], "x": places["x"], "y": places["y"], "after": legs["after"].take(pa.array(at)), "added": pa.array(added, mask=np.isnan(added))})
+
+    best = blocks.met(spots, s, ["route"], least, schema).groupBy("route", "x", "y").agg(F.min(F.struct("added", "after")).alias("m"))
+    best = best.withColumnsRenamed({"route": "r", "x": "sx", "y": "sy"})
+    both = extra.join(best, (F.col("route") == F.col("r")) & F.col("x").eqNullSafe(F.col("sx")) & F.col("y").eqNullSafe(F.col("sy")))
+    return both.groupBy("route", "id").agg(F.min("m").alias("m")).select("route", "id", "m.after", "m.added")
