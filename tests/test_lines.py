@@ -21,13 +21,18 @@ def odd(spark, tmp_path_factory) -> str:
 
 @pytest.mark.parametrize("rows", [4096, 16])
 def test_waypoint_best(spark, monkeypatch, odd, rows):
-    check(spark, monkeypatch, odd, rows, "waypoint_best")
+    assert "CoGroup" in check(spark, monkeypatch, odd, rows, "waypoint_best")  # pairs are reduced where they meet
 
 
-def check(spark, monkeypatch, odd, rows, name):
-    """Blocks of whole keys and blocks that cut them give the SQL's rows."""
+@pytest.mark.parametrize("rows", [4096, 16])
+def test_line_proximity(spark, monkeypatch, odd, rows):
+    assert "SQRT" not in check(spark, monkeypatch, odd, rows, "line_proximity")  # no row for a pair of a point and a segment
+
+
+def check(spark, monkeypatch, odd, rows, name) -> str:
+    """Blocks of whole keys and blocks that cut them give the SQL's rows; the plan is returned."""
     monkeypatch.setattr(blocks, "BLOCK", rows)
     monkeypatch.setattr(blocks, "PAIRS", 50 if rows < 100 else 250_000)
     df = catalogue.QUERIES[name](spark, odd)
-    assert "CoGroup" in df._jdf.queryExecution().toString()  # pairs are reduced where they meet
     assert difference(df, oracle(odd), catalogue.ORACLES[name]) == ""
+    return df._jdf.queryExecution().toString()

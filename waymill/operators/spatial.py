@@ -10,11 +10,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from waymill.functions.geometry import distance, segment_distance, segment_position
+from waymill.functions.geometry import distance
+from waymill.operators import blocks
 from waymill.operators.graph import least_labels
 from waymill.operators.proximity import placed
 from waymill.session import BROADCAST_ROWS, Scratch
@@ -191,32 +195,136 @@ def sector_neighbours(left: DataFrame, right: DataFrame, size: float, by: tuple[
 
 
 def segments(line: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Segments of lines given as vertices (line, ord, x, y), with the length run before each."""
+    """Segments of lines given as vertices (line, ord, x, y), with the length run before each. Vertices without a finite
+    position are passed over."""
     w = W.partitionBy(*by, "line").orderBy("ord")
-    out = line.withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w)}).filter("x2 IS NOT NULL")
-    length = distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))
-    return out.withColumn("len", length).withColumn("before", F.sum("len").over(w) - F.col("len"))
+    out = placed(line).withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w)})
+    out = out.withColumn("len", distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")))
+    return out.withColumn("before", F.coalesce(F.sum("len").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).filter("x2 IS NOT NULL")
+
+
+#: Positions of a tile where lines or boxes meet them, on average over the extent.
+TILE_LINES, TILE_BOXES = 40, 512
+
+
+def _spots(points: DataFrame, by: tuple[str, ...], each: int, scratch: Scratch) -> tuple[DataFrame, tuple[float, float, float, float], float]:
+    """The distinct positions (by, x, y), their extent, and the size of tiles that hold so many on average."""
+    own = placed(points).select(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct()
+    own = scratch.write(own, "spots")
+    n, *lim = own.agg(F.count(F.lit(1)), F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    lim = tuple(0.0 if v is None else v for v in lim)
+    return own, lim, max(lim[2] - lim[0], lim[3] - lim[1], 1e-9) / max(1.0, math.sqrt(n / each))
+
+
+def _at_spots(points: DataFrame, found: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Distinct (by, id, x, y) of points with what was found at their positions (by, x, y, ...)."""
+    own = placed(points).select(*by, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct()
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes may give many rows
+    return own.repartition(parts, *by, "x", "y").join(found.repartition(parts, *by, "x", "y"), [*by, "x", "y"])
+
+
+def _several(points: DataFrame, by: tuple[str, ...]) -> DataFrame | None:
+    """(by, id) of points with more than one position, None if there is no such."""
+    own = placed(points).groupBy(*by, "id").agg(*[f(k).alias(f"{f.__name__}_{k}") for f in (F.min, F.max) for k in "xy"])
+    own = own.filter("min_x <> max_x OR min_y <> max_y").select(*by, "id")
+    return None if own.isEmpty() else own
 
 
 def near_lines(points: DataFrame, line: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
     """(line, id, d, location): points within a radius of a line, with the distance and how far along they lie.
 
-    A segment is cut into pieces no longer than the radius, each copied to the cells around it, so long segments cost
-    no more cells than they cross; the nearest segment of each (line, point) counts, the earlier one on ties.
+    Points in one position share the answer. A segment is cut into pieces no longer than a tile, each copied to the tiles
+    around it, so long segments cost no more tiles than they cross; in a tile positions meet segments in blocks, which give
+    one row for each line and position. The nearest segment of each (line, point) counts, the earlier one on ties.
     """
+    scratch = Scratch(points.sparkSession, "lines")
+    spots, lim, size = _spots(points, by, TILE_LINES, scratch)
+    size = max(size, 2 * radius)
     s = segments(line, by)
-    n = F.greatest(F.lit(1), F.ceil(F.col("len") / radius).cast("int"))
+    n = F.greatest(F.lit(1), F.ceil(F.col("len") / size).cast("int"))
     s = s.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     at = lambda c, i: F.col(c) + (F.col(f"{c}2") - F.col(c)) * i / F.col("n")
-    s = s.withColumns({f"{c}{e}": f(at(c, F.col("i")), at(c, F.col("i") + 1)) + e_off for c in "xy" for e, f, e_off in ((0, F.least, -radius), (9, F.greatest, radius))})
-    s = s.withColumn("c", F.explode(covered_cells(F.col("x0"), F.col("y0"), F.col("x9"), F.col("y9"), 2 * radius)))
-    s = s.select(*by, "line", "ord", F.col("x").alias("ax"), F.col("y").alias("ay"), "x2", "y2", "len", "before", "c.cx", "c.cy").distinct()
-    p = placed(points).withColumns({"cx": cell("x", 2 * radius), "cy": cell("y", 2 * radius)})
-    args = [F.col(c) for c in ("x", "y", "ax", "ay", "x2", "y2")]
-    met = p.join(s, [*by, "cx", "cy"]).withColumn("d", segment_distance(*args)).filter(F.col("d") <= radius)
-    met = met.withColumn("location", F.col("before") + segment_position(*args) * F.col("len"))
-    best = met.groupBy(*by, "line", "id").agg(F.min(F.struct("d", "ord", "location")).alias("m"))
-    return best.select(*by, "line", "id", "m.d", "m.location")
+    pad = radius * (1 + 1e-9)
+    s = s.withColumns({f"{c}{e}": f(at(c, F.col("i")), at(c, F.col("i") + 1)) + e_off for c in "xy" for e, f, e_off in ((0, F.least, -pad), (9, F.greatest, pad))})
+    s = s.filter((F.col("x0") <= lim[2]) & (F.col("x9") >= lim[0]) & (F.col("y0") <= lim[3]) & (F.col("y9") >= lim[1]))
+    s = s.withColumn("c", F.explode(covered_cells(F.col("x0"), F.col("y0"), F.col("x9"), F.col("y9"), size)))
+    s = s.select(*by, "c.cx", "c.cy", "line", "ord", *[F.col(a).cast("double").alias(b) for a, b in (("x", "ax"), ("y", "ay"), ("x2", "bx"), ("y2", "by"), ("before", "before"), ("len", "len"))]).distinct()
+    p = spots.withColumns({"cx": cell("x", size), "cy": cell("y", size)})
+    real = [StructField(c, DoubleType()) for c in ("x", "y", "d", "location")]
+    schema = StructType([*[p.schema[k] for k in by], s.schema["line"], s.schema["ord"], *real])
+
+    def nearest(here: pa.Table, legs: pa.Table) -> pa.Table:
+        codes = legs["line"].combine_chunks().dictionary_encode(null_encoding="encode").indices
+        legs = legs.append_column("_line", codes).sort_by([("_line", "ascending"), ("ord", "ascending")])
+        lines = legs["_line"].to_numpy()
+        (x, y), (ax, ay, bx, by_, before, length) = blocks.numbers(here, "x", "y"), blocks.numbers(legs, "ax", "ay", "bx", "by", "before", "len")
+        dx, dy = bx - ax, by_ - ay
+        square = dx * dx + dy * dy
+        own: list[list[np.ndarray]] = [[], [], [], []]
+        for k in blocks.slices(len(x), len(ax)):
+            px, py = x[k, None], y[k, None]
+            t = np.clip(((px - ax) * dx + (py - ay) * dy) / np.where(square == 0, 1.0, square), 0, 1)
+            t[:, square == 0] = 0
+            d = np.sqrt((ax + t * dx - px) ** 2 + (ay + t * dy - py) ** 2)
+            i, j = np.nonzero(d <= radius)
+            hit = d[i, j]
+            order = np.lexsort((hit, lines[j], i))  # stable: the earlier segment stays first
+            i, j, hit = i[order], j[order], hit[order]
+            first = np.ones(len(i), bool)
+            first[1:] = (i[1:] != i[:-1]) | (lines[j[1:]] != lines[j[:-1]])
+            i, j, hit = i[first], j[first], hit[first]
+            for o, v in zip(own, (i + k.start, j, hit, before[j] + t[i, j] * length[j]), strict=True):
+                o.append(v)
+        i, j, d, location = map(np.concatenate, own)
+        here, legs = here.take(pa.array(i)), legs.take(pa.array(j))
+        return pa.table({**{b: here[b] for b in by}, "line": legs["line"], "ord": legs["ord"], "x": here["x"], "y": here["y"], "d": d, "location": location})
+
+    least = lambda df, *keys: df.groupBy(*by, "line", *keys).agg(F.min(F.struct("d", "ord", "location")).alias("m"))
+    best = scratch.write(least(blocks.met(p, s, [*by, "cx", "cy"], nearest, schema), "x", "y").select(*by, "line", "x", "y", "m.*"), "nearest")
+    out = _at_spots(points, best, by)
+    if (several := _several(points, by)) is not None:  # such an id takes the nearest of its positions
+        twice = least(out.join(several, [*by, "id"], "left_semi"), "id").select(*by, "line", "id", "m.*")
+        out = out.join(several, [*by, "id"], "left_anti").select(twice.columns).unionByName(twice)
+    return out.select(*by, "line", "id", "d", "location")
+
+
+def within_any(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(line, id), each once: points (id, x, y) that any box (line, x0, y0, x1, y1) of a line holds, edges included.
+
+    Points in one position share the answer. Positions meet boxes in tiles and blocks; there the larger boxes of a line
+    come first and what they hold is left out of the rest, so boxes that lie over each other cost no pairs.
+    """
+    scratch = Scratch(points.sparkSession, "within")
+    spots, lim, size = _spots(points, (), TILE_BOXES, scratch)
+    sides = {c: F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")}
+    b = boxes.select("line", *[v.alias(k) for k, v in sides.items()]).filter("x0 <= x1 AND y0 <= y1")
+    b = b.filter((F.col("x0") <= lim[2]) & (F.col("x1") >= lim[0]) & (F.col("y0") <= lim[3]) & (F.col("y1") >= lim[1]))
+    inside = lambda c, a, z: F.least(F.greatest(F.col(c), F.lit(a)), F.lit(z))
+    cells = covered_cells(inside("x0", lim[0], lim[2]), inside("y0", lim[1], lim[3]), inside("x1", lim[0], lim[2]), inside("y1", lim[1], lim[3]), size)
+    b = b.withColumn("c", F.explode(cells)).select("c.cx", "c.cy", "line", *sides)
+    p = spots.withColumns({"cx": cell("x", size), "cy": cell("y", size)})
+    schema = StructType([b.schema["line"], *[StructField(c, DoubleType()) for c in "xy"]])
+
+    def held(here: pa.Table, own: pa.Table) -> pa.Table:
+        lines = own["line"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        (x, y), (x0, y0, x1, y1) = blocks.numbers(here, "x", "y"), blocks.numbers(own, "x0", "y0", "x1", "y1")
+        order = np.lexsort((-(x1 - x0) * (y1 - y0), lines))
+        at, of, rest, last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(0, np.int64), None
+        for j in order:
+            if lines[j] != last:
+                rest, last = np.arange(len(x)), lines[j]
+            if not len(rest):
+                continue
+            hit = (x0[j] <= x[rest]) & (x[rest] <= x1[j]) & (y0[j] <= y[rest]) & (y[rest] <= y1[j])
+            at.append(rest[hit])
+            of.append(np.full(len(at[-1]), j))
+            rest = rest[~hit]
+        i, j = pa.array(np.concatenate(at)), pa.array(np.concatenate(of))
+        return pa.table({"line": own["line"].take(j), "x": here["x"].take(i), "y": here["y"].take(i)})
+
+    found = scratch.write(blocks.met(p, b, ["cx", "cy"], held, schema).distinct(), "held")
+    out = _at_spots(points, found, ()).select("line", "id")
+    return out if _several(points, ()) is None else out.distinct()
 
 
 #: Pairs of core points of two neighbouring cells that are compared one by one; beyond, each looks for its nearest.
