@@ -29,6 +29,11 @@ def test_line_proximity(spark, monkeypatch, odd, rows):
     assert "SQRT" not in check(spark, monkeypatch, odd, rows, "line_proximity")  # no row for a pair of a point and a segment
 
 
+@pytest.mark.parametrize("rows", [4096, 16])
+def test_chunked_boxes(spark, monkeypatch, odd, rows):
+    assert "x0" not in check(spark, monkeypatch, odd, rows, "chunked_boxes")  # no row for a pair of a part and a box
+
+
 def check(spark, monkeypatch, odd, rows, name) -> str:
     """Blocks of whole keys and blocks that cut them give the SQL's rows; the plan is returned."""
     monkeypatch.setattr(blocks, "BLOCK", rows)

@@ -179,7 +179,7 @@ def chunked_boxes(t: Tables) -> DataFrame:
     box = s.groupBy("line", F.floor(c("before") / 20_000).alias("chunk")).agg(
         (F.min(F.least("x", "x2")) - 50).alias("x0"), (F.min(F.least("y", "y2")) - 50).alias("y0"), (F.max(F.greatest("x", "x2")) + 50).alias("x1"), (F.max(F.greatest("y", "y2")) + 50).alias("y1")
     )
-    return spatial.box_join(grid(t("part"), "p_partkey"), box, 2000.0).select("line", "id").distinct()
+    return spatial.within_any(grid(t("part"), "p_partkey"), box)
 
 
 _ENTRIES = """(SELECT DISTINCT map_name, entry_id AS id, start_or_end[1] AS x, start_or_end[2] AS y FROM road_entries WHERE len(start_or_end) = 2 AND start_or_end[1] IS NOT NULL AND start_or_end[2] IS NOT NULL AND NOT isnan(start_or_end[1]) AND NOT isnan(start_or_end[2]))"""
