@@ -259,13 +259,13 @@ def near_lines(points: DataFrame, line: DataFrame, radius: float, by: tuple[str,
         lines = legs["_line"].to_numpy()
         (x, y), (ax, ay, bx, by_, before, length) = blocks.numbers(here, "x", "y"), blocks.numbers(legs, "ax", "ay", "bx", "by", "before", "len")
         dx, dy = bx - ax, by_ - ay
-        square = dx * dx + dy * dy
+        square = length * length
         own: list[list[np.ndarray]] = [[], [], [], []]
         for k in blocks.slices(len(x), len(ax)):
             px, py = x[k, None], y[k, None]
             t = np.clip(((px - ax) * dx + (py - ay) * dy) / np.where(square == 0, 1.0, square), 0, 1)
             t[:, square == 0] = 0
-            d = np.sqrt((ax + t * dx - px) ** 2 + (ay + t * dy - py) ** 2)
+            d = np.sqrt((px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2)
             i, j = np.nonzero(d <= radius)
             hit = d[i, j]
             order = np.lexsort((hit, lines[j], i))  # stable: the earlier segment stays first
