@@ -3,7 +3,7 @@
 import pytest
 
 from tests.compare import difference, oracle
-from waymill.operators import blocks
+from waymill.operators import blocks, spatial
 from waymill.plans import catalogue
 
 
@@ -41,3 +41,11 @@ def check(spark, monkeypatch, odd, rows, name) -> str:
     df = catalogue.QUERIES[name](spark, odd)
     assert difference(df, oracle(odd), catalogue.ORACLES[name]) == ""
     return df._jdf.queryExecution().toString()
+
+
+def test_touching_segments_as_in_the_sql(spark):
+    """Two segments touch a point; by the SQL's order of operations only the later one's distance is 0, not 2.5e-16."""
+    line = spark.createDataFrame([(None, 1, 42.0, 1.0), (None, 2, 47.0, 11.0), (None, 3, 43.0, 3.0), (None, 4, 44.0, 3.0)], "line int, ord int, x double, y double")
+    places = spark.createDataFrame([(1, 43.0, 3.0), (2, 43.0, 3.0), (2, 46.0, 60.0), (3, 900.0, 3.0), (4, 46.0, 12.0), (4, 43.0, 90.0)], "id int, x double, y double")
+    got = {(r.line, r.id): (round(r.d, 3), round(r.location, 2)) for r in spatial.near_lines(places, line, 5.0).collect()}
+    assert got == {(None, 1): (0.0, 20.12), (None, 2): (0.0, 20.12), (None, 4): (1.414, 11.18)}
