@@ -129,7 +129,10 @@ def ttl_last_value(t: Tables) -> DataFrame:
     """Last value of each key that hasn't expired at the last event's time."""
     now = t("events").agg(F.max("ts").alias("now"))
     last = t("events").groupBy("event_type", "user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").alias("ts"))
-    return last.crossJoin(F.broadcast(now)).filter(c("now") - c("ts") <= F.expr("INTERVAL '2' DAY")).select("event_type", "user_id", "event_id")  # now is one row
+    fresh = c("now") - c("ts") <= F.expr("INTERVAL '2' DAY")
+    if dict(last.dtypes)["ts"] == "timestamp":  # Spark subtracts times with zone on the clock of the session's zone
+        fresh = seq.seconds_between(c("ts"), c("now")) <= 2 * 86_400
+    return last.crossJoin(F.broadcast(now)).filter(fresh).select("event_type", "user_id", "event_id")  # now is one row
 
 
 @R.query(
